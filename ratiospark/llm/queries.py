@@ -8,14 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratiospark.llm import packing, sharding
+from ratiospark.llm import near_dedup, packing, sharding, token_counts
 from ratiospark.llm.tables import table
 
 
+def op1_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackingPlan(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.place(docs, "doc_id", sharding.SHARDS).select("doc_id", "source", "n_chars", "slot", "shard")
@@ -34,7 +42,9 @@ def _op10_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_transducer_token_counts": op1_transducer_token_counts,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
+    "op4_tensored_minhash": op4_tensored_minhash,
     "op10_lookup_sharding": op10_lookup_sharding,
 }
 
