@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratiospark.llm import near_dedup, packing, sharding, token_counts
+from ratiospark.llm import near_dedup, packing, quality_rules, sharding, token_counts
 from ratiospark.llm.tables import table
 
 
@@ -24,6 +24,10 @@ def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.place(docs, "doc_id", sharding.SHARDS).select("doc_id", "source", "n_chars", "slot", "shard")
@@ -45,9 +49,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transducer_token_counts": op1_transducer_token_counts,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op4_tensored_minhash": op4_tensored_minhash,
+    "op6_risk_controlled_rules": op6_risk_controlled_rules,
     "op10_lookup_sharding": op10_lookup_sharding,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_lookup_sharding": _op10_sql()}
+    return {"op6_risk_controlled_rules": quality_rules.rules_sql(), "op10_lookup_sharding": _op10_sql()}
