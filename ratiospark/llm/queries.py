@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratiospark.llm import near_dedup, packing, quality_rules, sharding, token_counts
+from ratiospark.llm import near_dedup, packing, pii, quality_rules, sharding, token_counts
 from ratiospark.llm.tables import table
 
 
@@ -28,6 +28,10 @@ def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.place(docs, "doc_id", sharding.SHARDS).select("doc_id", "source", "n_chars", "slot", "shard")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op4_tensored_minhash": op4_tensored_minhash,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
+    "op9_disclosure_pii": op9_disclosure_pii,
     "op10_lookup_sharding": op10_lookup_sharding,
 }
 
