@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratiospark.llm import near_dedup, packing, pii, quality_rules, sharding, token_counts
+from ratiospark.llm import decontamination, html_extraction, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts
 from ratiospark.llm.tables import table
 
 
@@ -24,10 +24,22 @@ def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(pii.find_spans(table(spark, sf_dir, "documents")))
 
@@ -53,7 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transducer_token_counts": op1_transducer_token_counts,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op4_tensored_minhash": op4_tensored_minhash,
+    "op5_random_indexing_quality": op5_random_indexing_quality,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
+    "op7_spaced_seed_decontamination": op7_spaced_seed_decontamination,
+    "op8_main_text": op8_main_text,
     "op9_disclosure_pii": op9_disclosure_pii,
     "op10_lookup_sharding": op10_lookup_sharding,
 }
