@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratiospark.llm import decontamination, html_extraction, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts
+from ratiospark.llm import decontamination, html_extraction, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts, warc_revisits
 from ratiospark.llm.tables import table
 
 
@@ -16,6 +16,12 @@ def op1_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(warc_revisits.page_records(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
+    return found.withColumn("headers", lines)
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackingPlan(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
 
@@ -63,6 +69,7 @@ def _op10_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transducer_token_counts": op1_transducer_token_counts,
+    "op2_revisit_resolution": op2_revisit_resolution,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op4_tensored_minhash": op4_tensored_minhash,
     "op5_random_indexing_quality": op5_random_indexing_quality,
@@ -75,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_risk_controlled_rules": quality_rules.rules_sql(), "op10_lookup_sharding": _op10_sql()}
+    return {"op2_revisit_resolution": warc_revisits.REVISITS_SQL, "op6_risk_controlled_rules": quality_rules.rules_sql(), "op10_lookup_sharding": _op10_sql()}
