@@ -9,12 +9,15 @@ serve m * m tables.  With ``halves`` 16 and ``rows`` 3, two sets of similarity
 A pair collides in a table only if it collides in both halves, so halves that no
 other set has are dropped before pairs of halves are formed; documents without
 copies mostly end there.  Equal sets are one class from the start.  In a bucket,
-members are compared with one pivot; links are confirmed on the full sets, and
-connected components follow.  What a bucket's members need beyond that is decided
-by the components: if all are in one, no further link matters.  Otherwise other
-pivots follow, then all pairs between different components, where these are few
-for the bucket's size; the documents of other buckets get an exact join on the
-prefixes of their sets, in order of rarity, which misses no link.
+members are compared with one pivot, the least id; links are confirmed on the full
+sets, and connected components follow.  What a bucket's members need beyond that
+is decided by the components: if all are in one, no further link matters.
+Otherwise the member with the most collisions is the next pivot (the source of a
+group of copies is closer to each of them than they are to each other), and then
+members of different components are joined, where these are few for the bucket's
+size; documents of other buckets are compared block by block.  These last pairs are
+screened by sketches of ``bits`` one-bit minhashes before they are emitted: at 2048
+bits, a pair at 0.75 fails the screen with probability below 1e-5.
 """
 
 from __future__ import annotations
@@ -33,14 +36,16 @@ from ratiospark.llm.workspace import Workspace
 
 @dataclass(frozen=True)
 class DedupPlan:
-    """``percent``: least similarity of a link.  ``pivots``: rounds of pivots.  ``linear``: pairs a member in the round of all pairs."""
+    """``percent``: least similarity of a link.  ``linear``: pairs a member in the round of all pairs.  ``screen``: least estimate, in percent."""
 
     words: int = 5
     percent: int = 75
     halves: int = 16
     rows: int = 3
-    pivots: int = 3
     linear: int = 24
+    bits: int = 2048
+    block: int = 256
+    screen: int = 68
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -86,6 +91,37 @@ class Sketcher:
         return out.view(np.int64)
 
 
+def bit_sketches(docs: DataFrame, plan: DedupPlan) -> DataFrame:
+    """(doc_id, label, n, bits): the lowest bits of ``plan.bits`` minhashes, 64 a long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _mix(np.arange(1, 2 * plan.bits + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        a, b = (seeds[0::2] | np.uint64(1))[:, None], seeds[1::2][:, None]
+        for batch in batches:
+            n, bits = [], []
+            for text in batch.column(1):
+                shingles = shingle_set(text.as_py(), plan.words)
+                low = np.full(plan.bits, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for at in range(0, len(shingles), 512):
+                    low = np.minimum(low, (a * shingles[None, at : at + 512] + b).min(axis=1))
+                n.append(len(shingles))
+                bits.append(np.packbits((_mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "label", "n", "bits"])
+
+    return docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label long, n long, bits array<long>")
+
+
+def _close(plan: DedupPlan) -> str:
+    """Condition on two sides (a, b) of a join: other components, sizes that allow a link, and sketches that do."""
+    differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(plan.bits // 64))
+    most = plan.bits * (100 - plan.screen) // 200
+    return f"label_a <> label_b AND 100 * least(n_a, n_b) >= {plan.percent} * greatest(n_a, n_b) AND {differ} <= {most}"
+
+
+def _sides(rows: DataFrame, key: str) -> list[DataFrame]:
+    return [rows.select(key, *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != key)) for side in "ab"]
+
+
 def sketches(docs: DataFrame, plan: DedupPlan) -> DataFrame:
     """(doc_id, n_shingles, print, halves): ``print`` identifies the set, null for the empty one."""
 
@@ -122,55 +158,60 @@ def _similar(pairs: DataFrame, texts: DataFrame, plan: DedupPlan) -> DataFrame:
 
 
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
-    """(id, label) of every node of ``edges`` (a, b): the least node it reaches.
+    """(id, label) of every node of the saved ``edges`` (a, b): the least node it reaches.
 
     Each round hooks every node to its least neighbour and contracts the edges,
-    until none is left.
+    until none is left; a component's least node is never hooked, so the hooks of
+    all rounds, one after the other, lead to it.
     """
     hooks = []
-    while not edges.isEmpty():
+    while edges.saved_rows or not hooks:
         ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        hook = work.save(ends.groupBy("id").agg(F.least("id", F.min("other")).alias("to")))
-        hooks.append(hook)
+        hooks.append(hook := work.save(ends.groupBy("id").agg(F.least("id", F.min("other")).alias("to"))))
+        if not edges.saved_rows:
+            break
         one = hook.select(F.col("id").alias("a"), F.col("to").alias("x"))
         two = hook.select(F.col("id").alias("b"), F.col("to").alias("y"))
         moved = edges.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = work.save(moved.where("a <> b").distinct())
-    if not hooks:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     label = hooks[0].select("id", F.col("to").alias("label"))
     for hook in hooks[1:]:
-        label = work.save(label.join(hook.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
-    while True:  # hooks of one round may form chains
-        up = label.select(F.col("id").alias("label"), F.col("label").alias("to"))
-        new = work.save(label.join(up, "label", "left").select("id", F.coalesce("to", "label").alias("label"), (F.coalesce("to", "label") != F.col("label")).alias("moved")))
-        label = new.select("id", "label")
-        if new.where("moved").isEmpty():
-            return label
+        label = label.join(hook.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return work.save(label) if len(hooks) > 1 else label
 
 
-def _prefix_pairs(work: Workspace, docs: DataFrame, plan: DedupPlan) -> DataFrame:
-    """All pairs of ``docs`` (doc_id, text, label) that may be similar enough, between different labels.
+def _cluster_pairs(work: Workspace, heavy: DataFrame, known: DataFrame, plan: DedupPlan) -> DataFrame:
+    """Pairs (a, b) of documents that meet in the buckets ``heavy`` (key, doc_id) and whose sketches allow a link.
 
-    Two similar sets share a shingle among the first n - ceil(percent * n / 100)
-    + 1 of either, in any common order; in order of rarity few pairs share one.
+    Buckets that share documents form clusters, mostly one for each passage that
+    makes up much of many documents.  A cluster's documents are dealt out to blocks
+    of about ``plan.block``, and blocks are compared with blocks, each pair of
+    documents once.
     """
+    pivots = heavy.groupBy("key").agg(F.min("doc_id").alias("pivot"))
+    clusters = components(work, work.save(heavy.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()))
+    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("blocks"))
+    dealt = clusters.join(sizes, "label").select(F.col("label").alias("cluster"), F.expr("pmod(xxhash64(id), blocks)").cast("int").alias("block"), F.col("id").alias("doc_id")).join(known, "doc_id")
+    held = dealt.groupBy("cluster", "block").agg(F.collect_list(F.struct("doc_id", "label", "n", "bits")).alias("docs"))
+    held = work.save(held.select("cluster", "block", "docs.doc_id", "docs.label", "docs.n", F.flatten("docs.bits").alias("bits")))
+    one, two = _sides(held, "cluster")
+    most = plan.bits * (100 - plan.screen) // 200
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), plan.words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "label", "n", "shingles"])
+            for row in range(batch.num_rows):
+                ids, labels, n, bits = ([np.asarray(batch.column(4 * side + k)[row].values) for side in (0, 1)] for k in range(4))
+                bits = [x.reshape(len(i), -1) for x, i in zip(bits, ids, strict=True)]
+                for at in range(len(ids[0])):
+                    may = (labels[1] != labels[0][at]) & (ids[1] != ids[0][at]) & (100 * np.minimum(n[1], n[0][at]) >= plan.percent * np.maximum(n[1], n[0][at]))
+                    other = np.flatnonzero(may)
+                    other = other[np.bitwise_count(bits[1][other] ^ bits[0][at]).sum(axis=1) <= most]
+                    if len(other):
+                        low, high = np.minimum(ids[1][other], ids[0][at]), np.maximum(ids[1][other], ids[0][at])
+                        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
-    sets = work.save(docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label long, n long, shingles array<long>"))
-    rows = sets.select("doc_id", "label", "n", F.explode("shingles").alias("shingle"))
-    often = work.save(rows.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1"))
-    ranked = sets.select("doc_id", F.explode("shingles").alias("shingle")).join(often, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("shared"))
-    # Shingles of one document only come first and lead to no pair.
-    first = sets.join(ranked, "doc_id").withColumn("take", F.expr(f"n - ceil({plan.percent} * n / 100D) + 1 - (n - size(shared))")).where("take > 0")
-    keyed = work.save(first.select("doc_id", "label", "n", F.explode(F.expr("slice(shared.shingle, 1, cast(take as int))")).alias("shingle")))
-    one, two = (keyed.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "label", "n"))) for side in "ab")
-    close = f"doc_id_a < doc_id_b AND label_a <> label_b AND 100 * least(n_a, n_b) >= {plan.percent} * greatest(n_a, n_b)"
-    return one.join(two, "shingle").where(close).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    fields = [f"{c}_{side}" for side in "ab" for c in ("doc_id", "label", "n", "bits")]
+    return one.join(two, "cluster").where("block_a <= block_b").select(*fields).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,68 +226,62 @@ def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan(), id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = work.save(sketches(docs, plan))
     classes = work.save(sketched.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep")))
-    members = work.save(sketched.drop("halves").join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
-
     half = work.save(sketched.where("print IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("halves").alias("k", "half")))
-    work.drop(sketched)
     shared = work.save(half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
     left = F.col("k") < plan.halves
     sides = half.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_list(F.when(left, F.col("half"))).alias("one"), F.collect_list(F.when(~left, F.col("half"))).alias("two"))
-    keyed = sides.select("doc_id", "two", F.explode("one").alias("l")).select("doc_id", "l", F.explode("two").alias("r")).select("doc_id", F.xxhash64("l", "r").alias("key"))
-    keys = work.save(keyed)
-    work.drop(half, shared)
+    keys = work.save(sides.select("doc_id", "two", F.explode("one").alias("l")).select("doc_id", "l", F.explode("two").alias("r")).select("doc_id", F.xxhash64("l", "r").alias("key")))
     buckets = work.save(keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
     rows = work.save(keys.join(buckets, "key"))
-    work.drop(keys, buckets)
+    work.drop(half, shared, keys, buckets)
     texts = work.save(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def pivoted(rows: DataFrame) -> DataFrame:
         return rows.where("doc_id <> pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
 
-    done = work.save(pivoted(rows))
-    edges = work.save(_similar(done, texts, plan))
-    label = components(work, edges)
+    label = components(work, work.save(_similar(pivoted(rows), texts, plan)))
+
+    def link(pairs: DataFrame) -> None:
+        """Verifies pairs of documents of different components and merges the components of those linked."""
+        nonlocal label
+        found = _similar(pairs, texts, plan)
+        for side in "ab":
+            found = found.join(label.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).drop(f"label_{side}")
+        found = work.save(found.where("a <> b").distinct())
+        if found.saved_rows:
+            merged = components(work, found)
+            moved = label.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+            label = work.save(moved.unionByName(merged.join(label, "id", "left_anti")))
 
     def unresolved(rows: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component."""
-        labelled = work.save(rows.select("key", "doc_id", "n").join(label.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")))
+        labelled = rows.select("key", "doc_id", "n").join(label.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
         mixed = work.save(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"))
         return work.save(labelled.join(mixed, "key", "left_semi"))
 
-    def link(pairs: DataFrame) -> None:
-        nonlocal done, edges, label
-        new = work.save(pairs.join(done, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            found = work.save(_similar(new, texts, plan))
-            done = done.unionAll(new)
-            if not found.isEmpty():
-                edges = edges.unionAll(found)
-                label = components(work, edges)
-
     open_rows = unresolved(rows)
-    for turn in range(1, plan.pivots):
-        if open_rows.isEmpty():
-            break
+    if open_rows.saved_rows:
         # Another pivot from each bucket; members of its component need no comparison.
-        order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("x"), F.col("doc_id"), F.col("label"))
-        pivots = work.save(open_rows.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.label").alias("pivot_label")))
+        collisions = open_rows.groupBy("doc_id").agg(F.count("*").alias("times"))
+        order = F.max(F.struct("times", (-F.col("doc_id")).alias("minus"), F.col("label"))).alias("p")
+        pivots = work.save(open_rows.join(collisions, "doc_id").groupBy("key").agg(order).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.label").alias("pivot_label")))
         link(pivoted(open_rows.join(pivots, "key").where("label <> pivot_label")))
         open_rows = unresolved(open_rows)
-    if not open_rows.isEmpty():
-        sizes = work.save(open_rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.first("n").alias("n")))
-        per = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.max("n").alias("n"), F.expr("sum(m * (n - m)) / 2").alias("pairs"))
-        per = work.save(per.select("key", F.col("top.label").alias("top"), "n", "pairs"))
-        few = per.where(F.col("pairs") <= F.lit(plan.linear) * F.col("n"))
-        inside = work.save(open_rows.join(few.select("key", "top"), "key"))
-        one = inside.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("label").alias("lx"))
-        two = inside.select("key", F.col("doc_id").alias("y"), F.col("label").alias("ly"))
-        link(one.join(two, "key").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        many = per.where(F.col("pairs") > F.lit(plan.linear) * F.col("n")).select("key")
-        rest = unresolved(open_rows.join(many, "key", "left_semi")).select("doc_id", "label").distinct()
-        rest = work.save(rest.join(texts, "doc_id"))
-        if not rest.isEmpty():
-            link(_prefix_pairs(work, rest, plan))
-
+    if open_rows.saved_rows:
+        known = work.save(bit_sketches(open_rows.select("doc_id", "label").distinct().join(texts, "doc_id"), plan))
+        sizes = open_rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.first("n").alias("members"))
+        per = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.max("members").alias("members"), F.expr("sum(m * (members - m)) / 2").alias("pairs"))
+        per = per.select("key", F.col("top.label").alias("top"), (F.col("pairs") <= F.lit(plan.linear) * F.col("members")).alias("few"))
+        per = work.save(per)
+        inside = work.save(open_rows.select("key", "doc_id").join(per.where("few").select("key", "top"), "key").join(known, "doc_id"))
+        one, two = _sides(inside, "key")
+        pairs = one.where("label_a <> top_a").join(two, "key").where(_close(plan)).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+        if (many := per.where("NOT few").select("key")).limit(1).count():
+            heavy = work.save(open_rows.join(many, "key", "left_semi").select("key", "doc_id"))
+            pairs = pairs.unionByName(_cluster_pairs(work, heavy, known, plan))
+        link(work.save(pairs.distinct()))
+
+    members = sketched.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     labelled = members.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left")
     out = labelled.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.select("*", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

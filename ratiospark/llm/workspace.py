@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Workspace:
@@ -23,11 +24,12 @@ class Workspace:
         self.count = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """The table as written; ``saved_rows`` of it is its number of rows."""
         self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        path, seen = f"{self.root}/{self.count}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out.saved_path = path
+        out.saved_path, out.saved_rows = path, seen.get["rows"]
         return out
 
     def drop(self, *tables: DataFrame) -> None:
