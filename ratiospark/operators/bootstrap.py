@@ -71,7 +71,7 @@ def weighted_study(resampled: DataFrame, av: str = "av", sp: str = "sp") -> Data
     w, r = F.col("mult"), F.col(av) / F.col(sp)
     rows = resampled.withColumn("r", r)
     first = rows.groupBy("bootstrap_id").agg(F.sum("mult").alias("n"), F.percentile("r", 0.5, w).alias("median_ratio"), (F.sum(w * F.col("r")) / F.sum(w)).alias("mean_ratio"), ratio(F.sum(w * F.col(av)), F.sum(w * F.col(sp))).alias("wmean_ratio"))
-    second = rows.join(F.broadcast(first.select("bootstrap_id", "median_ratio")), "bootstrap_id").groupBy("bootstrap_id").agg((100 * F.sum(w * F.abs(F.col("r") - F.col("median_ratio"))) / F.sum(w) / F.first("median_ratio")).alias("cod"))
+    second = rows.join(first.select("bootstrap_id", "median_ratio"), "bootstrap_id").groupBy("bootstrap_id").agg((100 * F.sum(w * F.abs(F.col("r") - F.col("median_ratio"))) / F.sum(w) / F.first("median_ratio")).alias("cod"))
     return first.join(second, "bootstrap_id").withColumn("prd", ratio("mean_ratio", "wmean_ratio"))
 
 
