@@ -152,7 +152,7 @@ def least_mse_constrained(df: DataFrame, features: Sequence[str], y: str, share:
     return bounded_maximum(df, features, y, lambda high, low: (1 + share) * (high - low))
 
 
-def tail_mean(df: DataFrame, features: Sequence[str], y: str, keep: float, l2: float = 0.0, extra: Callable[[Column], Column] | None = None, steps: int = 40) -> LinearModel:
+def tail_mean(df: DataFrame, features: Sequence[str], y: str, keep: float, l2: float = 0.0, extra: Callable[[Column], Column] | None = None, steps: int = 15) -> LinearModel:
     """Least mean of the worst ``keep`` share of row losses: |residual| plus ``extra`` of the prediction.
 
     Each step finds the exact quantile of the losses and refits on the rows

@@ -142,6 +142,28 @@ def held_out(rows: DataFrame, test: DataFrame, specs: Sequence[Spec], p: Protoco
     return flags.scorecard(ratio_study.bundle(tables.union_ragged(scored), ["config_id", "model_name"], keys=p.key))
 
 
+def cluster_routed(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame], object], cluster: str = "cluster", most: int = 100) -> DataFrame:
+    """Each cluster's rows predicted by the model of that cluster; clusters without training rows give no predictions."""
+    labels = sorted(r[0] for r in train.select(cluster).where(F.col(cluster).isNotNull()).distinct().limit(most + 1).collect())
+    if len(labels) > most:
+        raise ValueError(f"over {most} clusters")
+    return tables.union_ragged([fit(train.where(F.col(cluster) == c)).transform(test.where(F.col(cluster) == c)) for c in labels])
+
+
+def scatter_tables(predictions: DataFrame, cluster: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """V7: ratio, log ratio, residual and log residual by row, and their trend lines over price, overall or by cluster."""
+    groups = [cluster] if cluster else []
+    rows = predictions.select(*groups, "sp", "av", (F.col("av") / F.col("sp")).alias("ratio"), (F.log("av") - F.log("sp")).alias("log_ratio"), (F.col("av") - F.col("sp")).alias("residual"), (F.log("sp") - F.log("av")).alias("log_residual"))
+    lines = [ratio_study.line_fit(rows, groups, y, "sp").withColumn("y", F.lit(y)) for y in ("ratio", "log_ratio", "residual", "log_residual")]
+    return rows, tables.union_ragged(lines)
+
+
+def parameter_series(runs: DataFrame, parameter: str, metrics: Sequence[str]) -> DataFrame:
+    """V8, V9: mean and deviation of metrics along a parameter of the configuration."""
+    valued = runs.withColumn(parameter, F.get_json_object("model_config_json", f"$.{parameter}").cast("double"))
+    return summary.evolution(valued, ["model_name", parameter], metrics)
+
+
 def stacked(spark: SparkSession, root: str, accuracy: str = "r2", prd: tuple[float, float] = (0.98, 1.03)) -> tuple[DataFrame, DataFrame]:
     """K1-K5: (weights, ensemble metrics by fold) of the runs below ``root``."""
     done = spark.read.parquet(f"{root}/runs")

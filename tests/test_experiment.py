@@ -49,6 +49,17 @@ def test_held_out(spark, sold):
     assert len(experiment.default_specs(["a"])) == 32
 
 
+def test_plot_tables(spark, sold):
+    rows = sold.withColumns({"y": F.log("price"), "cluster": F.col("k") % 2})
+    fit = lambda df: linear.least_squares(df, ["a"], "y")
+    routed = experiment.cluster_routed(rows.where("k < 300"), rows.where("k >= 300"), fit)
+    assert routed.count() == 100
+    points, lines = experiment.scatter_tables(routed.select("cluster", F.exp("y").alias("sp"), F.exp("prediction").alias("av")), "cluster")
+    assert points.count() == 100 and lines.count() == 8
+    runs = spark.createDataFrame([("m", '{"rho":0.5}', 1.0), ("m", '{"rho":0.5}', 3.0), ("m", '{"rho":1}', 5.0)], "model_name string, model_config_json string, r2 double")
+    assert {(r.rho, r["mean"]) for r in experiment.parameter_series(runs, "rho", ["r2"]).collect()} == {(0.5, 2.0), (1.0, 5.0)}
+
+
 def test_files(spark, tmp_path):
     tables.write_json_atomically({"b": 1, "a": [2]}, f"{tmp_path}/x.json")
     assert json.loads((tmp_path / "x.json").read_text()) == {"a": [2], "b": 1}

@@ -52,6 +52,14 @@ def test_tail_mean_lowers_the_tail(data):
     assert tail(linear.tail_mean(df, ["a", "b"], "y", 0.2, steps=15)) <= tail(linear.least_absolute(df, ["a", "b"], "y")) + 1e-6
 
 
+def test_penalised_tails(data):
+    df, x, y = data
+    spread = lambda m: np.mean(((m.intercept + x @ m.beta) / y - 1) ** 2)
+    free = linear.stable_regression(df, ["a", "b"], "y", keep=0.5)
+    for m in (linear.stable_adversarial(df, ["a", "b"], "y", 0.5, 1.0, 5.0), linear.robust_ratio(df, ["a", "b"], "y", 0.5, 5.0), linear.log_absolute(df, ["a", "b"], "y")):
+        assert abs(m.intercept - 12) < 0.3 and spread(m) < 4 * spread(free)
+
+
 def test_glm_and_groups(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=2000)
