@@ -177,7 +177,7 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
     label = hooks[0].select("id", F.col("to").alias("label"))
     for hook in hooks[1:]:
         label = label.join(hook.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-    return work.save(label) if len(hooks) > 1 else label
+    return work.save(label)
 
 
 def _cluster_pairs(work: Workspace, heavy: DataFrame, known: DataFrame, plan: DedupPlan) -> DataFrame:
@@ -281,6 +281,7 @@ def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan(), id_col: str
             pairs = pairs.unionByName(_cluster_pairs(work, heavy, known, plan))
         link(work.save(pairs.distinct()))
 
+    work.keep(sketched, classes, label)
     members = sketched.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     labelled = members.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left")
     out = labelled.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

@@ -113,8 +113,8 @@ def revealing_terms(work: Workspace, base: DataFrame, corpus: DataFrame, plan: P
     near = work.save(near.select("doc_id", "print", entity.alias("entity"), F.explode(F.array_distinct(F.concat(_words(before), _words(after)))).alias("term")).distinct())
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("print").alias("texts"), F.count_distinct("doc_id").alias("both")).where(F.col("texts") >= plan.support)
     pairs = work.save(pairs)
-    often = corpus.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
-    often = work.save(often.join(pairs.select("term").distinct(), "term", "left_semi"))
+    # All terms are counted, and written, before any is looked up: one row a term meets the join.
+    often = work.save(corpus.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs")))
     left = F.greatest(F.lit(0.0), F.log2(F.col("docs") / F.col("both")))
     telling = work.save(pairs.join(often, "term").withColumn("bits", left).where(F.col("bits") <= plan.residual_bits).select("entity", "term", "bits"))
     return work.save(near.join(telling, ["entity", "term"]).groupBy("doc_id", "term").agg(F.min("bits").alias("bits")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "bits"))).alias("terms")))
@@ -152,6 +152,7 @@ def find_spans(docs: DataFrame, plan: PiiPlan = PiiPlan(), id_col: str = "doc_id
     base = work.save(located(docs, plan, id_col, text_col))
     spanned = base.where(F.size("spans") > 0)
     terms = revealing_terms(work, spanned, base.select("doc_id", "text"), plan)
+    work.keep(base, terms)
     found = _with_terms(spanned.join(terms, "doc_id", "left"), plan)
     return base.where(F.size("spans") == 0).unionByName(found.select("row", "doc_id", "text", "spans"))
 

@@ -22,6 +22,7 @@ class Workspace:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
         self.root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: set[str] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         """The table as written; ``saved_rows`` of it is its number of rows."""
@@ -30,11 +31,19 @@ class Workspace:
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_path, out.saved_rows = path, seen.get["rows"]
+        self.paths.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes saved tables that nothing needs any more."""
+        self._delete({df.saved_path for df in tables})
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all saved tables but these."""
+        self._delete(self.paths - {df.saved_path for df in tables})
+
+    def _delete(self, paths: set[str]) -> None:
         jvm = self.spark._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        for path in map(jvm.org.apache.hadoop.fs.Path, sorted(paths)):
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths -= paths
