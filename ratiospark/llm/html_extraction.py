@@ -32,7 +32,7 @@ HINTS = set("ad ads advert advertisement advertising adslot banner breadcrumb br
 NAMED = set("article main body html section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody blockquote pre figure figcaption address".split()) | INLINE | VOID | DROPPED
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r""")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|<[!?][^>]*>""",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r""")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*|[^<>]*)>|<[!?][^>]*>""",
     re.I | re.S,
 )
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -47,7 +47,7 @@ class ExtractionPlan:
     word_cap: float = 2.0
     tag_cap: float = 40.0
     unknown_word: float = 1.0
-    unknown_tag: float = -1.0
+    unknown_tag: float = -0.1
     dropped: float = -0.01
 
 
