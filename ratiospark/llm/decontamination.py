@@ -26,13 +26,17 @@ from ratiospark.llm.workspace import Workspace
 
 @dataclass(frozen=True)
 class SeedPlan:
-    """``masks``: 1 for a selected position.  An overlap counts from ``identity`` on, with ``tokens`` matches or ``coverage`` of the item."""
+    """``masks``: 1 for a selected position.  An overlap counts from ``identity`` on, with ``tokens`` matches or ``coverage`` of the item.
+
+    ``max_bits`` bounds the bit map, ``region`` the tokens kept together around hits.
+    """
 
     masks: tuple[str, ...] = ("110101001", "1010011001", "1001110001", "111101")
     tokens: int = 13
     coverage: float = 0.6
     identity: float = 0.7
     max_bits: int = 1 << 27
+    region: int = 1024
 
 
 _BLANK = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
@@ -113,7 +117,7 @@ def _hits(docs: DataFrame, bit_map: np.ndarray, margin: int, plan: SeedPlan) ->
                     continue
                 order = np.argsort(at, kind="stable")
                 at, found = at[order], found[order].view(np.int64)
-                cuts = np.flatnonzero(np.diff(at) > 2 * margin) + 1
+                cuts = np.flatnonzero((np.diff(at) > 2 * margin) | (np.diff(at // plan.region) > 0)) + 1
                 for part, (a, f) in enumerate(zip(np.split(at, cuts), np.split(found, cuts), strict=True)):
                     start, end = max(0, int(a[0]) - margin), int(a[-1]) + margin
                     out.append((doc, part, start, words[start:end].view(np.int64), a.astype(np.int32), f))
@@ -151,6 +155,9 @@ def overlaps(docs: DataFrame, items: DataFrame, plan: SeedPlan = SeedPlan(), id_
     hits = work.save(regions.select(*place, F.explode(F.arrays_zip("at", "seeds")).alias("h")).select(*place, F.col("h.at").alias("at"), F.col("h.seeds").alias("seed")))
     lines = work.save(hits.join(test, "seed").select(*place, "item_id", (F.col("at") - F.col("item_at")).alias("line")).distinct())
     pairs = lines.join(regions.select(*(F.col(c).alias(f"r_{c}") for c in place), "tokens"), F.expr("doc_id <=> r_doc_id AND part = r_part AND start = r_start")).select(*place, "item_id", "line", "tokens").join(words, "item_id")
+    # Of a region's tokens, those beside the item on the line.
+    first = F.greatest(F.col("line") - F.col("start"), F.lit(0))
+    pairs = pairs.withColumn("tokens", F.slice("tokens", first + 1, F.size("item"))).withColumn("start", F.col("start") + first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +176,8 @@ def overlaps(docs: DataFrame, items: DataFrame, plan: SeedPlan = SeedPlan(), id_
 
     found = pairs.select("doc_id", "item_id", "start", "line", "tokens", "item").mapInArrow(run, "doc_id long, item_id long, start_token long, end_token long, n_matches long, n_substituted long")
     best = F.max(F.struct("n_matches", -F.col("n_substituted"), -F.col("start_token"), F.col("end_token"))).alias("best")
-    out = found.groupBy("doc_id", "item_id").agg(best)
+    out = work.save(found.groupBy("doc_id", "item_id").agg(best))
+    work.keep(out)
     return out.select("doc_id", "item_id", (-F.col("best.col3")).alias("start_token"), "best.end_token", "best.n_matches", (-F.col("best.col2")).alias("n_substituted"))
 
 
