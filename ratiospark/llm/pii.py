@@ -89,11 +89,14 @@ def base_spans(text: Column, context: int) -> Column:
 
 
 def located(docs: DataFrame, plan: PiiPlan, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` as ``row``, with doc_id, text (null: empty) and base ``spans``."""
+    """``docs`` as ``row``, with doc_id and base ``spans``; the text is only in the row."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
-    rows = rows.select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.withColumn("spans", base_spans(F.col("text"), plan.context))
+    spans = base_spans(_text(text_col), plan.context)
+    return rows.select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), spans.alias("spans"))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
 
 
 def _words(text: Column) -> Column:
@@ -149,12 +152,13 @@ def find_spans(docs: DataFrame, plan: PiiPlan = PiiPlan(), id_col: str = "doc_id
     null id get base spans only.  An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession)
-    base = work.save(located(docs, plan, id_col, text_col))
+    saved = work.save(located(docs, plan, id_col, text_col))
+    base = saved.withColumn("text", _text(text_col))
     spanned = base.where(F.size("spans") > 0)
     terms = revealing_terms(work, spanned, base.select("doc_id", "text"), plan)
-    work.keep(base, terms)
+    work.keep(saved, terms)
     found = _with_terms(spanned.join(terms, "doc_id", "left"), plan)
-    return base.where(F.size("spans") == 0).unionByName(found.select("row", "doc_id", "text", "spans"))
+    return base.where(F.size("spans") == 0).unionByName(found.select("row", "doc_id", "spans", "text"))
 
 
 def _listed(spans: Column) -> Column:
