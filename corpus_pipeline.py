@@ -11,21 +11,24 @@ from ratiospark.llm.tables import table
 from ratiospark.llm.workspace import Workspace
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Drops the rows of the rejected ids; a row with a null id can't be named and stays."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    verdict = quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").select(*docs.columns)
+    return _without(docs, quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near duplicates."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that overlap a benchmark item."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return _without(docs, decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")))
 
 
 def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     ``n_shouts`` the exclamation marks.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    trimmed = F.regexp_replace(body, rf"^{BLANKS}+|{BLANKS}+\z", "")
+    trimmed = F.regexp_replace(body, rf"^{BLANKS}++|(?<!{BLANKS}){BLANKS}++\z", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{BLANKS}+"))
 
     def of_words(w: Column) -> Column:
