@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ratiospark.functions.ids import stable_id
 from ratiospark.functions.numeric import r_squared
-from ratiospark.operators import bootstrap, boosting, features, flags, folds, linear, ratio_study, stacking, summary
+from ratiospark.operators import bootstrap, boosting, dependence, features, flags, folds, linear, ratio_study, stacking, summary
 from ratiospark.operators.positions import average_rank, exact_sample, first_per_key, with_position
 from ratiospark.plans.bindings import KEYS, RUNS, SALES, STUDY, global_mean, ordered, runs, sales, table
 from ratiospark.sources.tables import union_ragged
@@ -90,6 +90,16 @@ def ratio_vei_profile(spark, sf):
     return rounded(ratio_study.vei_profile(sales(spark, sf), ["flag"], keys=KEYS).select("flag", "stratum", "count", "median_ratio"))
 
 
+_VEI_BRAND = _VEI.replace("PARTITION BY flag", "PARTITION BY brand").replace("SELECT flag, stratum", "SELECT brand, stratum").replace("GROUP BY flag", "GROUP BY brand")
+_STUDY_BRAND = STUDY.replace("SELECT flag, count(*)", "SELECT brand, count(*)").replace("GROUP BY flag", "GROUP BY brand").replace("USING (flag)", "USING (brand)")
+
+
+@query(f"WITH {_STUDY_BRAND}{_VEI_BRAND} SELECT brand, round(CASE WHEN min(count) >= 10 THEN 100 * (max(CASE WHEN stratum = k - 1 THEN median_ratio END) - max(CASE WHEN stratum = 0 THEN median_ratio END)) / any_value(m) END, 6) AS vei, array_to_string(list(count ORDER BY stratum), ',') AS counts FROM prof GROUP BY brand")
+def ratio_vei_report(spark, sf):
+    out = ratio_study.vei(sales(spark, sf), ["brand"], keys=KEYS, rule="all")
+    return rounded(out.select("brand", "vei", F.array_join("vei_counts", ",").alias("counts")))
+
+
 _GINI = """, placed AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY sp, av DESC) AS pos FROM st),
     g AS (SELECT flag, (2 * sum(av * pos) / sum(av) - (count(*) + 1)) / count(*) AS gini_av, (2 * sum(sp * pos) / sum(sp) - (count(*) + 1)) / count(*) AS gini_sp FROM placed GROUP BY flag)"""
 
@@ -207,6 +217,12 @@ def line_fit(spark, sf):
     return out.select("flag", F.round(1000 * F.col("slope"), 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
+@query("WITH c AS (SELECT c_nationkey AS x, c_mktsegment AS y, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT sum(n) AS t FROM c), a AS (SELECT x, sum(n) AS nx FROM c GROUP BY x), b AS (SELECT y, sum(n) AS ny FROM c GROUP BY y) SELECT round(sum(n / t * ln(n * t / (nx * ny))), 6) AS mi FROM c JOIN a USING (x) JOIN b USING (y), t")
+def mutual_information(spark, sf):
+    cells = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("x"), F.col("c_mktsegment").alias("y")).agg(F.count("*").alias("n"))
+    return rounded(dependence.mutual_information(cells, "x", "y"))
+
+
 # Strata.
 
 _STRATA = f"""WITH {STUDY}, edges AS (SELECT list_distinct(quantile_cont(sp, [0.2, 0.4, 0.6, 0.8])) AS e FROM st),
