@@ -33,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and terms that reveal it, by tags."""
-    safe = pii.sanitise(pii.find_spans(docs), docs.columns)
+    safe = pii.sanitise(pii.find_spans(docs, pii.PiiPlan(everywhere=True)), docs.columns)
     return safe.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else safe
 
 

@@ -1,17 +1,18 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns protect.
 
-The patterns give base spans.  Their values are the protected entities.  How
-strongly a term reveals an entity is estimated from the corpus: with P(e | t) the
-share of the documents with t in which t stands near e, the pointwise mutual
-information is PMI(t; e) = log2(P(e | t) / P(e)), and e's own information is
-IC(e) = -log2 P(e).  A term discloses e where at most ``residual_bits`` of IC(e)
-are left, IC(e) - PMI(t; e) = -log2 P(e | t), and where ``support`` different
-texts show the pair.  It is then a span wherever it occurs in a document that
-mentions e: it is removed if it leaves under ``removed_bits``, else generalised
-to a tag.
-
-All on the main path are DataFrame functions.  Texts are not shuffled, but for
-those with base spans.
+The patterns give base spans.  Their values are the protected entities, and so is
+what values share: an address's account and domain, an ip's first two and three
+parts, a card's issuer, a phone number without its last four digits.  How strongly
+a term reveals an entity is estimated from the corpus: with P(e | t) the share of
+the documents with t that mention e, the pointwise mutual information is
+PMI(t; e) = log2(P(e | t) / P(e)), and e's own information is IC(e) = -log2 P(e).
+A term discloses e where at most ``residual_bits`` of IC(e) are left,
+IC(e) - PMI(t; e) = -log2 P(e | t), and where ``support`` different texts show the
+pair; an e whose IC is no more than that has nothing to disclose.  The term is then
+a span in every document that holds it (``everywhere``), or in those that mention
+e: it is removed if it leaves under ``removed_bits``, else generalised to a tag.
+
+All on the main path are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -35,17 +36,17 @@ PATTERNS = {
 #: Cheap patterns without which a text has no match.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
 @dataclass(frozen=True)
 class PiiPlan:
-    """``context``: characters beside an entity in which terms are near it."""
+    """``everywhere``: tag a term also in documents that do not mention the entity it discloses."""
 
-    context: int = 80
     support: int = 3
     residual_bits: float = 1.0
     removed_bits: float = 0.15
+    everywhere: bool = False
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -62,7 +63,7 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(F.length(digits).between(12, 19), total % 10 == 0).otherwise(False)
 
 
-def _spans_of(text: Column, kind: str, context: int) -> Column:
+def _spans_of(text: Column, kind: str) -> Column:
     """A kind's valid spans, in order: their places follow from the lengths of the gaps between matches."""
     pattern, rank, none = PATTERNS[kind], KINDS.index(kind), F.array().cast(SPAN)
 
@@ -72,7 +73,7 @@ def _spans_of(text: Column, kind: str, context: int) -> Column:
         def add(acc: Column, k: Column) -> Column:
             start = acc["at"] + F.length(gaps[k])
             end = start + F.length(hits[k])
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), hits[k].alias("value"), F.right(gaps[k], F.lit(context)).alias("before"), F.left(gaps[k + 1], F.lit(context)).alias("after"))
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), hits[k].alias("value"))
             return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).cast(SPAN).alias("spans"))
 
         start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
@@ -83,16 +84,16 @@ def _spans_of(text: Column, kind: str, context: int) -> Column:
     return F.when(text.rlike(NEEDS[kind]), spans).otherwise(none)
 
 
-def base_spans(text: Column, context: int) -> Column:
+def base_spans(text: Column) -> Column:
     """Spans (``SPAN``) of the patterns, by start, then kind; code points, end exclusive."""
-    return F.sort_array(F.concat(*(_spans_of(text, kind, context) for kind in KINDS)))
+    return F.sort_array(F.concat(*(_spans_of(text, kind) for kind in KINDS)))
 
 
-def located(docs: DataFrame, plan: PiiPlan, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` as ``row``, with doc_id and base ``spans``; the text is only in the row."""
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` as ``row``, with a ``key`` for each, doc_id and base ``spans``; the text is only in the row."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    spans = base_spans(_text(text_col), plan.context)
-    return rows.select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), spans.alias("spans"))
+    spans = base_spans(_text(text_col))
+    return rows.select("row", F.monotonically_increasing_id().alias("key"), F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), spans.alias("spans"))
 
 
 def _text(text_col: str) -> Column:
@@ -103,24 +104,52 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0))
 
 
-def revealing_terms(work: Workspace, base: DataFrame, corpus: DataFrame, plan: PiiPlan) -> DataFrame:
-    """(doc_id, terms): for each document, the terms that disclose one of its entities, with what they leave of it.
+def _entities(s: Column) -> Column:
+    """What a span mentions: its value and what other values can share with it."""
+    low, digits = F.lower(s["value"]), F.regexp_replace(s["value"], "[^0-9]", "")
+    named = lambda name, value: F.concat(F.lit(f"{name}:"), value)
+    of = {
+        "email": (named("email", low), named("account", F.substring_index(low, "@", 1)), named("domain", F.substring_index(low, "@", -1))),
+        "ip": (named("ip", low), named("net", F.substring_index(low, ".", 3)), named("net", F.substring_index(low, ".", 2))),
+        "card": (named("card", digits), named("issuer", F.left(digits, F.lit(6)))),
+        "phone": (named("phone", digits), named("block", F.left(digits, F.length(digits) - 4))),
+    }
+    return F.coalesce(*(F.when(s["kind"] == kind, F.array(*names)) for kind, names in of.items()))
 
-    ``base`` has the documents with spans, ``corpus`` all (doc_id, text).
+
+def disclosing_pairs(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, entity) of the mentions, and (entity, term, bits) of the terms that disclose one.
+
+    ``base`` has all documents, ``rows`` of them, with key, text and spans.
     """
-    email = PATTERNS["email"]
-    before = F.regexp_replace(F.when(F.length("s.before") >= plan.context, F.regexp_replace("s.before", r"^[^\s]+", "")).otherwise(F.col("s.before")), email, " ")
-    after = F.regexp_replace(F.when(F.length("s.after") >= plan.context, F.regexp_replace("s.after", r"[^\s]+\z", "")).otherwise(F.col("s.after")), email, " ")
-    entity = F.concat_ws(":", "s.kind", F.when(F.col("s.kind").isin("card", "phone"), F.regexp_replace("s.value", "[^0-9]", "")).otherwise(F.lower("s.value")))
-    near = base.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("print"), F.explode("spans").alias("s"))
-    near = work.save(near.select("doc_id", "print", entity.alias("entity"), F.explode(F.array_distinct(F.concat(_words(before), _words(after)))).alias("term")).distinct())
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("print").alias("texts"), F.count_distinct("doc_id").alias("both")).where(F.col("texts") >= plan.support)
-    pairs = work.save(pairs)
+    spanned = base.where(F.size("spans") > 0)
+    mentions = work.save(spanned.select("key", F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity")))
+    # Fewer texts can't support a pair; an entity in more documents leaves no more than the bound by itself.
+    known = mentions.groupBy("entity").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("mentions")).where(F.col("texts") >= plan.support)
+    known = known.where(F.log2(F.lit(float(rows)) / F.col("mentions")) > plan.residual_bits).select("entity", "mentions")
+    shared = work.save(mentions.join(known, "entity"))
     # All terms are counted, and written, before any is looked up: one row a term meets the join.
-    often = work.save(corpus.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs")))
+    often = work.save(base.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= plan.support))
+    words = F.array_distinct(_words(F.regexp_replace("text", PATTERNS["email"], " ")))
+    held = spanned.join(shared.groupBy("key").agg(F.max("mentions").alias("most")), "key").select("key", "most", F.explode(words).alias("term"))
+    enough = lambda most: F.col(most) >= F.col("docs") * 2.0 ** -plan.residual_bits * (1 - 1e-9)
+    held = work.save(held.join(often, "term").where(enough("most")).select("key", "term", "docs"))
+    pairs = shared.join(held, "key").where(enough("mentions")).groupBy("entity", "term", "docs").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("both")).where(F.col("texts") >= plan.support)
     left = F.greatest(F.lit(0.0), F.log2(F.col("docs") / F.col("both")))
-    telling = work.save(pairs.join(often, "term").withColumn("bits", left).where(F.col("bits") <= plan.residual_bits).select("entity", "term", "bits"))
-    return work.save(near.join(telling, ["entity", "term"]).groupBy("doc_id", "term").agg(F.min("bits").alias("bits")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "bits"))).alias("terms")))
+    telling = work.save(pairs.withColumn("bits", left).where(F.col("bits") <= plan.residual_bits).select("entity", "term", "bits"))
+    return shared.select("key", "entity"), telling
+
+
+def revealing_terms(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int) -> DataFrame:
+    """(key, terms): for each document, the terms to tag, with what they leave of an entity."""
+    mentions, telling = disclosing_pairs(work, base, plan, rows)
+    if plan.everywhere:
+        bits = telling.groupBy("term").agg(F.min("bits").alias("bits"))
+        # Not a row of a text without a term is written.
+        found = base.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(bits, "term") if telling.saved_rows else bits.selectExpr("0L AS key", "term", "bits").limit(0)
+    else:
+        found = mentions.join(telling, "entity").groupBy("key", "term").agg(F.min("bits").alias("bits"))
+    return work.save(found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "bits"))).alias("terms")))
 
 
 def _with_terms(rows: DataFrame, plan: PiiPlan) -> DataFrame:
@@ -134,7 +163,7 @@ def _with_terms(rows: DataFrame, plan: PiiPlan) -> DataFrame:
             end = start + F.length(pair["hits"][k])
             bits = F.filter("terms", lambda t: t["term"] == F.lower(pair["hits"][k]))
             kind = F.when(F.exists(bits, lambda t: t["bits"] < plan.removed_bits), "removed_term").otherwise("term")
-            span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), kind.alias("kind"), pair["hits"][k].alias("value"), F.lit("").alias("before"), F.lit("").alias("after"))
+            span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), kind.alias("kind"), pair["hits"][k].alias("value"))
             return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).cast(SPAN).alias("spans"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(pair["hits"]) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda a: a["spans"])
@@ -148,17 +177,15 @@ def _with_terms(rows: DataFrame, plan: PiiPlan) -> DataFrame:
 def find_spans(docs: DataFrame, plan: PiiPlan = PiiPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as ``row``, with doc_id, text and all ``spans`` (``SPAN``).
 
-    Null texts count as empty.  Repeated rows each get their spans; rows with a
-    null id get base spans only.  An empty table gives an empty result.
+    Null texts count as empty.  Repeated rows and rows with a null id each get
+    their spans.  An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession)
-    saved = work.save(located(docs, plan, id_col, text_col))
+    saved = work.save(located(docs, id_col, text_col))
     base = saved.withColumn("text", _text(text_col))
-    spanned = base.where(F.size("spans") > 0)
-    terms = revealing_terms(work, spanned, base.select("doc_id", "text"), plan)
+    terms = revealing_terms(work, base, plan, saved.saved_rows)
     work.keep(saved, terms)
-    found = _with_terms(spanned.join(terms, "doc_id", "left"), plan)
-    return base.where(F.size("spans") == 0).unionByName(found.select("row", "doc_id", "spans", "text"))
+    return _with_terms(base.join(terms, "key", "left"), plan).select("row", "doc_id", "spans", "text")
 
 
 def _listed(spans: Column) -> Column:

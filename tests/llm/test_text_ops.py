@@ -303,6 +303,21 @@ def test_revealing_terms(spark):
     assert "Zarathu" not in safe[0] and "[EMAIL]" in safe[0] and safe[90] == rows[-2][1] and safe[91] is None
 
 
+def test_terms_of_shared_entities(spark):
+    """Each address occurs once; its domain and the term, far from it, meet in six texts."""
+    far = "lorem " * 60
+    rows = [(k if k else None, f"the clerk Zarathu {far} of case {'abcdefgh'[k]} is at {'pqrstuvw'[k]}@corp.org every day") for k in range(6)]
+    rows += [(10 + k, "the day of every other case is at hand") for k in range(40)]
+    rows += [(90, "Zarathu alone"), (None, "and Zarathu again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_spans(df, pii.PiiPlan(everywhere=True))
+    safe = [r.text for r in pii.sanitise(found, ["doc_id", "text"]).collect()]
+    assert len(safe) == len(rows) and not any("Zarathu" in t for t in safe)
+    assert "[TERM] alone" in safe and "and [TERM] again" in safe and rows[10][1] in safe
+    near = {r.text for r in pii.sanitise(pii.find_spans(df), ["doc_id", "text"]).collect()}
+    assert "Zarathu alone" in near and not any("Zarathu" in t and "EMAIL" in t for t in near)
+
+
 def test_personal_data_of_odd_rows(odd_docs):
     found = pii.find_spans(odd_docs)
     rows = {(r.doc_id, r.n_email, r.n_phone) for r in pii.span_report(found).collect()}
