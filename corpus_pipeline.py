@@ -11,24 +11,40 @@ from ratiospark.llm.tables import table
 from ratiospark.llm.workspace import Workspace
 
 
+#: A column, dropped again, that names a row where its id can't: ids may be null, or shared by rows.
+ROW = "_pipeline_row"
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Drops the rows of the rejected ids; a row with a null id can't be named and stays."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rejected rows, by ``ROW``, which is never null."""
+    return docs.join(rejected.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
-    return _without(docs, quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
+    """Drops the documents that the quality rules reject: a verdict depends on the language and the text."""
+    lang, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "text"))
+    named = docs.withColumn(ROW, F.md5(F.concat(F.length(lang).cast("string"), F.lit(":"), lang, text)))
+    return _without(named, quality_rules.judge(named, table(spark, sf_dir, "labels"), passed=(ROW,)).where("NOT kept"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates."""
-    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
+    """Keeps one row of each group of near duplicates, that of the lowest id; a null id comes last."""
+    work = Workspace(spark)
+    named = work.save(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(named, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    found = work.save(found.join(named.select(ROW, "doc_id"), ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row")))
+    groups = found.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    rejected = work.save(found.join(groups, "component_id").where(F.col(ROW) != F.col("first.row")).select(ROW))
+    work.keep(named, rejected)
+    return _without(named, rejected)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that overlap a benchmark item."""
-    return _without(docs, decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")))
+    """Drops the documents that overlap a benchmark item: a verdict depends on the text, of which 64 bits name it."""
+    named = docs.withColumn(ROW, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = decontamination.overlaps(named, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _without(named, found.withColumnRenamed("doc_id", ROW))
 
 
 def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

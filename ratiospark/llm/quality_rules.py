@@ -129,8 +129,8 @@ def certified_cutoffs(clean: DataFrame, plan: RiskPlan) -> DataFrame:
     return tests.where(passed).groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"max_{r}") for r in plan.cutoffs))
 
 
-def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed and kept.
+def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", passed: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the counts, base_failed and kept, and the columns ``passed`` on.
 
     ``labels`` has doc_id and quality; a document labelled both 0 and 1, or with
     a null, is not clean.  Null strata are one stratum.  Rows that repeat are
@@ -138,7 +138,7 @@ def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_co
     only the base rules reject.
     """
     work = Workspace(docs.sparkSession)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"), *passed)
     counted = counts(picked).drop("text")
     failed = (F.col("n_words") < plan.min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = work.save(counted.withColumn("base_failed", failed))
@@ -148,7 +148,7 @@ def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_co
     for rule in plan.cutoffs:
         rejected = rejected | F.coalesce(_value(rule) > F.col(f"max_{rule}"), F.lit(False))
     out = counted.join(cutoffs, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *passed)
 
 
 def rules_sql(plan: RiskPlan = RiskPlan()) -> str:

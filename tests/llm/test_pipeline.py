@@ -45,3 +45,22 @@ def test_stages_on_odd_rows(spark, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_decisions_reach_rows_without_an_id_of_their_own(spark):
+    words = lambda c: " ".join(f"{c}{chr(97 + k % 26)}{chr(97 + k // 26)}ord" for k in range(60))
+    a, b, c, few = words("q"), words("w"), words("z"), "plain words make a small text"
+    held = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+
+    def after(stage, rows):
+        docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+        done = stage(spark, docs, SF)
+        assert done.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in done.collect()), key=str)
+
+    rows = [(None, few), (1, a), (1, few), (None, b), (2, None)]
+    assert after(corpus_pipeline.quality, rows) == sorted([(1, a), (None, b)], key=str)
+    rows = [(5, a), (5, a), (5, b), (None, a), (2, a), (None, c), (None, c)]
+    assert after(corpus_pipeline.deduplicate, rows) == sorted([(2, a), (5, b), (None, c)], key=str)
+    rows = [(None, f"{a} {held}"), (3, f"{held} {a}"), (3, a), (None, b), (4, None)]
+    assert after(corpus_pipeline.decontaminate, rows) == sorted([(3, a), (None, b), (4, None)], key=str)
