@@ -50,12 +50,13 @@ class WordIds(dict):
     those of its words in order.  A word is cut by the tokenizer's own pattern
     and each part goes through the library's merges once; both are kept in
     tables of bounded size.  A word outside the Latin ranges, or one that could
-    hold a special token, goes through the whole library.
+    hold a special token, goes through the whole library; so does one with U+0130,
+    whose lower case is two characters and no one part.
     """
 
     #: White space to ``str.split`` but not to the tokenizer.
     ODD = "\x1c\x1d\x1e\x1f"
-    PLAIN = re.compile(r"[!-;=-~\u00a1-\u024f]+")
+    PLAIN = re.compile(r"[!-;=-~\u00a1-\u012f\u0131-\u024f]+")
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str, limit: int):

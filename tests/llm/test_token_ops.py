@@ -135,3 +135,12 @@ def test_sharding_odd_rows(odd_docs):
     found = sharding.place(odd_docs.withColumnRenamed("key", "slot"), "doc_id", ["a", "b"], 11)
     assert found.count() == 8 and found.where("shard IS NULL").count() == 0
     assert sharding.place(odd_docs.limit(0), "doc_id", ["a"], 11).count() == 0
+
+
+def test_word_ids_of_every_plain_character():
+    """Each character of the fast path, alone and in words, against the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), packing.WordIds(path, 400_000)
+    for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]):
+        for text in (c, f"a{c}", f"{c}b", f"a{c}b", f"1{c}.", f"{c}{c}"):
+            assert np.frombuffer(words.text(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
