@@ -47,7 +47,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.span_report(pii.find_spans(table(spark, sf_dir, "documents"), pii.PiiPlan(everywhere=True)))
+    return pii.span_report(pii.find_spans(table(spark, sf_dir, "documents"), pii.PiiPlan(everywhere=True, secrets=True)))
 
 
 def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,3 +360,61 @@ def test_one_url_in_many_stretches(spark):
 
     for r in warc_revisits.latest_earlier(Workspace(spark), probes, points, rows_each=10).collect():
         assert r.point_ts == ((r.ts - 1) // 7 * 7 if r.ts > 0 else None)
+
+
+def test_spans_of_a_text_with_many_matches(spark):
+    """Time in proportion to the matches: 60,000 addresses, and overlapping kinds, in one text."""
+    import time
+
+    began = time.perf_counter()
+    texts = ["192.168.1.1," * 60_000, "a@b.co +1 (974) 555-3436;é🎉" * 20_000, "Zarathu a@b.co " * 3000]
+    texts += [f"Zarathu {k} at z@corp.org" for k in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_spans(df)
+    rows = {r.doc_id: r for r in pii.span_report(found).collect()}
+    assert (rows[0].n_ip, rows[1].n_email, rows[1].n_phone) == (60_000, 20_000, 20_000)
+    for k in (0, 1, 2):
+        assert rows[k].base_sha256 == hashlib.sha256(spans_by_definition(texts[k]).encode()).hexdigest()
+    safe = {r.doc_id: r.text for r in pii.sanitise(found, df.columns).collect()}
+    assert safe[0] == "[IP]," * 60_000 and safe[1] == "[EMAIL] [PHONE];é🎉" * 20_000
+    assert time.perf_counter() - began < 120
+
+
+def test_terms_against_brute_force(spark):
+    """Spans of secrets and of terms on the given documents, the PMI taken from its definition."""
+    from collections import Counter, defaultdict
+    from math import log2
+
+    sf, plan = "/root/testdata/sf0.01", pii.PiiPlan(everywhere=True, secrets=True)
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    word = re.compile(r"[^\W\d_]{3,}")
+    secret = lambda t: [m for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}", t) if 4 <= sum(c.isdigit() for c in m[0]) <= len(m[0]) - 4]
+    held, with_term, both = defaultdict(set), Counter(), defaultdict(set)
+    for d, text in docs:
+        for kind, p in PATTERNS:
+            if any(valid(kind, m[0]) for m in re.finditer(p, text)):
+                held[d].add(kind)
+        if secret(text):
+            held[d].add("secret")
+        with_term.update(set(word.findall(text.lower())))
+    share = Counter(k for ks in held.values() for k in ks)
+    text_of = dict(docs)
+    for d, kinds in held.items():
+        plain = re.sub(PATTERNS[0][1], " ", text_of[d])
+        plain = re.sub(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}", " ", plain)
+        for t in set(word.findall(plain.lower())):
+            for k in kinds:
+                both[t, k].add(d)
+    telling = set()
+    for (t, k), found in both.items():
+        pmi = log2(len(found) / with_term[t] / (share[k] / len(docs)))
+        if len({text_of[d] for d in found}) >= plan.kind_support and log2(len(docs) / share[k]) - pmi <= plan.residual_bits:
+            telling.add(t)
+    assert telling == {"token"}
+    rows = pii.span_report(pii.find_spans(spark.read.parquet(f"{sf}/documents.parquet"), plan)).collect()
+    for r in rows:
+        text = text_of[r.doc_id]
+        want = sum(1 for m in word.finditer(text.lower()) if m[0] in telling)
+        spans = r.spans.split(",")
+        assert sum(s.startswith(("term:", "removed_term:")) for s in spans) == want
+        assert [s for s in spans if s.startswith("secret:")] == [f"secret:{m.start()}:{m.end()}" for m in secret(text)]
