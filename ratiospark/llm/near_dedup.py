@@ -36,7 +36,10 @@ from ratiospark.llm.workspace import Workspace
 
 @dataclass(frozen=True)
 class DedupPlan:
-    """``percent``: least similarity of a link.  ``linear``: pairs a member in the round of all pairs.  ``screen``: least estimate, in percent."""
+    """``percent``: least similarity of a link.  ``linear``: pairs a member in the round of all pairs.  ``screen``: least estimate, in percent.
+
+    ``block`` documents of a cluster are held in one row, ``tile`` blocks a side are compared in one task.
+    """
 
     words: int = 5
     percent: int = 75
@@ -45,6 +48,7 @@ class DedupPlan:
     linear: int = 24
     bits: int = 2048
     block: int = 256
+    tile: int = 8
     screen: int = 68
 
 
@@ -157,27 +161,41 @@ def _similar(pairs: DataFrame, texts: DataFrame, plan: DedupPlan) -> DataFrame:
     return both.select("a", "b", "text_b", "text_a").mapInArrow(run, "a long, b long")
 
 
+def _rooted(work: Workspace, hook: DataFrame) -> DataFrame:
+    """``hook`` (id, to) with every id led to the end of its way: ways halve in each step."""
+    while True:
+        up = hook.select(F.col("id").alias("to"), F.col("to").alias("up"))
+        new = work.save(hook.join(up, "to").select("id", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")), F.sum(F.col("moved").cast("long")).alias("moved"))
+        work.drop(hook)
+        hook = new
+        if not hook.saved_moved:
+            return hook
+
+
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """(id, label) of every node of the saved ``edges`` (a, b): the least node it reaches.
 
-    Each round hooks every node to its least neighbour and contracts the edges,
-    until none is left; a component's least node is never hooked, so the hooks of
-    all rounds, one after the other, lead to it.
+    Each round hooks every node to its least neighbour, follows the hooks to their
+    ends by doubling, and contracts the edges, until none is left.  A chain of
+    rising ids is one round, of as many steps as its length has binary digits; a
+    component's least node is never hooked.
     """
-    hooks = []
-    while edges.saved_rows or not hooks:
+    label = None
+    while edges.saved_rows or label is None:
         ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        hooks.append(hook := work.save(ends.groupBy("id").agg(F.least("id", F.min("other")).alias("to"))))
+        hook = _rooted(work, work.save(ends.groupBy("id").agg(F.least("id", F.min("other")).alias("to"))))
+        if label is None:
+            label = hook.select("id", F.col("to").alias("label"))
+            label.saved_path, label.saved_rows = hook.saved_path, hook.saved_rows
+        else:
+            label = work.save(label.join(hook.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
         if not edges.saved_rows:
             break
         one = hook.select(F.col("id").alias("a"), F.col("to").alias("x"))
         two = hook.select(F.col("id").alias("b"), F.col("to").alias("y"))
         moved = edges.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = work.save(moved.where("a <> b").distinct())
-    label = hooks[0].select("id", F.col("to").alias("label"))
-    for hook in hooks[1:]:
-        label = label.join(hook.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-    return work.save(label)
+    return label
 
 
 def _cluster_pairs(work: Workspace, heavy: DataFrame, known: DataFrame, plan: DedupPlan) -> DataFrame:
@@ -186,7 +204,9 @@ def _cluster_pairs(work: Workspace, heavy: DataFrame, known: DataFrame, plan: De
     Buckets that share documents form clusters, mostly one for each passage that
     makes up much of many documents.  A cluster's documents are dealt out to blocks
     of about ``plan.block``, and blocks are compared with blocks, each pair of
-    documents once.
+    documents once.  The pairs of blocks form a triangle that is cut into tiles of
+    ``plan.tile`` blocks a side; a tile is a key of its own, so one large cluster
+    is spread over as many tasks as it has tiles.
     """
     pivots = heavy.groupBy("key").agg(F.min("doc_id").alias("pivot"))
     clusters = components(work, work.save(heavy.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()))
@@ -194,7 +214,11 @@ def _cluster_pairs(work: Workspace, heavy: DataFrame, known: DataFrame, plan: De
     dealt = clusters.join(sizes, "label").select(F.col("label").alias("cluster"), F.expr("pmod(xxhash64(id), blocks)").cast("int").alias("block"), F.col("id").alias("doc_id")).join(known, "doc_id")
     held = dealt.groupBy("cluster", "block").agg(F.collect_list(F.struct("doc_id", "label", "n", "bits")).alias("docs"))
     held = work.save(held.select("cluster", "block", "docs.doc_id", "docs.label", "docs.n", F.flatten("docs.bits").alias("bits")))
-    one, two = _sides(held, "cluster")
+    tiles = sizes.select(F.col("label").alias("cluster"), F.ceil(F.col("blocks") / plan.tile).cast("int").alias("tiles"))
+    row = F.floor(F.col("block") / plan.tile).cast("int")
+    spread = held.join(tiles, "cluster").withColumn("row", row).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    spread = spread.withColumns({"low": F.least("row", "other"), "high": F.greatest("row", "other")}).drop("tiles", "other")
+    one, two = (spread.select("cluster", "low", "high", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "block", "doc_id", "label", "n", "bits"))) for side in "ab")
     most = plan.bits * (100 - plan.screen) // 200
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +235,16 @@ def _cluster_pairs(work: Workspace, heavy: DataFrame, known: DataFrame, plan: De
                         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     fields = [f"{c}_{side}" for side in "ab" for c in ("doc_id", "label", "n", "bits")]
-    return one.join(two, "cluster").where("block_a <= block_b").select(*fields).mapInArrow(run, "a long, b long")
+    met = one.where("row_a = low").join(two.where("row_b = high"), ["cluster", "low", "high"]).where("block_a <= block_b")
+    return met.select(*fields).mapInArrow(run, "a long, b long")
+
+
+def _of_one_id(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of texts that stand under one id."""
+    known = sketched.where("print IS NOT NULL AND doc_id IS NOT NULL")
+    several = known.groupBy("doc_id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("doc_id")
+    reps = known.join(several, "doc_id").join(classes, "print").select("doc_id", F.col("rep").alias("b"))
+    return reps.join(reps.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,26 +253,30 @@ def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan(), id_col: str
     Words are runs of other than ASCII white space, with A-Z in lower case.  Null
     and blank texts have no shingles and are linked with nothing.  ``kept`` marks
     the document whose id is the component's.  Rows with a null id link nothing
-    and are kept, with a null component.  Rows that repeat an id are each returned.
+    and are kept, with a null component.  Rows that repeat an id are each returned;
+    if their texts differ, the id is linked with what any of them is linked with.
+    Columns of ``docs`` but the two named are not read.  Of the similarities at
+    the threshold itself the link is taken.
     """
     work = Workspace(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = work.save(sketches(docs, plan))
     classes = work.save(sketched.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep")))
-    half = work.save(sketched.where("print IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("halves").alias("k", "half")))
-    shared = work.save(half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
+    half = work.save(sketched.where("print IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.first("halves").alias("halves")).select("doc_id", F.posexplode("halves").alias("k", "half")))
+    shared = work.save(half.groupBy("half").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("half"))
     left = F.col("k") < plan.halves
-    sides = half.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_list(F.when(left, F.col("half"))).alias("one"), F.collect_list(F.when(~left, F.col("half"))).alias("two"))
+    sides = half.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set(F.when(left, F.col("half"))).alias("one"), F.collect_set(F.when(~left, F.col("half"))).alias("two"))
     keys = work.save(sides.select("doc_id", "two", F.explode("one").alias("l")).select("doc_id", "l", F.explode("two").alias("r")).select("doc_id", F.xxhash64("l", "r").alias("key")))
     buckets = work.save(keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
     rows = work.save(keys.join(buckets, "key"))
     work.drop(half, shared, keys, buckets)
-    texts = work.save(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
+    texts = work.save(texts.groupBy("doc_id", "h").agg(F.first("text").alias("text")).drop("h"))
 
     def pivoted(rows: DataFrame) -> DataFrame:
         return rows.where("doc_id <> pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
 
-    label = components(work, work.save(_similar(pivoted(rows), texts, plan)))
+    label = components(work, work.save(_similar(pivoted(rows), texts, plan).unionByName(_of_one_id(sketched, classes)).distinct()))
 
     def link(pairs: DataFrame) -> None:
         """Verifies pairs of documents of different components and merges the components of those linked."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,24 +13,31 @@ class Workspace:
     """``save`` writes a table under ``spark.checkpoint.dir`` and reads it back.
 
     That cuts lineage, so a lost executor costs one step at most, and each step
-    is computed once.  Where the setting is absent, as in tests, a temporary
-    folder takes its place.
+    is computed once.  Where the setting is absent and the master is local, as in
+    tests, a temporary folder takes its place; on a cluster that would be a
+    different disk on each machine, so there it is an error.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.gettempdir()
         self.root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
         self.count = 0
         self.paths: set[str] = set()
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """The table as written; ``saved_rows`` of it is its number of rows."""
+    def save(self, df: DataFrame, *measures: Column) -> DataFrame:
+        """The table as written; ``saved_rows`` of it is its number of rows, ``saved_<name>`` an aggregate of that name."""
         self.count += 1
         path, seen = f"{self.root}/{self.count}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *measures).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out.saved_path, out.saved_rows = path, seen.get["rows"]
+        out.saved_path = path
+        for name, value in seen.get.items():
+            setattr(out, f"saved_{name}", value)
         self.paths.add(path)
         return out
 

@@ -418,3 +418,58 @@ def test_terms_against_brute_force(spark):
         spans = r.spans.split(",")
         assert sum(s.startswith(("term:", "removed_term:")) for s in spans) == want
         assert [s for s in spans if s.startswith("secret:")] == [f"secret:{m.start()}:{m.end()}" for m in secret(text)]
+
+
+# Components and the screen.
+
+
+def test_components_of_a_long_chain(spark):
+    """5,000 revisions in a chain, a star, a zigzag and a ring, in few rounds."""
+    from ratiospark.llm.workspace import Workspace
+
+    edges = [(k, k + 1) for k in range(5000)] + [(10_000 + k, 20_000) for k in range(300)]
+    edges += [(30_000 + min(a, b), 30_000 + max(a, b)) for a, b in ((k // 2 if k % 2 == 0 else 999 - k // 2, (k + 1) // 2 if k % 2 else 999 - (k + 1) // 2) for k in range(900)) if a != b]
+    edges += [(40_000 + k, 40_000 + (k + 1) % 50) for k in range(50)]
+    work = Workspace(spark)
+    saved = work.save(spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long"))
+    found = {r.id: r.label for r in near_dedup.components(work, saved).collect()}
+    label = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in [*edges, *edges[::-1]]:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    assert found == label
+    assert work.count < 40
+
+
+def test_one_id_with_two_texts(spark):
+    words = lambda c: " ".join(f"{c}{k}x" for k in range(60))
+    rows = [(5, words("a")), (5, words("b")), (7, words("a")), (3, words("b")), (9, words("c")), (9, words("c"))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 6 and {r.doc_id: r.component_id for r in found} == {5: 3, 7: 3, 3: 3, 9: 9}
+
+
+def test_screen_passes_links_at_the_threshold():
+    """Sets of similarity 0.75, the least of a link: a screen that fails one in 100,000 passes all of these."""
+    rng, plan = np.random.default_rng(5), near_dedup.DedupPlan()
+    seeds = near_dedup._mix(np.arange(1, 2 * plan.bits + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    a, b = (seeds[0::2] | np.uint64(1))[:, None], seeds[1::2][:, None]
+    sketch = lambda s: near_dedup._mix((a * s[None] + b).min(axis=1)) & np.uint64(1)
+    # 225 shared, 35 of each side: 225 / 295, just above it.
+    worst = max(int((sketch(x[:260]) != sketch(np.concatenate([x[:225], x[260:295]]))).sum()) for x in (rng.integers(0, 2**63, 295, dtype=np.uint64) for _ in range(300)))
+    assert worst <= plan.bits * (100 - plan.screen) // 200
+
+
+def test_tiles_meet_every_pair_of_blocks(spark):
+    """A dense cluster compared in small tiles gives the same groups."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = rng.choices(vocabulary, k=70)
+    docs = [" ".join(passage + rng.choices(vocabulary, k=rng.randrange(5, 40))) for _ in range(200)]
+    rows = list(enumerate(docs))
+    plan = near_dedup.DedupPlan(linear=0, block=8, tile=3)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), plan).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in found} == brute_components(rows)
