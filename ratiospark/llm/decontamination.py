@@ -3,15 +3,18 @@
 A mask selects some token positions of a window and ignores the others.  The
 selected tokens of every window of every benchmark item, under each of a few fixed
 masks, give the test hashes; those of the documents are the training hashes.
-Documents first meet a bit map of the test hashes, of bounded size, so that few
-rows reach the join on the hashes.  Each joined pair of positions fixes a diagonal
-of document against item; on it, the best-scoring stretch around the hit (a match
-counts 1, a substitution -1) decides: substituted tokens lower its identity but
-don't end it.
+Documents first meet a bit map of the test hashes (a Bloom filter of bounded size),
+so that few rows reach the join on the hashes.  Each joined pair of positions fixes
+a diagonal of document against item; on it, the best-scoring stretch around the hit
+(a match counts 1, a substitution -1) decides: substituted tokens lower its identity
+but don't end it.  Where that stretch is not alike enough, the one with the most
+matches of all that are decides, so two passages that a changed part divides are
+found by either of them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +31,7 @@ from ratiospark.llm.workspace import Workspace
 class SeedPlan:
     """``masks``: 1 for a selected position.  An overlap counts from ``identity`` on, with ``tokens`` matches or ``coverage`` of the item.
 
-    ``max_bits`` bounds the bit map, ``region`` the tokens kept together around hits.
+    ``max_bits`` bounds the bit map, in which a hash has ``probes`` bits; ``region`` the tokens kept together around hits.
     """
 
     masks: tuple[str, ...] = ("110101001", "1010011001", "1001110001", "111101")
@@ -36,16 +39,25 @@ class SeedPlan:
     coverage: float = 0.6
     identity: float = 0.7
     max_bits: int = 1 << 27
+    probes: int = 3
     region: int = 1024
 
 
 _BLANK = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Beyond ASCII: signs that are no part of a word, and characters that are one each.
+_SIGN = re.compile(r"[^\w\x00-\x7f]")
+_ALONE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's tokens: runs of lower-case letters and digits, other scripts' characters included."""
-    words = text.lower().encode().translate(_BLANK).split() if text else []
+    """Hashes of a text's tokens: runs of lower-case letters and digits, and each ideograph or kana by itself."""
+    text = text.lower() if text else ""
+    if not text.isascii():
+        text = _SIGN.sub(" ", text)
+        if _ALONE.search(text):
+            text = _ALONE.sub(r" \g<0> ", text)
+    words = text.encode().translate(_BLANK).split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
@@ -81,16 +93,26 @@ def _token_rows(rows: DataFrame, key: str, out: str) -> DataFrame:
     return rows.mapInArrow(run, f"{key} long, {out} array<long>")
 
 
+def _places(hashes: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
+    """The bits of a hash: as many of its lowest bits as the map needs, then those of its products with odd numbers."""
+    return [((hashes * (_ODD ** np.uint64(k))) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64) for k in range(1, probes + 1)]
+
+
 def _bit_map(test: DataFrame, plan: SeedPlan) -> np.ndarray:
-    """A bit for each test hash, 16 bits a hash up to ``max_bits``."""
+    """A Bloom filter of the test hashes, bytes of 8 bits: at least 16 bits a hash, up to ``max_bits``; made in the tasks, merged by word."""
     n = test.select("seed").distinct().count()
     bits = min(plan.max_bits, 1 << max(20, (16 * n).bit_length()))
-    place = F.col("seed").bitwiseAND(bits - 1)
-    words = test.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((seed & {bits - 1}) & 63 as int))")).alias("set"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits, plan.probes))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    words = test.select("seed").mapInArrow(place, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("set"))
     out = np.zeros(bits // 64, dtype=np.int64)
     for word, value in words.toLocalIterator():
         out[word] = value
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 24 else out.view(np.uint8)
+    return out.view(np.uint8)
 
 
 def _hits(docs: DataFrame, bit_map: np.ndarray, margin: int, plan: SeedPlan) -> DataFrame:
@@ -99,8 +121,7 @@ def _hits(docs: DataFrame, bit_map: np.ndarray, margin: int, plan: SeedPlan) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        whole = table.dtype == bool
-        last = np.uint64(len(table) * (1 if whole else 8) - 1)
+        bits = 8 * len(table)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -108,8 +129,10 @@ def _hits(docs: DataFrame, bit_map: np.ndarray, margin: int, plan: SeedPlan) ->
                 at, found = [], []
                 for k, mask in enumerate(plan.masks):
                     h = seeds(words, mask, k)
-                    place = h & last
-                    there = np.flatnonzero(table[place] if whole else table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    there = np.arange(len(h))
+                    for probe in range(1, plan.probes + 1):
+                        place = _places(h[there], bits, probe)[-1]
+                        there = there[(table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
                     at.append(there)
                     found.append(h[there])
                 at, found = np.concatenate(at), np.concatenate(found)
@@ -137,12 +160,29 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def longest_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
+    """(start, end, matches) of the stretch with the most matches among those of at least that identity; the shortest, then the first."""
+    scale = 1000
+    total = np.concatenate([[0], np.cumsum(np.where(same, scale, 0) - round(scale * identity))])
+    matches = np.concatenate([[0], np.cumsum(same)])
+    # The first place from which the stretch that ends here is alike enough, less the substitutions at its start.
+    first = np.searchsorted(-np.minimum.accumulate(total), -total, side="left")
+    start = np.minimum(np.searchsorted(matches, matches[first], side="right") - 1, np.arange(len(total)))
+    gain, length = matches - matches[first], np.arange(len(total)) - start
+    end = int(np.lexsort((start, length, -gain))[0])
+    return int(start[end]), end, int(gain[end])
+
+
 def overlaps(docs: DataFrame, items: DataFrame, plan: SeedPlan = SeedPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_token, end_token, n_matches, n_substituted): the best overlap of each document with each item it holds.
 
-    Null and empty texts overlap nothing, nor do items shorter than the shortest
-    mask.  Repeated rows of one id count once; items that repeat an id are taken
-    together.  A document with a null id is reported with it.
+    A document and an item overlap if some stretch of a diagonal has the plan's
+    ``identity`` and enough matches, and a seed in it is found.  Null and empty
+    texts overlap nothing, nor do items shorter than the shortest mask; items with
+    a null id are not looked for.  Repeated rows of one id count once, and rows of
+    one id with different texts give the best overlap of any; items that repeat an
+    id are taken together.  A document with a null id is reported with it.  Other
+    columns are not read.  The longest item sets how much text around a hit is kept.
     """
     work = Workspace(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -168,8 +208,11 @@ def overlaps(docs: DataFrame, items: DataFrame, plan: SeedPlan = SeedPlan(), id_
                 low, high = max(0, -shift), min(len(words), len(text) - shift)
                 if high <= low:
                     continue
-                a, b, n = best_stretch(text[low + shift : high + shift] == words[low:high])
-                if b > a and n >= plan.identity * (b - a) and (n >= plan.tokens or n >= plan.coverage * len(words)):
+                same = text[low + shift : high + shift] == words[low:high]
+                a, b, n = best_stretch(same)
+                if n < plan.identity * (b - a):
+                    a, b, n = longest_stretch(same, plan.identity)
+                if b > a and (n >= plan.tokens or n >= plan.coverage * len(words)):
                     out.append((doc, item, line + low + a, line + low + b, n, b - a - n))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start_token", "end_token", "n_matches", "n_substituted"])
