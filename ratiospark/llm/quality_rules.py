@@ -1,14 +1,17 @@
 """Quality rules whose cutoffs are chosen under a guaranteed risk of false rejection.
 
 A rule rejects a document whose value (in thousandths, below) exceeds a cutoff.
-For each stratum (language) and rule the cutoffs of a fixed list are tested from
-the most lenient on: labelled clean documents that pass the base rules are n
-trials, those the cutoff would reject are k failures, and the cutoff is certified
-if P(Binomial(n, risk) <= k), the exact p-value of "its risk is above ``risk``",
-is at most delta over the number of rules and strata (Bonferroni).  Testing stops
-at the first cutoff that fails, so a list counts as one test (fixed sequence).
-With probability 1 - delta, every certified cutoff rejects at most ``risk`` of its
-stratum's clean documents.  A stratum with too few labels gets no cutoffs.
+What is certified, for each stratum (language), is all rules together.  A quarter
+of the labelled clean documents, set aside by a hash of the id, puts the cutoffs of
+all rules in one order: those that reject fewest of them first, then the lenient
+before the strict.  Along it the rules become stricter one cutoff at a time.  The
+other three quarters test each step: they are n trials, those that any rule rejects
+by then are k failures, and the step is certified if P(Binomial(n, risk) <= k), the
+exact p-value of "the risk is above ``risk``", is at most delta over the number of
+strata (Bonferroni).  Testing stops at the first step that fails, so the steps of a
+stratum count as one test (fixed sequence).  With probability 1 - delta, in every
+stratum the rules together reject at most ``risk`` of the clean documents.  A
+stratum with too few labels gets no cutoffs.
 
 All on the main path are DataFrame functions, and each document's counts are
 taken within its row: texts are not exploded.
@@ -37,7 +40,7 @@ VALUES = {
 
 @dataclass(frozen=True)
 class RiskPlan:
-    """``cutoffs``: for each rule, from lenient to strict."""
+    """``risk``: greatest share of a stratum's clean documents that may be rejected.  ``cutoffs``: for each rule, from lenient to strict."""
 
     risk: float = 0.005
     delta: float = 0.05
@@ -118,15 +121,30 @@ def log_binomial_tail(risk: float) -> Column:
     return F.expr(f"CASE WHEN k < n * {risk}D THEN {top} + ln({terms}) ELSE 0D END")
 
 
-def certified_cutoffs(clean: DataFrame, plan: RiskPlan) -> DataFrame:
-    """One row per stratum of ``clean`` (stratum and the counts): a column ``max_<rule>`` each, null if none is certified."""
-    grid = [(rule, cut) for rule, cuts in plan.cutoffs.items() for cut in cuts]
-    failed = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(cut).cast("long").alias("cut"), F.sum(F.when(_value(rule) > cut, 1).otherwise(0)).alias("k")) for rule, cut in grid))
-    tests = clean.groupBy("stratum").agg(F.count("*").alias("n"), failed.alias("tests")).withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))
-    tests = tests.select("stratum", "n", "strata", F.inline("tests"))
-    passed = log_binomial_tail(plan.risk) <= F.log(F.lit(plan.delta) / (F.col("strata") * len(plan.cutoffs)))
-    # k, and with it the p-value, rises along a list: the strictest cutoff that passes has passed all before it.
-    return tests.where(passed).groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"max_{r}") for r in plan.cutoffs))
+def set_aside(id_col: Column) -> Column:
+    """A quarter of the ids, by their MD5."""
+    return F.conv(F.substring(F.md5(id_col.cast("string").cast("binary")), 1, 7), 16, 10).cast("long") % 4 == 0
+
+
+def certified_cutoffs(work: Workspace, clean: DataFrame, plan: RiskPlan) -> DataFrame:
+    """One row per stratum of ``clean`` (doc_id, stratum and the counts): a column ``max_<rule>`` each, null if none is certified.
+
+    A document with several texts counts once, with its highest values.
+    """
+    rules = list(plan.cutoffs)
+    grid = [(level, place, cut) for place, rule in enumerate(rules) for level, cut in enumerate(plan.cutoffs[rule])]
+    values = work.save(clean.groupBy("stratum", "doc_id").agg(F.array(*(F.max(_value(r)) for r in rules)).alias("values")).withColumn("aside", set_aside(F.col("doc_id"))))
+    hit = lambda place, cut: F.get("values", F.lit(place)) > cut
+    step = lambda level, place, cut: F.struct(F.sum(F.when(F.col("aside") & hit(place, cut), 1).otherwise(0)).alias("k"), F.lit(level).alias("level"), F.lit(place).alias("place"), F.lit(cut).cast("long").alias("cut"))
+    path = values.groupBy("stratum").agg(F.sort_array(F.array(*(step(*g) for g in grid))).alias("path"))
+    first = F.array_min(F.transform("path", lambda s, i: F.when(F.get("values", s["place"]) > s["cut"], i)))
+    tested = values.join(path, "stratum").withColumn("first", first)
+    failed = F.array(*(F.struct(F.lit(i).alias("step"), F.sum(F.when(~F.col("aside") & (F.col("first") <= i), 1).otherwise(0)).alias("k")) for i in range(len(grid))))
+    tests = tested.groupBy("stratum").agg(F.sum(F.when(~F.col("aside"), 1).otherwise(0)).alias("n"), failed.alias("tests")).withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))
+    tests = tests.join(path, "stratum").select("stratum", "n", "strata", "path", F.inline("tests")).withColumn("step", F.get("path", F.col("step"))).drop("path")
+    passed = log_binomial_tail(plan.risk) <= F.log(F.lit(plan.delta) / F.col("strata"))
+    # k, and with it the p-value, rises along the path: the last step that passes has passed all before it.
+    return tests.where(passed).groupBy("stratum").agg(*(F.min(F.when(F.col("step.place") == place, F.col("step.cut"))).alias(f"max_{r}") for place, r in enumerate(rules)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", passed: tuple[str, ...] = ()) -> DataFrame:
@@ -135,7 +153,8 @@ def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_co
     ``labels`` has doc_id and quality; a document labelled both 0 and 1, or with
     a null, is not clean.  Null strata are one stratum.  Rows that repeat are
     judged alike; null ids are judged and never match a label.  Without labels
-    only the base rules reject.
+    only the base rules reject.  A value at the cutoff itself is kept.  Other
+    columns are not read.
     """
     work = Workspace(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"), *passed)
@@ -143,7 +162,7 @@ def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_co
     failed = (F.col("n_words") < plan.min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = work.save(counted.withColumn("base_failed", failed))
     clean = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).where("quality = 1")
-    cutoffs = work.save(certified_cutoffs(counted.where(~F.col("base_failed")).join(clean, "doc_id", "left_semi"), plan))
+    cutoffs = work.save(certified_cutoffs(work, counted.where(~F.col("base_failed")).join(clean, "doc_id", "left_semi"), plan))
     rejected = F.lit(False)
     for rule in plan.cutoffs:
         rejected = rejected | F.coalesce(_value(rule) > F.col(f"max_{rule}"), F.lit(False))
@@ -153,7 +172,7 @@ def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan(), id_co
 
 def rules_sql(plan: RiskPlan = RiskPlan()) -> str:
     """``judge`` in DuckDB's SQL, by other formulas: windows as rows, the tail as a plain sum."""
-    grid = ", ".join(f"('{r}', {c})" for r, cuts in plan.cutoffs.items() for c in cuts)
+    grid = ", ".join(f"('{r}', {c}, {level}, {place})" for place, (r, cuts) in enumerate(plan.cutoffs.items()) for level, c in enumerate(cuts))
     value = "CASE rule " + " ".join(f"WHEN '{r}' THEN CASE WHEN {w} > 0 THEN 1000 * {p} // {w} ELSE 0 END" for r, (p, w) in VALUES.items()) + " END"
     return f"""
         WITH texts AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -175,16 +194,23 @@ def rules_sql(plan: RiskPlan = RiskPlan()) -> str:
                    len(lines)::BIGINT AS n_lines, (length(text) - length(replace(text, '!', '')))::BIGINT AS n_shouts
             FROM worded LEFT JOIN repeats r USING (doc_id)),
         based AS (SELECT *, n_words < {plan.min_words} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
-        rules(rule, cut) AS (VALUES {grid}),
+        rules(rule, cut, level, place) AS (VALUES {grid}),
         clean AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),
+        measured AS (
+            SELECT stratum, doc_id, rule, max({value}) AS v, ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % 4 = 0 AS aside
+            FROM based SEMI JOIN clean USING (doc_id), (SELECT DISTINCT rule FROM rules) WHERE NOT base_failed GROUP BY ALL),
+        path AS (
+            SELECT stratum, rule, cut, row_number() OVER (PARTITION BY stratum ORDER BY count(*) FILTER (aside AND v > cut), level, place) AS step
+            FROM measured JOIN rules USING (rule) GROUP BY stratum, rule, cut, level, place),
+        trials AS (SELECT m.stratum, doc_id, min(step) FILTER (v > cut) AS first FROM measured m JOIN path USING (stratum, rule) WHERE NOT aside GROUP BY ALL),
         tests AS (
-            SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER ({value} > cut) AS k
-            FROM based SEMI JOIN clean USING (doc_id), rules WHERE NOT base_failed GROUP BY ALL),
+            SELECT p.stratum, p.rule, p.cut, count(doc_id) AS n, count(*) FILTER (first <= step) AS k
+            FROM path p LEFT JOIN trials t ON p.stratum = t.stratum GROUP BY ALL),
         tails AS (
-            SELECT *, (SELECT count(DISTINCT stratum) FROM tests) AS strata,
+            SELECT *, (SELECT count(DISTINCT stratum) FROM measured) AS strata,
                    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({plan.risk}) + (n - i) * ln(1 - {plan.risk})))) AS p
             FROM tests),
-        cutoffs AS (SELECT stratum, rule, min(cut) AS cut FROM tails WHERE p <= {plan.delta} / (strata * {len(plan.cutoffs)}) GROUP BY ALL),
+        cutoffs AS (SELECT stratum, rule, min(cut) AS cut FROM tails WHERE p <= {plan.delta} / strata GROUP BY ALL),
         rejected AS (SELECT DISTINCT doc_id FROM based JOIN cutoffs USING (stratum) WHERE {value} > cut)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
