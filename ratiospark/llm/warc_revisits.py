@@ -42,19 +42,14 @@ def _field(entries: str, name: str) -> Column:
     return F.get(F.filter(F.col(entries), lambda e: e["key"] == name), F.lit(0))["value"]
 
 
-def latest_earlier(work: Workspace, probes: DataFrame, points: DataFrame, rows_each: int = 2000, most_stretches: int = 10_000) -> DataFrame:
-    """(key, ts, point_ts) for the distinct (key, ts) of ``probes``: the greatest ts of ``points`` at the key before it, null if none."""
+def latest_earlier(work: Workspace, probes: DataFrame, points: DataFrame, rows_each: int = 20_000, most_stretches: int = 10_000) -> DataFrame:
+    """(key, ts, point_ts) for the distinct (key, ts) of ``probes``: the greatest ts of ``points`` at the key before it, null if none.
+
+    Stretches are ranges of time, dealt out by Spark's range partitioning, and numbered by their partition.
+    """
     both = work.save(probes.select("key", "ts", F.lit(0).alias("point")).unionByName(points.select("key", "ts", F.lit(1).alias("point"))).distinct())
-    count = both.count()
-    n = min(most_stretches, max(1, count // rows_each))
-    edges = both.stat.approxQuantile("ts", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    edges = sorted({int(e) for e in edges})
-    stretch = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("ts"))) if len(edges) <= 64 else None
-    if stretch is None:
-        table = work.spark.createDataFrame([(edges,)], "edges array<long>")
-        both = both.crossJoin(F.broadcast(table)).withColumn("stretch", F.size(F.filter("edges", lambda e: e <= F.col("ts")))).drop("edges")
-    else:
-        both = both.withColumn("stretch", stretch if edges else F.lit(0))
+    n = min(most_stretches, max(1, both.saved_rows // rows_each))
+    both = work.save(both.repartitionByRange(n, "ts").withColumn("stretch", F.spark_partition_id()))
     within = Window.partitionBy("key", "stretch").orderBy("ts", "point").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("here", F.last(F.when(F.col("point") == 1, F.col("ts")), ignorenulls=True).over(within)).where("point = 0").drop("point")
     tops = both.groupBy("key", "stretch").agg(F.max(F.when(F.col("point") == 1, F.col("ts"))).alias("top"))
@@ -72,8 +67,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     differ; "unverified" if the records share no validator; "no_response" if no
     full response (kind "response", status 200) is earlier.  Headers and digest
     are given for resolved ones only.  Of responses at one moment the greatest
-    record_id counts.  Revisits with a null URL or time find no response; repeated
-    rows are each returned.
+    record_id counts; a response at the revisit's own moment is not earlier.
+    Revisits with a null URL or time find no response; records of other kinds or a
+    null one are left out; repeated rows are each returned, and bodies and other
+    columns are not read.
     """
     work = Workspace(records.sparkSession)
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("key"), F.col("ts").cast("long").alias("ts"), "kind", "status", _entries(F.col("headers")).alias("entries"), "digest")
@@ -99,29 +96,41 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Captures made of the pages: each a full response, an hour apart by page_id, and a revisit one to five days later.
-
-    A revisit confirms its page's content by a weak entity tag, but for each tenth
-    one, which has another tag, and each tenth after it, which has none.
+    """Captures made of the pages: three requests of each that were answered in full, and three revisits among them.
+
+    Every seventh answer is a 404, and every third page changes from capture to
+    capture, so the latest earlier answer is often not the one to resolve to, or
+    not the one confirmed; the second revisit falls on the moment of the third
+    answer.  A revisit confirms the content of its time by a weak entity tag, but
+    for each tenth page, which has another tag, and each tenth after it, which has
+    none.
     """
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    ts = F.col("page_id") * 3600
-    base = pages.select("page_id", "url", tag.alias("tag"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size"), ts.alias("ts"))
+    html = F.coalesce("html", F.lit(""))
+
+    def times(name: str) -> DataFrame:
+        """The pages three times, with the content's version then, its tag and size."""
+        rows = pages.select("page_id", "url", html.alias("html"), F.explode(F.array(*map(F.lit, range(3)))).alias(name))
+        rows = rows.withColumn("version", F.when(F.col("page_id") % 3 == 0, F.col(name)).otherwise(0))
+        tag = F.concat(F.lit('"'), F.md5(F.concat("html", F.repeat(F.lit(" "), F.col("version")))), F.lit('"'))
+        return rows.select("page_id", "url", name, tag.alias("tag"), (F.length("html") + F.col("version")).cast("string").alias("size"))
+
+    answers = times("capture").withColumn("ts", F.col("page_id") * 3600 + F.col("capture") * 100_000)
     response = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("size"), F.lit("ETag"), F.col("tag"), F.lit("Date"), F.col("ts").cast("string"), F.lit("Server"), F.lit("archive"))
-    later = F.col("ts") + 86400 * (1 + F.col("page_id") % 5)
+    status = F.when((F.col("page_id") + F.col("capture")) % 7 == 3, 404).otherwise(200)
+    responses = answers.select((F.col("page_id") * 8 + F.col("capture")).alias("record_id"), "url", "ts", F.lit("response").alias("kind"), status.alias("status"), response.alias("headers"), F.col("tag").alias("digest"))
+    later = F.col("page_id") * 3600 + F.get(F.array(F.lit(50_000), F.lit(200_000), F.lit(300_000)), F.col("visit"))
+    visits = times("visit").withColumn("ts", later)
     other = F.col("page_id") % 10
     confirm = F.when(other == 8, F.lit('"other"')).when(other != 9, F.concat(F.lit("W/"), F.col("tag")))
-    revisit = F.map_filter(F.create_map(F.lit("etag"), confirm, F.lit("Date"), later.cast("string"), F.lit("Expires"), (later + 600).cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("Server"), F.lit("edge")), lambda k, v: v.isNotNull())
-    responses = base.select((F.col("page_id") * 2).alias("record_id"), "url", "ts", F.lit("response").alias("kind"), F.lit(200).alias("status"), response.alias("headers"), F.col("tag").alias("digest"))
-    revisits = base.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", later.alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), revisit.alias("headers"), F.lit(None).cast("string").alias("digest"))
+    revisit = F.map_filter(F.create_map(F.lit("etag"), confirm, F.lit("Date"), F.col("ts").cast("string"), F.lit("Expires"), (F.col("ts") + 600).cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("Server"), F.lit("edge")), lambda k, v: v.isNotNull())
+    revisits = visits.select((F.col("page_id") * 8 + 4 + F.col("visit")).alias("record_id"), "url", "ts", F.lit("revisit").alias("kind"), F.lit(304).alias("status"), revisit.alias("headers"), F.lit(None).cast("string").alias("digest"))
     return responses.unionByName(revisits)
 
 
 #: ``resolve_revisits`` over ``page_records`` in DuckDB's SQL; headers as sorted lines.
 REVISITS_SQL = r"""
     WITH base AS (
-        SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, length(coalesce(html, ''))::VARCHAR AS size, page_id * 3600 AS ts,
-               regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+        SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
         FROM pages),
     split AS (
         SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '')
@@ -129,14 +138,19 @@ REVISITS_SQL = r"""
                list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'),
                    lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|sessionid|phpsessid|ref)(=|$)'))) AS query
         FROM base),
-    keyed AS (SELECT *, place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS key FROM split),
-    points AS (SELECT key, ts, max(page_id) AS page FROM keyed GROUP BY ALL),
-    revisits AS (SELECT page_id, key, ts + 86400 * (1 + page_id % 5) AS at, CASE page_id % 10 WHEN 8 THEN '"other"' WHEN 9 THEN NULL ELSE tag END AS confirm FROM keyed),
-    found AS (
-        SELECT r.*, p.page FROM revisits r ASOF LEFT JOIN points p ON r.key = p.key AND r.at > p.ts)
-    SELECT f.page_id * 2 + 1 AS record_id, f.key AS url_key, f.at AS ts, f.page * 2 AS source_id,
-           CASE WHEN f.page IS NULL THEN 'no_response' WHEN f.confirm IS NULL THEN 'unverified' WHEN f.confirm = s.tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+    keyed AS (
+        SELECT page_id, place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS key, i,
+               '"' || md5(html || repeat(' ', CASE WHEN page_id % 3 = 0 THEN i ELSE 0 END)) || '"' AS tag, length(html) + CASE WHEN page_id % 3 = 0 THEN i ELSE 0 END AS size
+        FROM split, range(0, 3) t(i)),
+    answers AS (SELECT page_id * 8 + i AS id, key, page_id * 3600 + i * 100000 AS ts, tag, size FROM keyed WHERE (page_id + i) % 7 <> 3),
+    points AS (SELECT key, ts, max(id) AS id FROM answers GROUP BY ALL),
+    revisits AS (
+        SELECT page_id * 8 + 4 + i AS record_id, key, page_id * 3600 + [50000, 200000, 300000][i + 1] AS at, CASE page_id % 10 WHEN 8 THEN '"other"' WHEN 9 THEN NULL ELSE tag END AS confirm
+        FROM keyed),
+    found AS (SELECT r.*, p.id FROM revisits r ASOF LEFT JOIN points p ON r.key = p.key AND r.at > p.ts)
+    SELECT f.record_id, f.key AS url_key, f.at AS ts, f.id AS source_id,
+           CASE WHEN f.id IS NULL THEN 'no_response' WHEN f.confirm IS NULL THEN 'unverified' WHEN f.confirm = s.tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
            CASE WHEN f.confirm = s.tag THEN 'content-length: ' || s.size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || f.at || chr(10)
                || 'etag: W/' || f.confirm || chr(10) || 'expires: ' || (f.at + 600) || chr(10) || 'server: archive' END AS headers,
            CASE WHEN f.confirm = s.tag THEN s.tag END AS digest
-    FROM found f LEFT JOIN base s ON s.page_id = f.page"""
+    FROM found f LEFT JOIN answers s ON s.id = f.id"""
