@@ -3,7 +3,9 @@
 Every word has a fixed sparse index vector of a few +1 and -1.  A word's vector is
 the sum of the index vectors of its neighbours, over all texts; words share
 ``buckets`` hashed rows, so the table has a fixed size however many words there
-are.  A document is the mean and spread of its words' vectors and four shape
+are (with 16,384 rows and a vocabulary of V words, a word shares its row with V /
+16,384 others on average, mostly rare ones, which hardly move its sum).  The sums
+are whole numbers, exact in any order of merging.  A document is the mean and spread of its words' vectors and four shape
 measures.  A two-layer network in numpy, fitted on a bounded sample of labelled
 rows, gives a logit; a temperature fitted on labelled rows kept out of that turns
 it into a probability.
@@ -71,35 +73,48 @@ def word_vectors(docs: DataFrame, plan: ModelPlan) -> np.ndarray:
                     for j in range(plan.nonzero):
                         total[:] += np.bincount(a * plan.dims + place[b, j], sign[b, j], minlength=len(total))
 
+        def rows() -> Iterator[pa.RecordBatch]:
+            table = total.reshape(plan.buckets, plan.dims).astype(np.int32)
+            used = np.flatnonzero(table.any(axis=1))
+            for at in range(0, len(used), 4096):
+                part = used[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([table[r].tobytes() for r in part], pa.binary())], names=["bucket", "vector"])
+            total[:] = 0
+
         held: list[np.ndarray] = []
+        words = seen = 0
         for batch in batches:
             for text in batch.column(0):
                 held.append(word_rows(text.as_py(), plan))
-                if sum(map(len, held[-64:])) > 500_000 or len(held) >= 2000:
+                words += len(held[-1])
+                if words > 500_000 or len(held) >= 2000:
                     add(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]))
-                    held = []
+                    held, words, seen = [], 0, seen + words
+                    if seen > 1 << 27:  # far from 2^31 in any entry
+                        yield from rows()
+                        seen = 0
         if held:
             add(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]))
-        table = total.reshape(plan.buckets, plan.dims).astype(np.float32)
-        used = np.flatnonzero(table.any(axis=1))
-        for at in range(0, len(used), 4096):
-            rows = used[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([table[r].tobytes() for r in rows], pa.binary())], names=["bucket", "vector"])
+        yield from rows()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for bucket, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[bucket] = sums.get(bucket, 0) + np.frombuffer(vector, dtype=np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], names=["bucket", "vector"])
+                if bucket not in sums:
+                    sums[bucket] = np.zeros(plan.dims, dtype=np.int64)
+                sums[bucket] += np.frombuffer(vector, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["bucket", "vector"])
 
     parts = docs.select("text").mapInArrow(count, "bucket int, vector binary")
-    table = np.zeros((plan.buckets, plan.dims), dtype=np.float32)
-    for bucket, vector in parts.repartition(32, "bucket").mapInArrow(merge, "bucket int, vector binary").collect():
-        table[bucket] = np.frombuffer(vector, dtype=np.float32)
+    table = np.zeros((plan.buckets, plan.dims))
+    # A merging task gets one vector a bucket and input task: as many tasks as keep that about even.
+    tasks = min(plan.buckets, max(32, docs.rdd.getNumPartitions() // 4))
+    for bucket, vector in parts.repartition(tasks, "bucket").mapInArrow(merge, "bucket int, vector binary").collect():
+        table[bucket] = np.frombuffer(vector, dtype=np.int64)
     table -= np.outer(np.abs(table).sum(axis=1), table.sum(axis=0) / max(1.0, float(np.abs(table).sum())))
     norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return np.divide(table, norm, out=np.zeros_like(table), where=norm > 0)
+    return np.divide(table, norm, out=np.zeros_like(table), where=norm > 0).astype(np.float32)
 
 
 def features(text: str | None, vectors: np.ndarray, plan: ModelPlan) -> np.ndarray:
@@ -179,7 +194,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, plan: ModelPlan = ModelPl
     Null and empty texts score as texts without words.  Labels with a null are
     not learned from; a document labelled both ways counts as 0.  If fewer than
     two classes are labelled, every score is the share of label 1, or 0.5 without
-    labels.  Repeated rows score alike; rows with null ids are scored.
+    labels.  Repeated rows score alike; rows with null ids are scored.  A score of
+    0.5 itself predicts 1.  Other columns are not read.
     """
     work = Workspace(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
