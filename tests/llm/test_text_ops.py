@@ -473,3 +473,215 @@ def test_tiles_meet_every_pair_of_blocks(spark):
     plan = near_dedup.DedupPlan(linear=0, block=8, tile=3)
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), plan).collect()
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in found} == brute_components(rows)
+
+
+# Overlaps that substitutions divide.
+
+
+def brute_overlap(text, words, identity=0.7, tokens=13, coverage=0.6):
+    """Some stretch of some diagonal is alike enough: all stretches tried."""
+    for line in range(-len(words) + 1, len(text)):
+        low, high = max(0, -line), min(len(words), len(text) - line)
+        same = [text[k + line] == words[k] for k in range(low, high)]
+        total = np.concatenate([[0], np.cumsum(same)])
+        n = total[None, :] - total[:, None]
+        length = np.arange(len(total))[None, :] - np.arange(len(total))[:, None]
+        if ((length > 0) & (n >= identity * length - 1e-9) & ((n >= tokens) | (n >= coverage * len(words)))).any():
+            return True
+    return False
+
+
+def test_longest_stretch_by_definition():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.random()
+        start, end, n = decontamination.longest_stretch(same, 0.7)
+        every = [(int(same[i:j].sum()), i - j, -i) for i in range(len(same) + 1) for j in range(i, len(same) + 1) if 10 * int(same[i:j].sum()) >= 7 * (j - i)]
+        most, short, first = max(every)
+        assert (n, start - end) == (most, short) and n == same[start:end].sum()
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = {k: rng.choices(vocabulary, k=n) for k, n in enumerate([60, 60, 40, 14, 8, 120])}
+    docs = {}
+    for k in range(160):
+        words = list(items[k % 6])
+        begin = rng.randrange(max(1, len(words) - 13))
+        piece = words[begin : begin + rng.choice([9, 13, 20, 38, 60])]
+        if k % 4 == 1 and len(piece) > 36:
+            piece[13:25] = rng.choices(vocabulary, k=12)
+        elif k % 4 > 1:
+            share = rng.choice([0.05, 0.1, 0.2, 0.3])
+            piece = [rng.choice(vocabulary) if rng.random() < share else w for w in piece]
+        docs[k] = rng.choices(vocabulary, k=rng.randrange(30)) + piece + rng.choices(vocabulary, k=rng.randrange(30))
+    # Two equal passages of 13 words around 12 others.
+    docs[500] = items[0][:13] + rng.choices(vocabulary, k=12) + items[0][25:38]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.overlaps(frame, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    want = {(d, i) for d, text in docs.items() for i, words in items.items() if brute_overlap(text, words)}
+    assert found <= want and (500, 0) in found and len(found) >= 0.95 * len(want) > 50
+    # Equal passages of 13 words are all found.
+    runs = {(d, i) for d, text in docs.items() for i, words in items.items() if any(text[a : a + 13] == words[b : b + 13] for a in range(len(text) - 12) for b in range(len(words) - 12))}
+    assert runs <= found
+
+
+def test_recall_by_identity():
+    """Share of overlaps of 40 tokens, at 0.7 to 1 of their tokens equal, in which a seed is equal."""
+    rng, plan = np.random.default_rng(9), decontamination.SeedPlan()
+    for identity in (0.7, 0.75, 0.8, 0.9, 1.0):
+        hit = 0
+        for _ in range(400):
+            same = rng.permutation(40) < round(40 * identity)
+            hit += any(all(same[a + k] for k, c in enumerate(m) if c == "1") for m in plan.masks for a in range(40 - len(m) + 1))
+        assert hit / 400 >= 0.98
+
+
+def test_tokens_beyond_ascii():
+    same = lambda a, b: decontamination.tokens(a).tolist() == decontamination.tokens(b).tolist()
+    assert same("“Für” — die ‘größte’ Zahl…", "für die GRÖSSTE zahl".replace("ss", "ß").replace("SS", "ß"))
+    assert len(decontamination.tokens("漢字かな交じり文")) == 8 and len(decontamination.tokens("naïve café")) == 2
+
+
+# Pages as they come.
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    pages = ["<script" * 140_000, "<a \"" * 250_000, "<a x=\"" * 160_000 + ">", "<p><" + "a='" * 300_000, "<a x=\"<b y='" * 80_000 + ">", "<div>" * 200_000 + "</p>" * 250_000, "<div>" * 200_000, "<svg>" * 200_000, "<!--" * 250_000, "<!" * 500_000, "</script" * 120_000, "<script>" + "</script" * 120_000, "<" * 1_000_000, "<nav>" * 200_000 + "<article>", "<p class=menu>" * 70_000, "<a b='" + "x' c='" * 150_000]
+    for page in pages:
+        began = time.perf_counter()
+        html_extraction.extract(page, {})
+        assert time.perf_counter() - began < 20, page[:20]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>one</p><svg/><p>two</p></article>", "one\ntwo"),
+        ("<article><p>one</p><svg class=i/><p>two</p></article>", "one\ntwo"),
+        ("<article><p>one</p><svg-icon name=x></svg-icon><p>two</p><template-part>three</template-part></article>", "one\ntwo\nthree"),
+        ("<article><p>one</p><svg><title>no</title><text>no</text></svg><p>two</p></article>", "one\ntwo"),
+        ("<div class='has-sidebar'><p>one two</p><p>three</p></div><div class=sidebar><p>no</p></div>", "one two\nthree"),
+        ("<div class='comments-open no-ads'><h1>one</h1><p>two three</p></div>", "one\ntwo three"),
+        ("<div class='layout-sidebar'><h1>one</h1><p>two three four five</p><div class=sidebar>no</div></div>", "one\ntwo three four five"),
+        ("<form id=page><header>no</header><h1>one</h1><p>two three four</p><footer>no</footer></form>", "one\ntwo three four"),
+        ("<article><p>one two three</p></article><section id=comments><article><p>no no</p></article><article class=comment><p>no no no no no no</p></article></section>", "one two three"),
+        ("<article><p>one two three</p><article class='comment'><p>no</p></article></article>", "one two three"),
+        ("<aside><article><p>no</p></article></aside><article><p>one two</p></article>", "one two"),
+        ("<nav><a>no</a><article><p>one two</p></article>", "one two"),
+        ("<p>one <a title=it's>two</a> three isn't > four</p>", "one two three isn't > four"),
+        ("<p>one <img alt='a > b < c'> two</p>", "one two"),
+    ],
+)
+def test_wrappers_marks_and_raw_elements(page, text):
+    assert html_extraction.extract(page, {}) == text
+
+
+def test_pages_without_an_article_element(spark):
+    """Made pages in other markup than the given ones, weights learned from some that name their main part."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choices([f"w{k}" for k in range(300)], k=n))
+    rows, want = [], {}
+    for k in range(300):
+        blocks = [words(rng.randrange(8, 60)) for _ in range(rng.randrange(2, 6))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        outer = [("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div id=post><section>", "</section></div>"), ("<td class=text>", "</td>")][k % 5]
+        menu = "".join(f"<li><a href=/{j}>{words(2)}</a></li>" for j in range(8))
+        page = f"<html><head><title>{words(4)}</title></head><body><nav><ul>{menu}</ul></nav><div class='ad banner'>{words(6)}</div>{outer[0]}{body}{outer[1]}<div class=comments><p>{words(25)}</p></div><footer>{words(5)}</footer></body></html>"
+        rows.append((k, f"u{k}", page, "x"))
+        want[k] = "\n".join(blocks)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = {r.page_id: r.text for r in html_extraction.main_texts(pages).collect()}
+    assert found == want
+
+
+# Certified cutoffs.
+
+
+def test_certified_cutoffs_against_brute_force(spark):
+    """Two languages with enough labels, one with too few; the path, the counts and the exact tails from their definitions."""
+    from math import comb
+
+    rng, plan = random.Random(6), quality_rules.RiskPlan(risk=0.01)
+    docs, labels = [], []
+    for k in range(4000):
+        lang = "en" if k % 2 else "de" if k % 16 else "fr"
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}x" for _ in range(30)]
+        for j in range(rng.choice([0] * 30 + [1, 2, 4, 9]) if lang == "en" else rng.choice([0] * 300 + [3])):
+            words[j] += "###"
+        if rng.random() < 0.004:
+            words[5] += "!" * rng.randrange(1, 60)
+        docs.append((k, " ".join(words), lang))
+        labels.append((k, int(k % 5 != 0), 0))
+    rows = quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), plan).collect()
+    values = {}
+    for d, text, lang in docs:
+        n, chars, symbols, dup, repeat = counts_by_definition(text)
+        values[d] = (1000 * symbols // chars, 1000 * text.count("!") // n, 0, 1000 * repeat // n, 1000 * chars // n)
+    aside = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:7], 16) % 4 == 0
+    limits, used = {}, set()
+    for lang in ("en", "de", "fr"):
+        clean = [values[d] for d, _, x in docs if x == lang and d % 5 and not aside(d)]
+        first = [values[d] for d, _, x in docs if x == lang and d % 5 and aside(d)]
+        path = sorted((sum(v[p] > c for v in first), level, p, c) for p, cuts in enumerate(plan.cutoffs.values()) for level, c in enumerate(cuts))
+        limits[lang] = {}
+        for i, (_, _, p, c) in enumerate(path):
+            k, n = sum(any(v[q] > x for _, _, q, x in path[: i + 1]) for v in clean), len(clean)
+            if sum(comb(n, j) * plan.risk**j * (1 - plan.risk) ** (n - j) for j in range(k + 1)) > plan.delta / 3:
+                used.add(lang)
+                break
+            limits[lang][p] = min(c, limits[lang].get(p, c))
+        assert sum(any(v[q] > x for q, x in limits[lang].items()) for v in clean) <= plan.risk * len(clean)
+    assert limits["en"] and limits["de"] and limits["en"] != limits["de"] and not limits["fr"] and "en" in used
+    lang_of = {d: x for d, _, x in docs}
+    assert {r.doc_id: r.kept for r in rows} == {d: not any(v[p] > c for p, c in limits[lang_of[d]].items()) for d, v in values.items()}
+    assert any(not r.kept for r in rows)
+
+
+def test_scores_against_brute_force(spark):
+    """Scores by another route: vectors of plain Python sums, features word by word, the same fit, one forward pass a text."""
+    from collections import Counter
+    from zlib import crc32
+
+    rng = random.Random(3)
+    plan = quality_model.ModelPlan(buckets=256, dims=8, nonzero=2, epochs=4, hidden=6)
+    good, bad = [f"word{k}" for k in range(60)], [f"junk{k}" for k in range(30)]
+    texts = {k: " ".join(rng.choices(good if k % 2 else bad, k=rng.randrange(1, 40))) for k in range(300)} | {300: "", 301: None}
+    labels = {k: k % 2 for k in range(260)}
+    found = quality_model.quality_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), spark.createDataFrame([(d, y, 0) for d, y in labels.items()], "doc_id long, quality int, toxic int"), plan)
+    got = {r.doc_id: r for r in found.collect()}
+    place, sign = quality_model.index_vectors(plan)
+    table = [[0.0] * 8 for _ in range(256)]
+    rows = {d: quality_model.word_rows(t, plan).tolist() for d, t in texts.items()}
+    for words in rows.values():
+        for i, w in enumerate(words):
+            for x in words[max(0, i - 2) : i] + words[i + 1 : i + 3]:
+                for p, v in zip(place[x], sign[x], strict=True):
+                    table[w][p] += v
+    table = np.array(table)
+    table = table - np.outer(np.abs(table).sum(axis=1), table.sum(axis=0) / np.abs(table).sum())
+    norm = np.linalg.norm(table, axis=1)
+    table = table / np.where(norm > 0, norm, 1)[:, None]
+
+    def described(d):
+        words = rows[d]
+        if not words:
+            return np.zeros(20)
+        picked, n = np.array([table[w] for w in words]), len(words)
+        mean = picked.mean(axis=0)
+        spread = np.sqrt(np.maximum((picked**2).mean(axis=0) - mean**2, 0))
+        repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n - 1)
+        return np.array([*mean, *spread, np.log(1 + n), len(Counter(words)) / n, repeats, 0])
+
+    assert all(got[d].held_out == (crc32(str(d).encode()) % 3 == 1) for d in texts)
+    # The fit reads its rows in the order of a hash of Spark's.
+    order = [r.doc_id for r in spark.createDataFrame([(d,) for d in labels if crc32(str(d).encode()) % 3 != 1], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(plan.seed)), "doc_id").collect()]
+    net = quality_model.fit(np.array([described(d) for d in order], dtype=np.float32), np.array([labels[d] for d in order]), plan)
+    w1, b1, w2, b2 = net.weights
+    for d in texts:
+        logit = sum(np.tanh(sum((x - m) / s * w for x, m, s, w in zip(described(d), net.mean, net.scale, col, strict=True)) + b) * v for col, b, v in zip(w1.T, b1, w2, strict=True)) + b2[0]
+        assert got[d].score == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=2e-3)
+        assert got[d].predicted == int(got[d].score >= 0.5)
