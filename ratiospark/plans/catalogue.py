@@ -766,3 +766,6 @@ def gbm_cov(spark, sf):
 @query()
 def lp_stack(spark, sf):
     return rounded(stacking.optimise(runs(spark, sf), "fold_id", "config_id", "r2", {"prd": (1.0, 1.1)}), 6)
+
+
+from ratiospark.plans import reports  # noqa: E402, F401  registers its queries

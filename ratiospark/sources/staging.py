@@ -5,16 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back: lineage is cut and the work done once.
+def shared_path(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir``.
 
-    Where the setting is absent, as in tests, a temporary folder takes its place.
+    Where the setting is absent and the master is local, as in tests, a temporary
+    folder takes its place; on a cluster that would be a different disk on each
+    machine, so there it is an error.
     """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut and the work done once."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Deletes a staged table that nothing needs any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
