@@ -156,8 +156,10 @@ def pack(docs: DataFrame, plan: PackingPlan, id_col: str = "doc_id", text_col: s
     A document is its tokens and the end id, so an empty or null text is one
     token.  Each token lies in one piece; ``offset`` runs without gaps from 0 in
     each sequence; a sequence is full or its length a power of two.  Repeated
-    rows are packed as often as they come.  ``sequence_id`` is the task's number
-    times 2^32 plus a count.
+    rows are packed as often as they come, rows with a null id like others; an
+    empty table gives no piece.  Of sequences that cost the same the first is
+    filled, of documents that cost the same the first comes first.  Other columns
+    are not read.  ``sequence_id`` is the task's number times 2^32 plus a count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -221,7 +221,9 @@ def find_spans(docs: DataFrame, plan: PiiPlan = PiiPlan(), id_col: str = "doc_id
     """Every row of ``docs`` as ``row``, with doc_id, text and all ``spans`` (``SPAN``).
 
     Null texts count as empty.  Repeated rows and rows with a null id each get
-    their spans.  An empty table gives an empty result.
+    their spans; for the support of a pair, equal texts count once.  Spans with the
+    same start stand in the order of kinds.  Other columns, whatever their names,
+    stay in ``row``.  An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession)
     saved = work.save(located(docs, id_col, text_col, plan.secrets))

@@ -136,9 +136,10 @@ def certified_cutoffs(work: Workspace, clean: DataFrame, plan: RiskPlan) -> Data
     values = work.save(clean.groupBy("stratum", "doc_id").agg(F.array(*(F.max(_value(r)) for r in rules)).alias("values")).withColumn("aside", set_aside(F.col("doc_id"))))
     hit = lambda place, cut: F.get("values", F.lit(place)) > cut
     step = lambda level, place, cut: F.struct(F.sum(F.when(F.col("aside") & hit(place, cut), 1).otherwise(0)).alias("k"), F.lit(level).alias("level"), F.lit(place).alias("place"), F.lit(cut).cast("long").alias("cut"))
-    path = values.groupBy("stratum").agg(F.sort_array(F.array(*(step(*g) for g in grid))).alias("path"))
+    path = work.save(values.groupBy("stratum").agg(F.sort_array(F.array(*(step(*g) for g in grid))).alias("path")))
     first = F.array_min(F.transform("path", lambda s, i: F.when(F.get("values", s["place"]) > s["cut"], i)))
-    tested = values.join(path, "stratum").withColumn("first", first)
+    # A row a stratum: while these are few, no stratum's documents are dealt to one task.
+    tested = values.join(F.broadcast(path) if path.saved_rows <= 10_000 else path, "stratum").withColumn("first", first)
     failed = F.array(*(F.struct(F.lit(i).alias("step"), F.sum(F.when(~F.col("aside") & (F.col("first") <= i), 1).otherwise(0)).alias("k")) for i in range(len(grid))))
     tests = tested.groupBy("stratum").agg(F.sum(F.when(~F.col("aside"), 1).otherwise(0)).alias("n"), failed.alias("tests")).withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))
     tests = tests.join(path, "stratum").select("stratum", "n", "strata", "path", F.inline("tests")).withColumn("step", F.get("path", F.col("step"))).drop("path")

@@ -312,7 +312,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """One row per row of ``docs`` (``SCHEMA``), nothing shuffled.
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows are repeated;
-    null ids stay null.  ``batch_chars`` bounds the texts taken together; a
+    null ids stay null; rows don't depend on each other, so ties are none; other
+    columns are not read.  ``batch_chars`` bounds the texts taken together; a
     longer text is taken alone.
     """
 

@@ -685,3 +685,32 @@ def test_scores_against_brute_force(spark):
         logit = sum(np.tanh(sum((x - m) / s * w for x, m, s, w in zip(described(d), net.mean, net.scale, col, strict=True)) + b) * v for col, b, v in zip(w1.T, b1, w2, strict=True)) + b2[0]
         assert got[d].score == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=2e-3)
         assert got[d].predicted == int(got[d].score >= 0.5)
+
+
+def test_revisits_with_other_columns_and_long_values(spark):
+    """Columns named like the operator's own, very long URLs and headers, ties and repeated rows."""
+    long = "http://site.org/" + "p" * 40_000
+    rows = [
+        (1, long, 10, "response", 200, {"ETag": '"1"', "X": "v" * 50_000}, "d1", "k", 7, "s"),
+        (2, long + "/", 10, "response", 200, {"ETag": '"2"'}, "d2", None, None, None),
+        (3, long, 20, "revisit", 304, {"etag": '"2"'}, None, "k", 8, "s"),
+        (3, long, 20, "revisit", 304, {"etag": '"2"'}, None, "k", 8, "s"),
+        (4, long, 10, "revisit", 304, {"etag": '"2"'}, None, "k", 8, "s"),
+        (5, long, 20, None, None, None, None, None, None, None),
+    ]
+    schema = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string, key string, stretch int, source string"
+    found = warc_revisits.resolve_revisits(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.record_id, r.source_id, r.outcome) for r in found) == [(3, 2, "resolved"), (3, 2, "resolved"), (4, None, "no_response")]
+
+
+def test_extra_columns_with_the_operators_names(spark):
+    """Each operator reads the columns it is told of, whatever others are called."""
+    names = ["bits", "label", "half", "print", "key", "row", "spans", "terms", "x", "score", "stratum", "tokens", "line", "n_words", "values"]
+    docs = spark.createDataFrame([(1, "write to me@site.org now please and soon", "en"), (2, None, None)], "doc_id long, text string, lang string").selectExpr("*", *(f"doc_id AS {n}" for n in names))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").selectExpr("*", "doc_id AS text", "doc_id AS y")
+    items = spark.createDataFrame([(1, "nothing of that kind at all here", 3)], "item_id long, text string, seed long")
+    assert near_dedup.near_duplicates(docs).count() == 2 and quality_rules.judge(docs, labels).count() == 2
+    assert quality_model.quality_scores(docs, labels, quality_model.ModelPlan(buckets=64, dims=4, epochs=1)).count() == 2
+    assert decontamination.overlaps(docs, items).count() == 0
+    safe = pii.sanitise(pii.find_spans(docs), docs.columns)
+    assert safe.columns == docs.columns and safe.where("text LIKE '%[EMAIL]%' AND row = 1").count() == 1
