@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ratiospark.sources.staging import staged
+from ratiospark.operators.quantiles import quantiles
+from ratiospark.sources.staging import staged, unstaged
 
 TOL = 1e-6
 #: An objective takes the rows with columns y and f and returns them with g and h.
@@ -231,7 +232,8 @@ def _bin(c: str, edges: Sequence[float]) -> Column:
 
 def quantile_bins(df: DataFrame, column: str, k: int) -> DataFrame:
     """Adds ``target_bin``: equal-count groups of the column."""
-    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*(F.lit(i / k) for i in range(1, k))))).alias("_e"))
+    edges = quantiles(df, (), {f"q{i}": (F.col(column), i / k) for i in range(1, k)})
+    edges = edges.select(F.array_distinct(F.array(*edges.columns)).alias("_e"))
     return df.crossJoin(F.broadcast(edges)).withColumn("target_bin", F.size(F.filter("_e", lambda e: e < F.col(column)))).drop("_e")
 
 
@@ -242,7 +244,7 @@ def _grow(rows: DataFrame, features: Sequence[str], depth: int, l1: float, l2: f
     live = {1}
     leaf = lambda g, h: -(max(abs(g) - l1, 0.0) * (1 if g > 0 else -1)) / (h + l2)
     score = lambda g, h: max(abs(g) - l1, 0.0) ** 2 / (h + l2)
-    for level in range(depth + 1):
+    for level in range(max(1, depth)):
         placed = rows.withColumn("_node", Tree(splits, {}).node(bins)).where(F.col("_node").isin(*live)) if splits else rows.withColumn("_node", F.lit(1))
         pairs = ", ".join(f"'{c}', _b_{c}" for c in features)
         long = placed.select("_node", "g", "h", F.expr(f"stack({len(features)}, {pairs}) as (feature, bin)"))
@@ -254,17 +256,20 @@ def _grow(rows: DataFrame, features: Sequence[str], depth: int, l1: float, l2: f
             first = by_feature[features[0]]
             g, h, n = (sum(x[k] for x in first) for k in (1, 2, 3))
             values[node] = leaf(g, h)
-            best = (1e-9, None)
+            best = (1e-9, None, None)
             if level < depth:
                 for feature in features:
                     gl = hl = nl = 0
                     for b, bg, bh, bn in sorted(by_feature[feature])[:-1]:
                         gl, hl, nl = gl + bg, hl + bh, nl + bn
                         if nl >= least and n - nl >= least and (gain := score(gl, hl) + score(g - gl, h - hl) - score(g, h)) > best[0]:
-                            best = (gain, (feature, b))
+                            best = (gain, (feature, b), (gl, hl))
             if best[1]:
                 splits[node] = best[1]
                 grown |= {2 * node, 2 * node + 1}
+                # The children's sums are known from the split; the last level needs no pass of its own.
+                gl, hl = best[2]
+                values |= {2 * node: leaf(gl, hl), 2 * node + 1: leaf(g - gl, h - hl)}
         live = grown
         if not live:
             break
@@ -277,7 +282,7 @@ def boost(df: DataFrame, features: Sequence[str], y: str, objective: Objective,
     row = df.agg(F.avg(y).alias("_y"), *(F.array_distinct(F.percentile_approx(F.col(c).cast("double"), probs, 10_000)).alias(c) for c in features)).first()
     model = Booster(tuple(features), {c: sorted(row[c] or []) for c in features}, float(row["_y"]), rate)
     rows = df.withColumns({f"_b_{c}": x for c, x in model._bins().items()}).select(*(f"_b_{c}" for c in features), F.col(y).cast("double").alias("y")).withColumn("f", F.lit(model.base))
-    rows = staged(quantile_bins(rows, "y", target_bins))
+    rows = last = staged(quantile_bins(rows, "y", target_bins))
     cols = {c: F.col(f"_b_{c}") for c in features}
     for k in range(rounds):
         scored = objective(rows)
@@ -285,7 +290,9 @@ def boost(df: DataFrame, features: Sequence[str], y: str, objective: Objective,
         model.trees.append(tree)
         rows = scored.drop("g", "h").withColumn("f", F.col("f") + rate * tree.value(cols))
         if k % stage_every == stage_every - 1:
-            rows = staged(rows)
+            old, rows = last, staged(rows)
+            last = rows
+            unstaged(old)
         if hook:
             hook(k, rows)
     return model

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratiospark.operators.linear import gram
-from ratiospark.operators.positions import with_position
+from ratiospark.operators.positions import with_average_rank
 
 
 def mutual_information(cells: DataFrame, x: str, y: str, n: str = "n") -> DataFrame:
@@ -48,9 +48,7 @@ def rdc(df: DataFrame, x: str, y: str, k: int = 8, scale: float = 1 / 6, repeats
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     n = rows.count()
     for c in ("x", "y"):
-        placed = with_position(rows, [c], name="pos")
-        ranks = placed.groupBy(c).agg((F.avg("pos") / n).alias(f"u_{c}"))
-        rows = rows.join(ranks, c)
+        rows = with_average_rank(rows, c, f"u_{c}")
     found = []
     for t in range(repeats):
         rng = np.random.default_rng(seed + t)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -16,6 +17,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratiospark.operators.quantiles import quantiles
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -94,8 +97,9 @@ class Imputer(Step):
 
     def fit(self, df):
         clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        aggs = [F.percentile(clean(c), 0.5).alias(c) for c in self.numeric if c in df.columns] + [F.mode(c, True).alias(c) for c in self.nominal if c in df.columns]
-        self.values = df.agg(*aggs).first().asDict() if aggs else {}
+        medians = {c: (clean(c), 0.5) for c in self.numeric if c in df.columns}
+        modes = {c: F.mode(c, True) for c in self.nominal if c in df.columns}
+        self.values = quantiles(df, (), medians, modes).first().asDict() if medians or modes else {}
         return self
 
     def transform(self, df):
@@ -190,8 +194,8 @@ class Winsorizer(Step):
 
     def fit(self, df):
         there = [c for c in self.columns if c in df.columns]
-        row = df.agg(*(F.percentile(c, F.array(F.lit(self.low), F.lit(self.high))).alias(c) for c in there)).first()
-        self.bounds = {c: tuple(row[c]) for c in there if row[c]}
+        row = quantiles(df, (), {f"{e}_{c}": (F.col(c), q) for c in there for e, q in (("low", self.low), ("high", self.high))}).first() if there else {}
+        self.bounds = {c: (row[f"low_{c}"], row[f"high_{c}"]) for c in there if row[f"low_{c}"] is not None}
         return self
 
     def transform(self, df):
@@ -305,7 +309,9 @@ def linear_recipe(outcome: str, predictors: Sequence[str], categorical: Sequence
 
 
 def cluster_labels(train: DataFrame, other: DataFrame, columns: Sequence[str], k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Standardised columns to k-means labels, fitted on ``train``."""
-    stages = [VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), KMeans(k=k, seed=seed, featuresCol="_std", predictionCol="cluster")]
-    model = Pipeline(stages=stages).fit(train)
-    return tuple(model.transform(x).drop("_raw", "_std") for x in (train, other))
+    """Standardised columns to k-means labels, fitted on ``train``; a row with a NULL among the columns stays, without a label."""
+    whole = lambda df: df.na.drop(subset=list(columns))
+    stages = [VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="error"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), KMeans(k=k, seed=seed, featuresCol="_std", predictionCol="cluster")]
+    model = Pipeline(stages=stages).fit(whole(train))
+    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns))
+    return tuple(model.transform(whole(x)).drop("_raw", "_std").unionByName(x.where(missing).withColumn("cluster", F.lit(None).cast("int"))) for x in (train, other))

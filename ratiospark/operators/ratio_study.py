@@ -1,7 +1,8 @@
 """Accuracy, uniformity and vertical equity of assessed values (av) against prices (sp), by group.
 
 A study takes two passes: sums, moments and the exact median of the ratio av / sp
-by group; then what needs that median, joined back by group.
+by group; then what needs that median, joined back by group.  Quantiles and
+positions are exact at any size of a group; see ``quantiles`` and ``positions``.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratiospark.functions.numeric import EPS, finite, fisher_z, median, pearson, positive, quantile, r_squared, ratio, slope
+from ratiospark.functions.numeric import EPS, finite, fisher_z, pearson, positive, r_squared, ratio, slope
 from ratiospark.operators.positions import equal_count_group, with_position
+from ratiospark.operators.quantiles import quantiles
+from ratiospark.sources.staging import staged
 
 ALL = "_all"
 
@@ -25,8 +28,18 @@ def usable(df: DataFrame, groups: Sequence[str], av: str, sp: str, keys: Sequenc
     return picked.where(positive("av") & positive("sp")).withColumn("r", F.col("av") / F.col("sp")), names
 
 
+def quantile_columns(t: str = "sp", p: str = "av", r: str = "r") -> dict[str, tuple[Column, float]]:
+    """Values and shares of the quantiles among the measures."""
+    off = lambda d: 100 * F.abs(d)
+    out = {"mdape_pred": (off(ratio(t, p) - 1), 0.5), "mdape_actual": (off(ratio(F.col(p) - F.col(t), t)), 0.5), "median_ratio": (F.col(r), 0.5), "_q1": (F.col(r), 0.25), "_q3": (F.col(r), 0.75)}
+    for q in (0.05, 0.5, 0.95):
+        out[f"y_q{round(100 * q):02d}"] = (F.col(t), q)
+        out[f"r_q{round(100 * q):02d}"] = (F.col(r), q)
+    return out
+
+
 def accuracy_columns(t: str = "sp", p: str = "av", r: str = "r") -> dict[str, Column]:
-    """One-pass measures of predictions p of t."""
+    """One-pass measures of predictions p of t that are no quantiles."""
     t_, p_, r_ = F.col(t), F.col(p), F.col(r)
     error, log_error = p_ - t_, F.log(p_) - F.log(t_)
     out = {
@@ -36,8 +49,6 @@ def accuracy_columns(t: str = "sp", p: str = "av", r: str = "r") -> dict[str, Co
         "rmse": F.sqrt(F.avg(error * error)),
         "mae": F.avg(F.abs(error)),
         "mape": F.avg(F.abs(error) / F.greatest(F.abs(t_), F.lit(EPS))),
-        "mdape_pred": 100 * median(F.abs(ratio(t, p) - 1)),
-        "mdape_actual": 100 * median(F.abs(ratio(error, t_))),
         "bias": F.avg(error),
         "corr_r_price": pearson(r, t),
         "corr_r_logprice": pearson(r_, F.log(t_)),
@@ -45,13 +56,11 @@ def accuracy_columns(t: str = "sp", p: str = "av", r: str = "r") -> dict[str, Co
         "slope_r_y": slope(r, t),
         "var_ratio": F.var_pop(r_),
         "var_y": F.var_pop(t_),
-        "median_ratio": median(r_),
         "mean_ratio": F.avg(r_),
         "wmean_ratio": ratio(F.sum(p_), F.sum(t_)),
         "cov_iaao": ratio(F.stddev_samp(r_), F.avg(r_)),
         "prd": ratio(F.avg(r_), ratio(F.sum(p_), F.sum(t_))),
         "sd_ratio": F.coalesce(F.stddev_samp(r_), F.lit(0.0)),
-        "iqr_ratio": quantile(r_, 0.75) - quantile(r_, 0.25),
         "mae_log": F.avg(F.abs(log_error)),
         "rmse_log": F.sqrt(F.avg(log_error * log_error)),
         "bias_log": F.avg(log_error),
@@ -59,9 +68,6 @@ def accuracy_columns(t: str = "sp", p: str = "av", r: str = "r") -> dict[str, Co
         "mean_price": F.avg(t_),
         "small_share": F.avg((F.abs(t_) <= 10 * EPS).cast("int")),
     }
-    for q in (0.05, 0.5, 0.95):
-        out[f"y_q{round(100 * q):02d}"] = quantile(t_, q)
-        out[f"r_q{round(100 * q):02d}"] = quantile(r_, q)
     out["fisher_z_r_y"] = fisher_z(pearson(r, t))
     return out
 
@@ -70,7 +76,11 @@ def accuracy(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str
     """The one-pass measures by group, all or those named."""
     rows, names = usable(df, groups, av, sp)
     chosen = {k: v for k, v in accuracy_columns().items() if only is None or k in only}
-    out = rows.groupBy(*names).agg(*(v.alias(k) for k, v in chosen.items()))
+    spread = only is None or "iqr_ratio" in only
+    asked = {k: v for k, v in quantile_columns().items() if only is None or k in only or (spread and k in ("_q1", "_q3"))}
+    out = quantiles(rows, names, asked, chosen)
+    if spread:
+        out = out.withColumn("iqr_ratio", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
     return out if groups else out.drop(ALL)
 
 
@@ -88,15 +98,15 @@ def oos_r2(df: DataFrame, groups: Sequence[str], train_mean: Column, av: str = "
     return out if groups else out.drop(ALL)
 
 
-def _staged(rows: DataFrame, names: list[str]) -> DataFrame:
-    first = rows.groupBy(*names).agg(F.count("*").alias("n"), median("r").alias("m"))
-    return rows.join(first, names)
+def _with_median(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with their group's size and median ratio."""
+    return rows.join(quantiles(rows, names, {"m": (F.col("r"), 0.5)}, {"n": F.count("*")}), names)
 
 
 def cod(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp") -> DataFrame:
     """Mean absolute deviation from the median ratio, in percent of it."""
     rows, names = usable(df, groups, av, sp)
-    out = _staged(rows, names).groupBy(*names).agg(ratio(100 * F.avg(F.abs(F.col("r") - F.col("m"))), F.first("m")).alias("cod"))
+    out = _with_median(rows, names).groupBy(*names).agg(ratio(100 * F.avg(F.abs(F.col("r") - F.col("m"))), F.first("m")).alias("cod"))
     return out if groups else out.drop(ALL)
 
 
@@ -105,7 +115,7 @@ def prb(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp
     rows, names = usable(df, groups, av, sp)
     x = F.log2(0.5 * (F.col("av") / F.col("m") + F.col("sp")))
     y = (F.col("r") - F.col("m")) / F.col("m")
-    out = _staged(rows, names).groupBy(*names).agg(F.when(F.count("*") >= least, slope(y, x)).alias("prb"))
+    out = _with_median(rows, names).groupBy(*names).agg(F.when(F.count("*") >= least, slope(y, x)).alias("prb"))
     return out if groups else out.drop(ALL)
 
 
@@ -117,12 +127,12 @@ def vei_groups(n: Column) -> Column:
 def vei_profile(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp", keys: Sequence[str] = (), k: int | None = None) -> DataFrame:
     """Median ratio and size of each group of rising value (the mean of sp and av / m)."""
     rows, names = usable(df, groups, av, sp, keys)
-    rows = _staged(rows, names).withColumn("proxy", 0.5 * F.col("sp") + 0.5 * F.col("av") / F.col("m"))
+    rows = _with_median(rows, names).withColumn("proxy", 0.5 * F.col("sp") + 0.5 * F.col("av") / F.col("m"))
     ties = [c for c in rows.columns if c.startswith("key_")]
     count = F.lit(k) if k else vei_groups(F.col("n"))
     rows = with_position(rows, ["proxy", *ties, "sp", "av"], names).withColumn("k", count).where("k IS NOT NULL")
     rows = rows.withColumn("stratum", equal_count_group(F.col("pos"), F.col("n"), F.col("k")))
-    out = rows.groupBy(*names, "stratum").agg(F.count("*").alias("count"), median("r").alias("median_ratio"), F.first("m").alias("m"), F.first("k").alias("k"))
+    out = quantiles(staged(rows), [*names, "stratum"], {"median_ratio": (F.col("r"), 0.5)}, {"count": F.count("*"), "m": F.first("m"), "k": F.first("k")})
     return out if groups else out.drop(ALL)
 
 
@@ -153,7 +163,8 @@ def gini(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "s
 
 
 def bundle(df: DataFrame, groups: Sequence[str], av: str = "av", sp: str = "sp", keys: Sequence[str] = ()) -> DataFrame:
-    """Every measure by group, one row each."""
+    """Every measure by group, one row each, from rows that are made once."""
+    df = staged(df.select(*groups, av, sp, *(k for k in keys if k not in groups)))
     parts = [accuracy(df, groups, av, sp), cod(df, groups, av, sp), prb(df, groups, av, sp), vei(df, groups, av, sp, keys).select(*groups, "vei"), gini(df, groups, av, sp)]
     out = parts[0]
     for part in parts[1:]:
@@ -172,14 +183,16 @@ def ratio_mode(df: DataFrame, groups: Sequence[str], mode: str = "div", av: str
 
 def quantile_strata(df: DataFrame, bins: int, sp: str = "sp") -> DataFrame:
     """Adds ``stratum`` (from 1): right-closed bins at the exact quantiles of sp, equal edges merged."""
-    edges = df.agg(F.array_distinct(F.percentile(F.col(sp), F.array(*(F.lit(k / bins) for k in range(1, bins))))).alias("edges"))
+    edges = quantiles(df, (), {f"q{k}": (F.col(sp), k / bins) for k in range(1, bins)})
+    edges = edges.select(F.array_distinct(F.array(*edges.columns)).alias("edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn("stratum", (F.size(F.filter("edges", lambda e: e < F.col(sp))) + 1).cast("int")).drop("edges")
 
 
 def quantile_report(df: DataFrame, bins: int, av: str = "av", sp: str = "sp") -> DataFrame:
     """Count, range, errors and ratio measures of each stratum of sp."""
-    rows = quantile_strata(df.where(positive(av) & positive(sp)), bins, sp)
-    one = rows.withColumn("r", F.col(av) / F.col(sp)).groupBy("stratum").agg(F.count("*").alias("count"), F.min(sp).alias("min_price"), F.max(sp).alias("max_price"), F.avg(F.col(av) - F.col(sp)).alias("mean_error"), (100 * F.avg(F.abs(F.col(av) - F.col(sp)) / F.col(sp))).alias("mape_pct"), F.avg("r").alias("mean_ratio"), median("r").alias("median_ratio"), ratio(F.avg("r"), ratio(F.sum(av), F.sum(sp))).alias("prd"))
+    rows = staged(quantile_strata(staged(df.where(positive(av) & positive(sp)).select(av, sp)), bins, sp))
+    sums = {"count": F.count("*"), "min_price": F.min(sp), "max_price": F.max(sp), "mean_error": F.avg(F.col(av) - F.col(sp)), "mape_pct": 100 * F.avg(F.abs(F.col(av) - F.col(sp)) / F.col(sp)), "mean_ratio": F.avg("r"), "prd": ratio(F.avg("r"), ratio(F.sum(av), F.sum(sp)))}
+    one = quantiles(rows.withColumn("r", F.col(av) / F.col(sp)), ["stratum"], {"median_ratio": (F.col("r"), 0.5)}, sums)
     return one.join(cod(rows, ["stratum"], av, sp), "stratum").join(prb(rows, ["stratum"], av, sp, least=3), "stratum")
 
 

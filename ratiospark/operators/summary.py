@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ratiospark.sources.staging import staged
+
 
 def by_config(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Mean and sample deviation of each metric."""
@@ -48,12 +50,17 @@ def complete_grid(runs: DataFrame, fold: str, model: str) -> DataFrame:
 def pareto_front(points: DataFrame, gain: str, loss: str) -> DataFrame:
     """Points no other point beats: as good in both and better in one; equal points stay together.
 
-    Points are first cut to the least loss of each gain, so the window runs over
-    distinct gains.
+    Points are first cut to the least loss of each gain.  Gains are dealt out by
+    ranges; a window finds the least loss above each in its range, and one row a
+    range hands on what the ranges above have.
     """
     best = points.groupBy(gain).agg(F.min(loss).alias("_least"))
-    above = Window.orderBy(F.desc(gain)).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_above", F.min("_least").over(above)).where("_above IS NULL OR _least < _above")
+    ranged = staged(best.repartitionByRange(F.desc(gain)).withColumn("_part", F.spark_partition_id()))
+    tops = ranged.groupBy("_part").agg(F.min("_least").alias("_top"))
+    handed = tops.select("_part", F.min("_top").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_handed"))
+    above = Window.partitionBy("_part").orderBy(F.desc(gain)).rowsBetween(Window.unboundedPreceding, -1)
+    front = ranged.withColumn("_here", F.min("_least").over(above)).join(F.broadcast(handed), "_part")
+    front = front.withColumn("_above", F.least("_here", "_handed")).where("_above IS NULL OR _least < _above")
     return points.join(front.select(F.col(gain).alias("_g"), "_least"), (F.col(gain) == F.col("_g")) & (F.col(loss) == F.col("_least")), "left_semi")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratiospark.functions.ids import stable_id
+from ratiospark.functions.ids import stable_id_column
 from ratiospark.functions.numeric import r_squared
 from ratiospark.operators import bootstrap, boosting, dependence, features, flags, folds, linear, ratio_study, stacking, summary
 from ratiospark.operators.positions import average_rank, exact_sample, first_per_key, with_position
@@ -500,10 +500,10 @@ def stack_worst_quarter(spark, sf):
 # Joins, sets, ranks, samples.
 
 
-@query("WITH planned AS (SELECT DISTINCT l_orderkey % 97 AS run_id FROM lineitem), done AS (SELECT o_orderkey % 97 AS run_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 200) SELECT run_id FROM planned WHERE run_id NOT IN (SELECT run_id FROM done)")
+@query("SELECT DISTINCT l_orderkey AS run_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def join_anti_pending(spark, sf):
-    planned = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 97).alias("run_id")).distinct()
-    status = ordered(spark, sf).where("o_orderkey < 200").select((F.col("o_orderkey") % 97).alias("run_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"))
+    planned = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id")).distinct()
+    status = ordered(spark, sf).select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"))
     return summary.pending(planned, status)
 
 
@@ -534,15 +534,15 @@ def window_global_mean(spark, sf):
     return global_mean(table(spark, sf, "supplier"), "s_acctbal").select("s_suppkey", F.round(F.col("s_acctbal") - F.col("global_mean"), 4).alias("centred"))
 
 
-@query()
+@query("SELECT o_orderkey, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey || '|2025'), o_orderkey) AS place FROM orders) WHERE place <= floor(0.1 * (SELECT count(*) FROM orders))")
 def exact_fraction_sample(spark, sf):
     return exact_sample(ordered(spark, sf), 0.1, ["o_orderkey"], 2025)
 
 
 @query("SELECT c_mktsegment, substr(sha256('{\"alpha\":0.1,\"segment\":\"' || c_mktsegment || '\"}'), 1, 16) AS config_id FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def stable_hash_ids(spark, sf):
-    segments = sorted(r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().collect())
-    return spark.createDataFrame([(s, stable_id({"segment": s, "alpha": 0.1})) for s in segments], "c_mktsegment string, config_id string")
+    config = F.struct(F.lit(0.1).alias("alpha"), F.col("c_mktsegment").alias("segment"))
+    return table(spark, sf, "customer").select("c_mktsegment").distinct().withColumn("config_id", stable_id_column(config))
 
 
 # Features.
@@ -701,12 +701,44 @@ def logistic_fit(spark, sf):
 
 @query()
 def stable_tail_fit(spark, sf):
-    return _coefficients(spark, linear.tail_mean(_train(spark, sf), ["x1"], "y", 0.5, steps=4))
+    return _coefficients(spark, linear.tail_mean(_train(spark, sf), ["x1"], "y", 0.5))
+
+
+@query()
+def stable_adversarial_fit(spark, sf):
+    return _coefficients(spark, linear.stable_adversarial(_train(spark, sf), ["x1"], "y", 0.5, 1.0, 0.5))
+
+
+@query()
+def stable_two_tails_fit(spark, sf):
+    return _coefficients(spark, linear.stable_adversarial_two(_train(spark, sf), ["x1"], "y", 0.5, 1.0))
+
+
+@query()
+def robust_ratio_fit(spark, sf):
+    return _coefficients(spark, linear.robust_ratio(_train(spark, sf), ["x1"], "y", 0.5, 2.0))
+
+
+@query()
+def svm_fit(spark, sf):
+    rows = sales(spark, sf).select((F.col("sp") > 50000).cast("int").alias("y"), F.log("quantity").alias("x1"))
+    return _coefficients(spark, linear.glm(rows, ["x1"], "y", "svm", l2=0.01), 3)
+
+
+@query()
+def least_maximum_fit(spark, sf):
+    return _coefficients(spark, linear.least_maximum(_train(spark, sf), ["x1"], "y"))
+
+
+@query()
+def max_deviation_fit(spark, sf):
+    return _coefficients(spark, linear.max_deviation_constrained(_train(spark, sf), ["x1"], "y", 0.02))
 
 
 @query()
 def group_constrained_fit(spark, sf):
-    return _coefficients(spark, linear.group_constrained(_train(spark, sf), ["x1"], "y", "flag", 0.99, rounds=3)[0])
+    model, _, reached = linear.group_bounded(_train(spark, sf), ["x1"], "y", "flag", 0.99)
+    return _coefficients(spark, model).withColumn("reached", F.lit(round(reached, 3)))
 
 
 def _rows_at(spark, sf):
@@ -749,7 +781,7 @@ def primal_dual_step(spark, sf):
 
 def _boosted(spark, sf, objective):
     rows = _train(spark, sf)
-    model = boosting.boost(rows, ["x1", "x2"], "y", objective, rounds=3, depth=2)
+    model = boosting.boost(rows, ["x1", "x2"], "y", objective)
     return rounded(model.transform(rows).groupBy("flag").agg(F.count("*").alias("n"), r_squared("y", "prediction").alias("r2")), 4)
 
 

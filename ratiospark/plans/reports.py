@@ -136,12 +136,12 @@ def join_composite(spark, sf):
     return rounded(rows.select("config_id", "fold_id", "r2").join(meta, ["config_id", "fold_id"], "left"), 8)
 
 
-@query("WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders) SELECT p.o_orderkey, q.o_orderkey AS next_key, round(q.o_totalprice - p.o_totalprice, 2) AS rise FROM p JOIN p q ON q.pos = p.pos + 1 WHERE p.pos % 50 = 0")
+@query("WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders) SELECT p.o_orderkey, q.o_orderkey AS next_key, round(q.o_totalprice - p.o_totalprice, 2) AS rise FROM p JOIN p q ON q.pos = p.pos + 1")
 def join_by_position(spark, sf):
     """Rows aligned by their place in time."""
     placed = with_position(ordered(spark, sf), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_totalprice", "pos")
     after = placed.select((F.col("pos") - 1).alias("pos"), F.col("o_orderkey").alias("next_key"), F.col("o_totalprice").alias("next_price"))
-    return placed.where("pos % 50 = 0").join(after, "pos").select("o_orderkey", "next_key", F.round(F.col("next_price") - F.col("o_totalprice"), 2).alias("rise"))
+    return placed.join(after, "pos").select("o_orderkey", "next_key", F.round(F.col("next_price") - F.col("o_totalprice"), 2).alias("rise"))
 
 
 @query(f"{_TRAIN}, l AS (SELECT flag, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM t GROUP BY flag) SELECT flag, count(*) AS n, round(avg(a + b * x1), 5) AS mean_fit, round(avg(pow(y - a - b * x1, 2)), 5) AS mse FROM t JOIN l USING (flag) GROUP BY flag")
@@ -217,7 +217,7 @@ def mode_by_group(spark, sf):
     g AS (SELECT i AS a, j AS b FROM b, range(2, 400) t(i), range(2, 400) u(j) WHERE i * j <= most),
     c AS (SELECT a, g.b, least(floor((x - x0) / (x1 - x0) * a), a - 1) AS i, least(floor((y - y0) / (y1 - y0) * g.b), g.b - 1) AS j, count(*) AS n FROM s, b, g GROUP BY ALL),
     p AS (SELECT a, b, i, sum(n) AS nx FROM c GROUP BY ALL), q AS (SELECT a, b, j, sum(n) AS ny FROM c GROUP BY ALL),
-    m AS (SELECT a, b, sum(c.n / t.n * ln(c.n * t.n / (nx * ny))) / ln(least(a, b)) AS score FROM c JOIN p USING (a, b, i) JOIN q USING (a, b, j), (SELECT n FROM b) t GROUP BY ALL)
+    m AS (SELECT a, b, sum(c.n / t.n * ln(c.n * t.n / (nx * ny))) / any_value(ln(least(c.a, c.b))) AS score FROM c JOIN p USING (a, b, i) JOIN q USING (a, b, j), (SELECT n FROM b) t GROUP BY c.a, c.b)
     SELECT round(max(score), 6) AS mic FROM m""")
 def dependence_mic(spark, sf):
     """A48."""
@@ -308,7 +308,7 @@ def incomplete_is_null(spark, sf):
 # Recipes.
 
 
-_RECIPE_ROWS = f"{_CUST}, r AS (SELECT c_custkey, ln(20000 + coalesce(c_acctbal, 0)) AS y, c_acctbal, c_mktsegment FROM c), k AS (SELECT DISTINCT c_mktsegment AS v FROM r WHERE c_custkey % 2 = 0 AND c_mktsegment IS NOT NULL AND c_mktsegment <> 'BUILDING')"
+_RECIPE_ROWS = f"{_CUST}, r AS (SELECT c_custkey, ln(20000 + coalesce(c_acctbal, 0)) AS y, c_acctbal, c_mktsegment FROM c), k AS (SELECT DISTINCT c_mktsegment AS v FROM r WHERE c_mktsegment <> 'BUILDING')"
 _CODED = "CASE WHEN c_mktsegment IS NULL THEN 'unknown' WHEN v IS NULL THEN 'new' ELSE v END AS c_mktsegment"
 
 
@@ -319,7 +319,7 @@ def _recipe_rows(spark, sf):
 def _main_recipe(spark, sf, numeric):
     rows = _recipe_rows(spark, sf)
     recipe = features.main_recipe("y", ["c_acctbal", "c_mktsegment"], ["c_mktsegment"], ["c_custkey"], numeric)
-    return rounded(recipe.fit(rows.where("c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING'")).transform(rows))
+    return rounded(recipe.fit(rows.where("c_mktsegment <> 'BUILDING'")).transform(rows))
 
 
 @query(f"WITH {_RECIPE_ROWS} SELECT c_custkey, round(y, 6) AS y, round(c_acctbal, 6) AS c_acctbal, {_CODED} FROM r LEFT JOIN k ON v = c_mktsegment")
@@ -328,7 +328,7 @@ def recipe_main(spark, sf):
     return _main_recipe(spark, sf, [])
 
 
-@query(f"WITH {_RECIPE_ROWS}, m AS (SELECT quantile_cont(c_acctbal, 0.5) AS m FROM r WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING') SELECT c_custkey, round(y, 6) AS y, round(coalesce(c_acctbal, m), 6) AS c_acctbal, {_CODED} FROM m, r LEFT JOIN k ON v = c_mktsegment")
+@query(f"WITH {_RECIPE_ROWS}, m AS (SELECT quantile_cont(c_acctbal, 0.5) AS m FROM r WHERE c_mktsegment <> 'BUILDING') SELECT c_custkey, round(y, 6) AS y, round(coalesce(c_acctbal, m), 6) AS c_acctbal, {_CODED} FROM m, r LEFT JOIN k ON v = c_mktsegment")
 def recipe_main_imputed(spark, sf):
     """E15."""
     return _main_recipe(spark, sf, ["c_acctbal"])
@@ -370,7 +370,7 @@ def fit_sql(rows: str, start: str, weight: str, steps: int, tol: float, response
     """Reweighted least squares of y on x1 in recursive SQL: ``start`` gives (a, b), ``weight`` and ``response`` are of y, x1, a and b."""
     return f"""WITH RECURSIVE {rows},
         it(k, a, b, moved) AS (
-            SELECT 0, a, b, 1e9 FROM ({start})
+            SELECT 0, a::DOUBLE, b::DOUBLE, 1e9::DOUBLE FROM ({start})
             UNION ALL
             SELECT k + 1, my - slope * mx, slope, greatest(abs(my - slope * mx - a), abs(slope - b))
             FROM (SELECT k, a, b, sum(w * x1) / sum(w) AS mx, sum(w * v) / sum(w) AS my, (sum(w * x1 * v) / sum(w) - sum(w * x1) / sum(w) * sum(w * v) / sum(w)) / (sum(w * x1 * x1) / sum(w) - pow(sum(w * x1) / sum(w), 2)) AS slope

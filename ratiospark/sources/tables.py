@@ -73,7 +73,7 @@ def status_row(run: Mapping[str, object], status: str, error: BaseException | No
     """Started, completed or failed, with the time and what went wrong."""
     row = {**run, "status": status, "timestamp_utc": datetime.now(UTC).isoformat()}
     if error is not None:
-        row |= {"error_type": type(error).__name__, "error_message": str(error)[:2000], "traceback": "".join(traceback.format_exception(error))[:8000]}
+        row |= {"error_type": type(error).__name__, "error_message": str(error), "traceback": "".join(traceback.format_exception(error))}
     return row
 
 

@@ -151,3 +151,99 @@ def test_features(spark):
     power = features.PowerFeatures(box_cox=["v"]).fit(spark.createDataFrame([(float(np.exp(v)),) for v in np.random.default_rng(0).normal(size=500)], "v double"))
     assert abs(power.lambdas["v"]) < 0.15
     assert features.NearZeroVariance().fit_transform(df.withColumns({"one": F.lit(1), "mixed": F.when(F.col("k") > 1, 1)})).columns == ["k", "c", "v", "mixed"]
+
+
+def tail_of(values, keep):
+    """Mean of the worst share, a part of a row counting at the edge."""
+    v = np.sort(values)[::-1]
+    k = keep * len(v)
+    whole = int(k)
+    return (v[:whole].sum() + (k - whole) * (v[whole] if whole < len(v) else 0)) / k
+
+
+def objectives(x, y):
+    """The stated objectives of M13-M16 in numpy."""
+    def parts(c):
+        f = c[0] + x @ c[1:]
+        q = f / y
+        return np.abs(y - f), np.abs((y - y.mean()) * (q - q.mean())), np.abs((y - f) - (y - f).mean()), q - 1
+
+    def m16(c):
+        e, _, _, h = parts(c)
+        v = (y - y.mean()) / y.std()
+        return tail_of(e + 2.0 * (np.abs(v * h) + h * h), 0.4)
+
+    return {
+        "M13": lambda c: tail_of(parts(c)[0], 0.4) + 0.05 * np.abs(c[1:]).sum() + 0.01 * (c[1:] ** 2).sum(),
+        "M14": lambda c: tail_of(parts(c)[0] + 2.0 * parts(c)[1] + 0.5 * parts(c)[2], 0.4),
+        "M15": lambda c: tail_of(parts(c)[0], 0.4) + 2.0 * tail_of(parts(c)[1], 0.4),
+        "M16": m16,
+    }
+
+
+@pytest.mark.parametrize("name", ["M13", "M14", "M15", "M16"])
+def test_tail_objectives_are_least(data, name):
+    """No step in any of many directions lowers the stated objective, which is convex; the unpenalised fit is above it."""
+    df, x, y = data
+    fit = {
+        "M13": lambda: linear.stable_regression(df, ["a", "b"], "y", 0.4, l2=0.02, l1=0.05),
+        "M14": lambda: linear.stable_adversarial(df, ["a", "b"], "y", 0.4, 2.0, 0.5),
+        "M15": lambda: linear.stable_adversarial_two(df, ["a", "b"], "y", 0.4, 2.0),
+        "M16": lambda: linear.robust_ratio(df, ["a", "b"], "y", 0.4, 2.0),
+    }[name]()
+    objective = objectives(x, y)[name]
+    c = np.r_[fit.intercept, fit.beta]
+    rng = np.random.default_rng(3)
+    reached = objective(c)
+    steps = [objective(c + size * d / np.linalg.norm(d)) for size in (1e-3, 1e-2, 0.1) for d in rng.normal(size=(60, 3))]
+    assert min(steps) >= reached * (1 - 2e-4)
+    assert objective(np.linalg.lstsq(np.c_[np.ones(len(y)), x], y, rcond=None)[0]) > reached
+
+
+def test_bounds_of_the_stable_fit(data):
+    df, x, y = data
+    ratio_of = lambda m: (m.intercept + x @ m.beta) / y
+    free = linear.stable_regression(df, ["a", "b"], "y", 0.5)
+    spread = lambda m: np.abs(ratio_of(m) - ratio_of(m).mean()).mean()
+    cov = lambda m: abs(np.mean((y - y.mean()) * ratio_of(m))) / y.std()
+    held = linear.stable_regression(df, ["a", "b"], "y", 0.5, cov_bound=cov(free) / 2)
+    assert cov(held) <= cov(free) / 2 + 1e-3
+    held = linear.stable_regression(df, ["a", "b"], "y", 0.5, spread_bound=spread(free) * 0.99)
+    assert spread(held) <= spread(free) * 0.99 + 1e-3
+
+
+def test_least_maximum_is_least(data):
+    df, x, y = data
+    top = lambda c: np.abs(y - (c[0] + x @ c[1:])).max()
+    m = linear.least_maximum(df, ["a", "b"], "y")
+    c = np.r_[m.intercept, m.beta]
+    rng = np.random.default_rng(5)
+    assert all(top(c + size * d / np.linalg.norm(d)) >= top(c) - 1e-9 for size in (1e-4, 1e-2, 0.1) for d in rng.normal(size=(80, 3)))
+    plain = linear.least_squares(df, ["a", "b"], "y")
+    bound = 0.97 * top(np.r_[plain.intercept, plain.beta])
+    held = linear.max_deviation_constrained(df, ["a", "b"], "y", 0.03)
+    k = np.r_[held.intercept, held.beta]
+    squares = lambda c: np.mean((y - (c[0] + x @ c[1:])) ** 2)
+    assert top(k) <= bound + 1e-8
+    near = [k + size * d / np.linalg.norm(d) for size in (1e-4, 1e-3, 1e-2) for d in rng.normal(size=(200, 3))]
+    assert all(squares(p) >= squares(k) - 1e-7 for p in near if top(p) <= bound)
+
+
+def test_hinge(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=600)
+    yes = (x + rng.normal(0, 0.7, 600) > 0.2).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, yes, strict=True)], "x double, yes int")
+    m = linear.glm(df, ["x"], "yes", "svm", l2=0.01)
+    s = 2 * yes - 1
+    loss = lambda a, b: np.maximum(0, 1 - s * (a + b * x)).mean() + 0.01 * b * b
+    best = min(loss(a, b) for a in np.linspace(-2, 2, 161) for b in np.linspace(0, 4, 161))
+    assert loss(m.intercept, m.beta[0]) <= best + 1e-3
+
+
+def test_group_bound_is_met_or_flagged(data):
+    df, _, _ = data
+    _, _, reached = linear.group_bounded(df, ["a", "b"], "y", "g", 0.999)
+    assert reached <= 1 + 1e-3
+    with pytest.warns(UserWarning, match="bound"):
+        linear.group_constrained(df, ["a", "b"], "y", "g", 0.2, rounds=2)
