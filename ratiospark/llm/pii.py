@@ -144,7 +144,7 @@ def _words(text: Column) -> Column:
 
 
 def _entities(s: Column) -> Column:
-    """What a span mentions: its value, what other values can share with it, and its kind."""
+    """What a span mentions: its value and what other values can share with it."""
     low, digits = F.lower(s["value"]), F.regexp_replace(s["value"], "[^0-9]", "")
     named = lambda name, value: F.concat(F.lit(f"{name}:"), value)
     of = {
@@ -154,7 +154,11 @@ def _entities(s: Column) -> Column:
         "phone": (named("phone", digits), named("block", F.left(digits, F.length(digits) - 4))),
         "secret": (named("secret", s["value"]),),
     }
-    return F.coalesce(*(F.when(s["kind"] == kind, F.array(*names, F.lit(f"kind:{kind}"))) for kind, names in of.items()))
+    return F.coalesce(*(F.when(s["kind"] == kind, F.array(*names)) for kind, names in of.items()))
+
+
+def _kinds() -> Column:
+    return F.array_distinct(F.transform("spans", lambda s: F.concat(F.lit("kind:"), s["kind"])))
 
 
 def disclosing_pairs(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -165,20 +169,28 @@ def disclosing_pairs(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int)
     spanned = base.where(F.size("spans") > 0)
     mentions = work.save(spanned.select("key", F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity")))
     # Fewer texts can't support a pair; an entity in more documents leaves no more than the bound by itself.
-    support = F.when(F.col("entity").startswith("kind:"), plan.kind_support).otherwise(plan.support)
-    known = mentions.groupBy("entity").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("mentions")).where(F.col("texts") >= support)
-    known = known.where(F.log2(F.lit(float(rows)) / F.col("mentions")) > plan.residual_bits).select("entity", "mentions")
-    shared = work.save(mentions.join(known, "entity"))
+    known = mentions.groupBy("entity").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("mentions")).where(F.col("texts") >= plan.support)
+    hidden = F.log2(F.lit(float(rows)) / F.col("mentions")) > plan.residual_bits
+    shared = work.save(mentions.join(known.where(hidden).select("entity", "mentions"), "entity"))
     # All terms are counted, and written, before any is looked up: one row a term meets the join.
     often = work.save(base.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= plan.support))
     words = F.array_distinct(_words(F.regexp_replace(F.regexp_replace("text", PATTERNS["email"], " "), SECRET if plan.secrets else r"\z", " ")))
     held = spanned.join(shared.groupBy("key").agg(F.max("mentions").alias("most")), "key").select("key", "most", F.explode(words).alias("term"))
     enough = lambda most: F.col(most) >= F.col("docs") * 2.0 ** -plan.residual_bits * (1 - 1e-9)
     held = work.save(held.join(often, "term").where(enough("most")).select("key", "term", "docs"))
-    pairs = shared.join(held, "key").where(enough("mentions")).groupBy("entity", "term", "docs").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("both")).where(F.col("texts") >= support)
+    pairs = shared.join(held, "key").where(enough("mentions")).groupBy("entity", "term", "docs").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("both")).where(F.col("texts") >= plan.support)
+    # Kinds are few and in many documents: their pairs are counted before any row is kept.
+    kinds = work.save(spanned.select("key", F.explode(_kinds()).alias("entity")))
+    common = work.save(kinds.groupBy("entity").agg(F.count("*").alias("mentions")).where(hidden & (F.col("mentions") >= plan.kind_support)).select("entity"))
+    met = spanned.select("key", F.xxhash64("text").alias("print"), F.explode(_kinds()).alias("entity"), words.alias("words")).join(F.broadcast(common), "entity", "left_semi")
+    met = met.select("key", "print", "entity", F.explode("words").alias("term"))
+    likely = work.save(met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= plan.kind_support).join(often, "term").where(enough("both")))
+    if likely.saved_rows:
+        texts = met.join(likely.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count_distinct("print").alias("texts"))
+        pairs = pairs.unionByName(likely.join(texts, ["entity", "term"]).where(F.col("texts") >= plan.kind_support).select(*pairs.columns))
     left = F.greatest(F.lit(0.0), F.log2(F.col("docs") / F.col("both")))
     telling = work.save(pairs.withColumn("bits", left).where(F.col("bits") <= plan.residual_bits).select("entity", "term", "bits"))
-    return shared.select("key", "entity"), telling
+    return shared.select("key", "entity").unionByName(kinds), telling
 
 
 def revealing_terms(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int) -> DataFrame:
