@@ -67,6 +67,11 @@ def _design(features: Sequence[str], y: Column | str) -> list[Column]:
     return [F.lit(1.0), *(F.col(f).cast("double") for f in features), F.col(y).cast("double") if isinstance(y, str) else y]
 
 
+def _prepared(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of an iterative fit, staged once."""
+    return df if "staged_path" in df.__dict__ else staged(df.select(*dict.fromkeys(columns)))
+
+
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
@@ -85,6 +90,7 @@ def least_squares(df: DataFrame, features: Sequence[str], y: str, weight: Column
 
 def reweighted(df: DataFrame, features: Sequence[str], y: str, weight: Callable[[Column], Column], steps: int = 50, tol: float = 1e-6, start: LinearModel | None = None, l2: float = 0.0) -> LinearModel:
     """Least squares with weights of the residual, until coefficients settle; unconverged fits return the last."""
+    df = _prepared(df, [*features, y])
     model = start or least_squares(df, features, y, l2=l2)
     for _ in range(steps):
         new = least_squares(df, features, y, weight(F.col(y) - model.linear()), l2)
@@ -107,6 +113,7 @@ def least_proportional(df: DataFrame, features: Sequence[str], y: str) -> Linear
 
 def log_absolute(df: DataFrame, features: Sequence[str], y: str, floor: float = 1e-3) -> LinearModel:
     """Sum of log |residual|, majorised: weights 1 / residual^2, from the absolute fit."""
+    df = _prepared(df, [*features, y])
     return reweighted(df, features, y, lambda r: 1 / F.greatest(r * r, F.lit(floor)), start=least_absolute(df, features, y))
 
 
@@ -136,6 +143,7 @@ def least_maximum(df: DataFrame, features: Sequence[str], y: str, rounds: int =
     the rows furthest off, which join the few, until none is further off than
     the bound.
     """
+    df = _prepared(df, [*features, y])
     model = least_squares(df, features, y)
     high, active = _extremes(df, model, y)
     for _ in range(rounds):
@@ -176,6 +184,7 @@ def bounded_maximum(df: DataFrame, features: Sequence[str], y: str, limit: Calla
     By exchange, as ``least_maximum``; if no coefficients meet the bound, that
     fit is returned.
     """
+    df = _prepared(df, [*features, y])
     g = gram(df, _design(features, y))
     model = _model(features, _solve(g[:-1, :-1], g[:-1, -1]))
     r = F.abs(F.col(y) - model.linear())
@@ -308,6 +317,8 @@ def glm(df: DataFrame, features: Sequence[str], y: str, family: str, l2: float =
             raise ValueError("the hinge takes no weights")
         return linear_svm(df, features, y, l2)
     link = {"logistic": "logit", "poisson": "log"}[family]
+    if weight is None:
+        df = _prepared(df, [*features, y])
     coef = np.zeros(len(features) + 1)
     if family == "poisson":
         coef[0] = math.log(max(df.agg(F.avg(y)).first()[0] or 1e-9, 1e-9))
@@ -343,6 +354,8 @@ def group_bounded(df: DataFrame, features: Sequence[str], y: str, group: str, bo
     bound is met.
     """
 
+    df = _prepared(df, [*features, y, group])
+
     def loss(m: LinearModel) -> Column:
         mu = m.mean()
         if family == "logistic":
