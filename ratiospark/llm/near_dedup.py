@@ -225,7 +225,8 @@ def _cluster_pairs(work: Workspace, heavy: DataFrame, known: DataFrame, plan: De
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, labels, n, bits = ([np.asarray(batch.column(4 * side + k)[row].values) for side in (0, 1)] for k in range(4))
-                bits = [x.reshape(len(i), -1) for x, i in zip(bits, ids, strict=True)]
+                # Unsigned: bits are counted of absolute values.
+                bits = [x.view(np.uint64).reshape(len(i), -1) for x, i in zip(bits, ids, strict=True)]
                 for at in range(len(ids[0])):
                     may = (labels[1] != labels[0][at]) & (ids[1] != ids[0][at]) & (100 * np.minimum(n[1], n[0][at]) >= plan.percent * np.maximum(n[1], n[0][at]))
                     other = np.flatnonzero(may)
