@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratiospark.llm import decontamination, html_extraction, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts, warc_revisits
+from ratiospark.llm import decontamination, html_extraction, lexical_search, line_dedup, merkle, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts, warc_revisits
 from ratiospark.llm.tables import table
 
 
@@ -55,6 +55,18 @@ def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", sharding.SHARDS).select("doc_id", "source", "n_chars", "slot", "shard")
 
 
+def op11_variable_block_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_twin_filter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_level_store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def _op10_sql() -> str:
     owners = ",".join(str(k) for k in sharding.fill_table(sharding.SHARDS))
     return f"""
@@ -78,8 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_disclosure_pii": op9_disclosure_pii,
     "op10_lookup_sharding": op10_lookup_sharding,
+    "op11_variable_block_wand": op11_variable_block_wand,
+    "op12_twin_filter_lines": op12_twin_filter_lines,
+    "op13_level_store_manifest": op13_level_store_manifest,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisit_resolution": warc_revisits.REVISITS_SQL, "op6_risk_controlled_rules": quality_rules.rules_sql(), "op10_lookup_sharding": _op10_sql()}
+    more = {"op11_variable_block_wand": lexical_search.RANK_SQL, "op12_twin_filter_lines": line_dedup.LINES_SQL, "op13_level_store_manifest": merkle.audit_sql()}
+    return more | {"op2_revisit_resolution": warc_revisits.REVISITS_SQL, "op6_risk_controlled_rules": quality_rules.rules_sql(), "op10_lookup_sharding": _op10_sql()}

@@ -29,15 +29,15 @@ class Workspace:
         self.count = 0
         self.paths: set[str] = set()
 
-    def save(self, df: DataFrame, *measures: Column) -> DataFrame:
-        """The table as written; ``saved_rows`` of it is its number of rows, ``saved_<name>`` an aggregate of that name."""
+    def save(self, df: DataFrame, *measures: Column, name: str = "") -> DataFrame:
+        """The table as written, in the folder ``name`` if given; ``saved_rows`` of it is its number of rows, ``saved_<name>`` an aggregate of that name."""
         self.count += 1
-        path, seen = f"{self.root}/{self.count}", Observation()
+        path, seen = f"{self.root}/{name or self.count}", Observation()
         df.observe(seen, F.count(F.lit(1)).alias("rows"), *measures).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_path = path
-        for name, value in seen.get.items():
-            setattr(out, f"saved_{name}", value)
+        for measure, value in seen.get.items():
+            setattr(out, f"saved_{measure}", value)
         self.paths.add(path)
         return out
 
