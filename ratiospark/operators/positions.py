@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ratiospark.operators.quantiles import IN_MEMORY, largest_group, same
+from ratiospark.operators.quantiles import IN_MEMORY, SMALL, largest_group, same
 from ratiospark.sources.staging import staged
 
 
@@ -20,7 +20,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], groups: Sequence
     sorted in each range and staged, so no task holds a group; a row's place in
     its range and the sizes of the ranges before give its position.
     """
-    if groups and largest_group(df, groups) <= (IN_MEMORY if in_memory is None else in_memory):
+    if groups and _small(df, groups, in_memory):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
     ranged = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
     ranged = staged(ranged.withColumn("_row", F.monotonically_increasing_id()))
@@ -33,6 +33,29 @@ def with_position(df: DataFrame, order: Sequence[Column | str], groups: Sequence
     return placed.withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
 
 
+def _small(df: DataFrame, groups: Sequence[str], in_memory: int | None) -> bool:
+    limit = IN_MEMORY if in_memory is None else in_memory
+    return limit >= SMALL or largest_group(df, groups) <= limit
+
+
+def with_running_sum(df: DataFrame, order: Sequence[Column | str], groups: Sequence[str], value: str, name: str = "before", in_memory: int | None = None) -> DataFrame:
+    """Adds the sum of a whole-numbered ``value`` over the rows before in the group, 0 for the first: positions of rows that stand for several.
+
+    As in ``with_position``, groups over ``in_memory`` rows are dealt out by ranges.
+    """
+    if _small(df, groups, in_memory):
+        over = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(over), F.lit(0)).cast("long"))
+    ranged = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    ranged = staged(ranged.withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+    sizes = ranged.groupBy(*groups, "_part").agg(F.sum(value).alias("_size"))
+    earlier = Window.partitionBy(*groups).orderBy("_part")
+    before = sizes.select(*groups, "_part", (F.sum("_size").over(earlier) - F.col("_size")).alias("_before"))
+    here = Window.partitionBy(*groups, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = same(ranged.withColumn("_here", F.coalesce(F.sum(value).over(here), F.lit(0))), before, [*groups, "_part"], "inner")
+    return placed.withColumn(name, (F.col("_here") + F.col("_before")).cast("long")).drop("_part", "_row", "_here", "_before")
+
+
 def equal_count_group(pos: Column, n: Column, k: Column | int) -> Column:
     """Group (from 0) of a position among n rows dealt in order to k groups; the first n mod k have one more."""
     k = F.lit(k) if isinstance(k, int) else k

@@ -19,6 +19,8 @@ from ratiospark.sources.staging import staged, unstaged
 
 #: Rows of a group up to which one task ranks it.
 IN_MEMORY = 2_000_000
+#: Passed as ``in_memory``: the groups are known to be small, so they need no count.
+SMALL = 1 << 62
 CELLS = 65_536
 
 
@@ -37,25 +39,38 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "le
     return left.join(renamed, condition, how).drop(*(f"_r_{n}" for n in names))
 
 
-def quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tuple[Column, float]], others: Mapping[str, Column] | None = None, in_memory: int | None = None) -> DataFrame:
+def how_large(df: DataFrame, groups: Sequence[str], in_memory: int | None = None) -> int:
+    """What to pass on as ``in_memory`` to several operators over the same rows and groups, so that these are counted once: ``SMALL`` or 1."""
+    return SMALL if largest_group(df, groups) <= (IN_MEMORY if in_memory is None else in_memory) else 1
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tuple[Column, float]], others: Mapping[str, Column] | None = None, in_memory: int | None = None, weight: Column | None = None) -> DataFrame:
     """One row per group (one in all without groups): the exact, linearly interpolated quantiles ``wanted`` as name: (value, share), and other aggregates.
 
-    NULL and NaN are no values; a group without values has NULL.
+    NULL and NaN are no values; a group without values has NULL.  ``weight`` (a
+    whole number) counts a row so many times.  Quantiles of one value share a buffer.
     """
-    limit = IN_MEMORY if in_memory is None else in_memory
     others = dict(others or {})
     clean = lambda v: F.when(~F.isnan(v.cast("double")), v.cast("double"))
-    if not wanted or largest_group(df, groups) <= limit:
-        aggs = [*(F.percentile(clean(v), q).alias(k) for k, (v, q) in wanted.items()), *(v.alias(k) for k, v in others.items())]
-        return df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
-    found = _by_intervals(df, groups, {k: (clean(v), q) for k, (v, q) in wanted.items()}, limit)
+    values: dict[str, tuple[Column, list[str]]] = {}
+    for k, (v, _) in wanted.items():
+        values.setdefault(str(v), (v, []))[1].append(k)
+    limit = max(1, IN_MEMORY // max(1, len(values))) if in_memory is None else in_memory
+    if not wanted or limit >= SMALL or largest_group(df, groups) <= limit:
+        often = [] if weight is None else [weight]
+        arrays = [F.percentile(clean(v), F.array(*(F.lit(float(wanted[k][1])) for k in names)), *often).alias(f"_values_{i}") for i, (v, names) in enumerate(values.values())]
+        aggs = [*arrays, *(v.alias(k) for k, v in others.items())]
+        out = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
+        place = {k: (i, j) for i, (_, names) in enumerate(values.values()) for j, k in enumerate(names)}
+        return out.select(*groups, *(F.col(f"_values_{place[k][0]}")[place[k][1]].alias(k) for k in wanted), *others)
+    found = _by_intervals(df, groups, {k: (clean(v), q) for k, (v, q) in wanted.items()}, limit, F.lit(1) if weight is None else weight)
     counted = [F.count(F.lit(1)).alias("_n"), *(v.alias(k) for k, v in others.items())]
     base = df.groupBy(*groups).agg(*counted) if groups else df.agg(*counted)
     out = same(base, found, groups) if groups else base.crossJoin(F.broadcast(found))
     return out.select(*groups, *wanted, *others)
 
 
-def _by_intervals(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tuple[Column, float]], limit: int) -> DataFrame:
+def _by_intervals(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tuple[Column, float]], limit: int, weight: Column) -> DataFrame:
     names = list(wanted)
     group = F.struct(*(F.col(g).alias(f"g{i}") for i, g in enumerate(groups))) if groups else F.struct(F.lit(0).alias("g"))
     # Quantiles of one column share its passes.
@@ -70,8 +85,8 @@ def _by_intervals(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tup
     values = F.inline(F.array(*(F.struct(F.lit(c).alias("which"), v.alias("value")) for c, v in enumerate(firsts))))
     # log1p and floor rise with the size of a value, so the intervals are in its order.
     interval = (F.signum("value") * F.floor(F.log1p(F.abs("value") * 1e6) * 2048)).cast("long")
-    long = df.select(group.alias("group"), values).where("value IS NOT NULL").withColumn("cell", interval)
-    counted = staged(long.groupBy("group", "which", "cell").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+    long = df.select(group.alias("group"), weight.cast("long").alias("w"), values).where("value IS NOT NULL").withColumn("cell", interval)
+    counted = staged(long.groupBy("group", "which", "cell").agg(F.sum("w").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
     whole, rising = Window.partitionBy("group", "which"), Window.partitionBy("group", "which").orderBy("cell")
     placed = counted.withColumns({"total": F.sum("n").over(whole), "before": F.sum("n").over(rising) - F.col("n")})
     asked = F.array(*(F.struct(F.lit(k).alias("out"), F.lit(which[k]).alias("of"), F.lit(float(q)).alias("q")) for k, (_, q) in enumerate(wanted.values())))
@@ -82,15 +97,15 @@ def _by_intervals(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tup
     done = [live.where("lo = hi").select("group", "out", "place", "rank", F.col("lo").alias("value"))]
     open_ = live.where("lo < hi")
     inside = lambda rows: long.drop("cell").join(rows.select("group", "which", "lo", "hi").distinct(), ["group", "which"]).where("value BETWEEN lo AND hi")
-    while (open_.agg(F.max("n")).first()[0] or 0) > limit:
+    while (open_.agg(F.max("n")).first()[0] or 0) > max(1, limit):
         part = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))
-        cells = inside(open_).withColumn("part", part).groupBy("group", "which", "lo", "part").agg(F.count("*").alias("m"), F.min("value").alias("new_lo"), F.max("value").alias("new_hi"))
+        cells = inside(open_).withColumn("part", part).groupBy("group", "which", "lo", "part").agg(F.sum("w").alias("m"), F.min("value").alias("new_lo"), F.max("value").alias("new_hi"))
         cells = cells.withColumn("under", F.sum("m").over(Window.partitionBy("group", "which", "lo").orderBy("part")) - F.col("m"))
         next_ = open_.join(cells, ["group", "which", "lo"]).where("rank >= before + under AND rank < before + under + m")
         open_ = staged(next_.select("group", "which", "out", "place", "rank", (F.col("before") + F.col("under")).alias("before"), F.col("m").alias("n"), F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi")))
         done.append(open_.where("lo = hi").select("group", "out", "place", "rank", F.col("lo").alias("value")))
         open_ = open_.where("lo < hi")
-    ranked = inside(open_).groupBy("group", "which", "lo", "value").agg(F.count("*").alias("m"))
+    ranked = inside(open_).groupBy("group", "which", "lo", "value").agg(F.sum("w").alias("m"))
     ranked = ranked.withColumn("under", F.sum("m").over(Window.partitionBy("group", "which", "lo").orderBy("value")) - F.col("m"))
     last = open_.join(ranked, ["group", "which", "lo"]).where("rank >= before + under AND rank < before + under + m")
     every = last.select("group", "out", "place", "rank", "value")

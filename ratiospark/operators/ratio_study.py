@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratiospark.functions.numeric import EPS, finite, fisher_z, pearson, positive, r_squared, ratio, slope
-from ratiospark.operators.positions import equal_count_group, with_position
-from ratiospark.operators.quantiles import quantiles
+from ratiospark.operators.positions import equal_count_group, with_position, with_running_sum
+from ratiospark.operators.quantiles import how_large, quantiles, same
 from ratiospark.sources.staging import staged
 
 ALL = "_all"
@@ -100,22 +100,29 @@ def oos_r2(df: DataFrame, groups: Sequence[str], train_mean: Column, av: str = "
 
 def _with_median(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows with their group's size and median ratio."""
-    return rows.join(quantiles(rows, names, {"m": (F.col("r"), 0.5)}, {"n": F.count("*")}), names)
+    return same(rows, quantiles(rows, names, {"m": (F.col("r"), 0.5)}, {"n": F.count("*")}), names, "inner")
+
+
+def _cod() -> Column:
+    return ratio(100 * F.avg(F.abs(F.col("r") - F.col("m"))), F.first("m"))
+
+
+def _prb(least: int = 2) -> Column:
+    x = F.log2(0.5 * (F.col("av") / F.col("m") + F.col("sp")))
+    return F.when(F.count("*") >= least, slope((F.col("r") - F.col("m")) / F.col("m"), x))
 
 
 def cod(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp") -> DataFrame:
     """Mean absolute deviation from the median ratio, in percent of it."""
     rows, names = usable(df, groups, av, sp)
-    out = _with_median(rows, names).groupBy(*names).agg(ratio(100 * F.avg(F.abs(F.col("r") - F.col("m"))), F.first("m")).alias("cod"))
+    out = _with_median(rows, names).groupBy(*names).agg(_cod().alias("cod"))
     return out if groups else out.drop(ALL)
 
 
 def prb(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp", least: int = 2) -> DataFrame:
     """Slope of (r - m) / m on log2 of the mean of av / m and sp; NULL under ``least`` rows (3 in the stricter rule)."""
     rows, names = usable(df, groups, av, sp)
-    x = F.log2(0.5 * (F.col("av") / F.col("m") + F.col("sp")))
-    y = (F.col("r") - F.col("m")) / F.col("m")
-    out = _with_median(rows, names).groupBy(*names).agg(F.when(F.count("*") >= least, slope(y, x)).alias("prb"))
+    out = _with_median(rows, names).groupBy(*names).agg(_prb(least).alias("prb"))
     return out if groups else out.drop(ALL)
 
 
@@ -127,13 +134,20 @@ def vei_groups(n: Column) -> Column:
 def vei_profile(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp", keys: Sequence[str] = (), k: int | None = None) -> DataFrame:
     """Median ratio and size of each group of rising value (the mean of sp and av / m)."""
     rows, names = usable(df, groups, av, sp, keys)
-    rows = _with_median(rows, names).withColumn("proxy", 0.5 * F.col("sp") + 0.5 * F.col("av") / F.col("m"))
+    rows = staged(rows)
+    out = _profile(_with_median(rows, names), names, k, how_large(rows, names))
+    return out if groups else out.drop(ALL)
+
+
+def _profile(rows: DataFrame, names: Sequence[str], k: int | None, in_memory: int) -> DataFrame:
+    """The groups of rows that know their group's ``m`` and ``n``; a stratum is at most half of its group."""
+    rows = rows.withColumn("proxy", 0.5 * F.col("sp") + 0.5 * F.col("av") / F.col("m"))
     ties = [c for c in rows.columns if c.startswith("key_")]
     count = F.lit(k) if k else vei_groups(F.col("n"))
-    rows = with_position(rows, ["proxy", *ties, "sp", "av"], names).withColumn("k", count).where("k IS NOT NULL")
+    rows = with_position(rows, ["proxy", *ties, "sp", "av"], names, in_memory=in_memory).withColumn("k", count).where("k IS NOT NULL")
     rows = rows.withColumn("stratum", equal_count_group(F.col("pos"), F.col("n"), F.col("k")))
-    out = quantiles(staged(rows), [*names, "stratum"], {"median_ratio": (F.col("r"), 0.5)}, {"count": F.count("*"), "m": F.first("m"), "k": F.first("k")})
-    return out if groups else out.drop(ALL)
+    rows = rows if in_memory > 1 else staged(rows)
+    return quantiles(rows, [*names, "stratum"], {"median_ratio": (F.col("r"), 0.5)}, {"count": F.count("*"), "m": F.first("m"), "k": F.first("k")}, in_memory if in_memory > 1 else None)
 
 
 def vei(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp", keys: Sequence[str] = (), k: int | None = None, rule: str = "ends") -> DataFrame:
@@ -144,32 +158,128 @@ def vei(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp
     """
     names = list(groups) or [ALL]
     profile = vei_profile(df if groups else df.withColumn(ALL, F.lit(0)), names, av, sp, keys, k)
+    out = _ends(profile, names, rule)
+    return out if groups else out.drop(ALL)
+
+
+def _ends(profile: DataFrame, names: Sequence[str], rule: str) -> DataFrame:
     is_end = (F.col("stratum") == 0) | (F.col("stratum") == F.col("k") - 1)
     low = F.min(F.when(is_end, F.col("count")) if rule == "ends" else F.col("count"))
     ends = F.max(F.when(F.col("stratum") == F.col("k") - 1, F.col("median_ratio"))) - F.max(F.when(F.col("stratum") == 0, F.col("median_ratio")))
-    out = profile.groupBy(*names).agg(F.when(low >= 10, 100 * ends / F.first("m")).alias("vei"), F.transform(F.sort_array(F.collect_list(F.struct("stratum", "median_ratio"))), lambda x: x["median_ratio"]).alias("vei_medians"), F.transform(F.sort_array(F.collect_list(F.struct("stratum", "count"))), lambda x: x["count"]).alias("vei_counts"))
-    return out if groups else out.drop(ALL)
+    return profile.groupBy(*names).agg(F.when(low >= 10, 100 * ends / F.first("m")).alias("vei"), F.transform(F.sort_array(F.collect_list(F.struct("stratum", "median_ratio"))), lambda x: x["median_ratio"]).alias("vei_medians"), F.transform(F.sort_array(F.collect_list(F.struct("stratum", "count"))), lambda x: x["count"]).alias("vei_counts"))
 
 
 def gini(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp") -> DataFrame:
     """Concentration of av and of sp in the order of sp (ties by falling av), KI and MKI."""
     rows, names = usable(df, groups, av, sp)
-    rows = with_position(rows, ["sp", F.desc("av")], names)
+    out = _gini(rows, names, None)
+    return out if groups else out.drop(ALL)
+
+
+def _gini(rows: DataFrame, names: Sequence[str], in_memory: int | None) -> DataFrame:
+    rows = with_position(rows, ["sp", F.desc("av")], names, in_memory=in_memory)
     n = F.count("*")
     index = lambda x: (2 * ratio(F.sum(F.col(x) * F.col("pos")), F.sum(x)) - (n + 1)) / n
-    out = rows.groupBy(*names).agg(index("av").alias("gini_av"), index("sp").alias("gini_sp"))
-    out = out.withColumns({"ki": F.col("gini_av") - F.col("gini_sp"), "mki": ratio("gini_av", "gini_sp")})
-    return out if groups else out.drop(ALL)
+    return _concentration(rows.groupBy(*names).agg(index("av").alias("gini_av"), index("sp").alias("gini_sp")))
+
+
+def _concentration(ginis: DataFrame) -> DataFrame:
+    return ginis.withColumns({"ki": F.col("gini_av") - F.col("gini_sp"), "mki": ratio("gini_av", "gini_sp")})
 
 
 def bundle(df: DataFrame, groups: Sequence[str], av: str = "av", sp: str = "sp", keys: Sequence[str] = ()) -> DataFrame:
-    """Every measure by group, one row each, from rows that are made once."""
-    df = staged(df.select(*groups, av, sp, *(k for k in keys if k not in groups)))
-    parts = [accuracy(df, groups, av, sp), cod(df, groups, av, sp), prb(df, groups, av, sp), vei(df, groups, av, sp, keys).select(*groups, "vei"), gini(df, groups, av, sp)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, list(groups), "left")
-    return out
+    """Every measure by group, one row each.
+
+    The rows are made and their groups counted once; the median, which the other
+    parts need, comes from the first aggregate.
+    """
+    rows, names = usable(df, groups, av, sp, keys)
+    rows = staged(rows)
+    size = how_large(rows, names)
+    first = staged(quantiles(rows, names, quantile_columns(), accuracy_columns(), size if size > 1 else None))
+    rows = same(rows, first.select(*names, F.col("median_ratio").alias("m"), "n"), names, "inner")
+    parts = [rows.groupBy(*names).agg(_cod().alias("cod"), _prb().alias("prb")), _ends(_profile(rows, names, None, size), names, "ends").select(*names, "vei"), _gini(rows, names, size)]
+    out = first.withColumn("iqr_ratio", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
+    for part in parts:
+        out = same(out, part, names)
+    return out if groups else out.drop(ALL)
+
+
+def weighted_bundle(df: DataFrame, groups: Sequence[str], weight: str, av: str = "av", sp: str = "sp", keys: Sequence[str] = ()) -> DataFrame:
+    """The measures of ``bundle`` where each row counts ``weight`` (a whole number) times, no row copied.
+
+    Means come first, then moments about them.  Positions are running sums of the
+    weights; a row whose copies fall into two groups of the VEI counts in both.
+    """
+    rows, names = usable(df, groups, av, sp, [weight, *keys])
+    rows = staged(rows.withColumnRenamed("key_0", "w").where("w > 0"))
+    size, w, n = how_large(rows, names), F.col("w"), F.sum("w")
+    t, p, r = F.col("sp"), F.col("av"), F.col("r")
+    mean = lambda x: F.sum(w * x) / F.sum("w")
+    log_error = F.log(p) - F.log(t)
+    sums = {
+        "n": n.cast("long"),
+        "rmse": F.sqrt(mean(F.pow(p - t, 2))),
+        "mae": mean(F.abs(p - t)),
+        "mape": mean(F.abs(p - t) / F.greatest(F.abs(t), F.lit(EPS))),
+        "bias": mean(p - t),
+        "mean_ratio": mean(r),
+        "wmean_ratio": ratio(F.sum(w * p), F.sum(w * t)),
+        "mae_log": mean(F.abs(log_error)),
+        "rmse_log": F.sqrt(mean(log_error * log_error)),
+        "bias_log": mean(log_error),
+        "mean_price": mean(t),
+        "small_share": mean((F.abs(t) <= 10 * EPS).cast("int")),
+        "_mean_log": mean(F.log(t)),
+        "_flat_t": F.min(t) == F.max(t),
+        "_flat_r": F.min(r) == F.max(r),
+    }
+    first = staged(quantiles(rows, names, quantile_columns(), sums, size if size > 1 else None, w))
+    told = first.select(*names, F.col("median_ratio").alias("m"), "n", F.col("mean_price").alias("_t"), F.col("mean_ratio").alias("_r"), "_mean_log", "bias_log")
+    rows = same(rows, told, names, "inner")
+    dt, dr, dl, de = t - F.col("_t"), r - F.col("_r"), F.log(t) - F.col("_mean_log"), log_error - F.col("bias_log")
+    x, y = F.log2(0.5 * (p / F.col("m") + t)), (r - F.col("m")) / F.col("m")
+    moments = {"tt": dt * dt, "rr": dr * dr, "ll": dl * dl, "rt": dr * dt, "rl": dr * dl, "ee": de * de, "e2": F.pow(p - t, 2), "l2": F.pow(log_error, 2), "x": x, "y": y, "xx": x * x, "xy": x * y, "off": F.abs(r - F.col("m"))}
+    about = rows.groupBy(*names).agg(*(F.sum(w * v).alias(f"_{k}") for k, v in moments.items()), (F.min(x) == F.max(x)).alias("_flat_x"))
+    out = same(first, about, names)
+    c = lambda k: F.col(f"_{k}")
+    varied = lambda flat, v: F.when(~c(flat), v)
+    sample = lambda v: F.when(F.col("n") > 1, F.sqrt(v / (F.col("n") - 1)))
+    corr = lambda a, b, ab: varied("flat_t", varied("flat_r", c(ab) / F.sqrt(c(a) * c(b))))
+    out = out.withColumns({
+        "r2": varied("flat_t", 1 - c("e2") / c("tt")),
+        "r2_log": varied("flat_t", 1 - c("l2") / c("ll")),
+        "corr_r_price": corr("rr", "tt", "rt"),
+        "corr_r_logprice": corr("rr", "ll", "rl"),
+        "slope_r_logy": varied("flat_t", c("rl") / c("ll")),
+        "slope_r_y": varied("flat_t", c("rt") / c("tt")),
+        "var_ratio": c("rr") / F.col("n"),
+        "var_y": c("tt") / F.col("n"),
+        "cov_iaao": ratio(sample(c("rr")), "mean_ratio"),
+        "sd_ratio": F.coalesce(sample(c("rr")), F.lit(0.0)),
+        "sd_log": sample(c("ee")),
+        "prd": ratio("mean_ratio", "wmean_ratio"),
+        "cod": ratio(100 * c("off") / F.col("n"), "median_ratio"),
+        "prb": F.when(F.col("n") >= 2, varied("flat_x", (c("xy") - c("x") * c("y") / F.col("n")) / (c("xx") - c("x") * c("x") / F.col("n")))),
+        "iqr_ratio": F.col("_q3") - F.col("_q1"),
+    }).withColumn("fisher_z_r_y", fisher_z(F.col("corr_r_price")))
+    out = out.drop(*(k for k in out.columns if k.startswith("_") and k not in names))
+    # Groups of the VEI: the parts of a row's copies that fall into each.
+    ties = [k for k in rows.columns if k.startswith("key_")]
+    ranked = with_running_sum(rows.withColumn("proxy", 0.5 * t + 0.5 * p / F.col("m")), ["proxy", *ties, "sp", "av"], names, "w", in_memory=size)
+    ranked = ranked.withColumn("k", vei_groups(F.col("n"))).where("k IS NOT NULL")
+    group = lambda pos: equal_count_group(pos, F.col("n"), F.col("k"))
+    start = lambda s: s * F.floor(F.col("n") / F.col("k")) + F.least(s, F.col("n") % F.col("k"))
+    ranked = ranked.withColumn("stratum", F.explode(F.sequence(group(F.col("before") + 1), group(F.col("before") + w))))
+    ranked = ranked.withColumn("copies", F.least(F.col("before") + w, start(F.col("stratum") + 1)) - F.greatest(F.col("before"), start(F.col("stratum"))))
+    profile = quantiles(ranked if size > 1 else staged(ranked), [*names, "stratum"], {"median_ratio": (r, 0.5)}, {"count": F.sum("copies"), "m": F.first("m"), "k": F.first("k")}, size if size > 1 else None, F.col("copies"))
+    placed = with_running_sum(rows, ["sp", F.desc("av")], names, "w", in_memory=size)
+    places = w * F.col("before") + w * (w + 1) / 2
+    index = lambda v: (2 * ratio(F.sum(F.col(v) * places), F.sum(w * F.col(v))) - (n + 1)) / n
+    ginis = _concentration(placed.groupBy(*names).agg(index("av").alias("gini_av"), index("sp").alias("gini_sp")))
+    for part in (_ends(profile, names, "ends").select(*names, "vei"), ginis):
+        out = same(out, part, names)
+    return out if groups else out.drop(ALL)
 
 
 def ratio_mode(df: DataFrame, groups: Sequence[str], mode: str = "div", av: str = "av", sp: str = "sp") -> DataFrame:

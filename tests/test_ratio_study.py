@@ -87,3 +87,42 @@ def test_quantile_strata_match_right_closed_bins(spark):
     assert [r[0] for r in sizes] == [25, 25, 25, 25]
     same = ratio_study.quantile_report(frame(spark, np.ones(10), np.ones(10)), 4).collect()
     assert [r["count"] for r in same] == [10]
+
+
+def expanded(spark, seed):
+    """Rows with weights, in groups of several sizes, one of them NULL, and the same rows copied."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g, n in (("a", 900), ("b", 30), ("c", 12), (None, 60), ("flat", 40), ("one", 1)):
+        for k in range(n):
+            sp = 100.0 if g == "flat" else float(np.exp(rng.normal(12, 0.6)))
+            rows.append((g, len(rows), sp, sp if g == "flat" else sp * float(rng.lognormal(0, 0.2)), int(rng.integers(0, 5))))
+    rows.append(("bad", len(rows), -1.0, 5.0, 2))
+    table = spark.createDataFrame(rows, "g string, k long, sp double, av double, mult long")
+    copies = table.withColumn("copy", F.explode(F.expr("CASE WHEN mult > 0 THEN sequence(1, mult) ELSE array() END")))
+    return table, copies
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+def test_weighted_bundle_equals_the_bundle_of_copies(spark, monkeypatch, limit):
+    table, copies = expanded(spark, 1)
+    if limit:
+        monkeypatch.setattr("ratiospark.operators.quantiles.IN_MEMORY", limit)
+        monkeypatch.setattr("ratiospark.operators.positions.IN_MEMORY", limit)
+    got = {r.g: r.asDict() for r in ratio_study.weighted_bundle(table, ["g"], "mult", keys=["k"]).collect()}
+    want = {r.g: r.asDict() for r in ratio_study.bundle(copies, ["g"], keys=["k", "copy"]).collect()}
+    assert set(got) == set(want) and None in got
+    for g, row in want.items():
+        assert set(got[g]) == set(row)
+        for name, value in row.items():
+            assert got[g][name] == (value if value is None or isinstance(value, str) else pytest.approx(value, rel=1e-8, abs=1e-9)), (g, name)
+    assert want[None]["cod"] > 0 and want[None]["vei"] is not None and want[None]["mki"] > 0
+
+
+def test_bundle_equals_its_parts(spark):
+    _, copies = expanded(spark, 2)
+    keys = ["k", "copy"]
+    whole = {r.g: r for r in ratio_study.bundle(copies, ["g"], keys=keys).collect()}
+    for part, names in ((ratio_study.cod(copies, ["g"]), ["cod"]), (ratio_study.prb(copies, ["g"]), ["prb"]), (ratio_study.vei(copies, ["g"], keys=keys), ["vei"]), (ratio_study.gini(copies, ["g"]), ["ki", "mki"]), (ratio_study.accuracy(copies, ["g"]), ["r2", "iqr_ratio", "y_q05"])):
+        for r in part.collect():
+            assert [r[c] for c in names] == [pytest.approx(whole[r.g][c]) if whole[r.g][c] is not None else None for c in names], (r.g, names)
