@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ratiospark.operators import ratio_study
 from ratiospark.sources.staging import staged
 
 
@@ -102,6 +103,17 @@ def worst_period(rows: DataFrame, date: str, unit: str, score: Column, least: in
     return per.orderBy("score", "period").limit(1)
 
 
+def blend_study(rows: DataFrame, truth: str, blend: str, groups: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """K6: all measures of blended predictions; ``truth`` and ``blend`` are logs of prices."""
+    return ratio_study.bundle(rows.withColumns({"sp": F.exp(truth), "av": F.exp(blend)}), groups, keys=keys)
+
+
+def worst_study(rows: DataFrame, truth: str, blend: str, date: str, unit: str, keys: Sequence[str], accuracy: str = "r2", least: int = 2) -> DataFrame:
+    """All measures of the calendar period with the lowest accuracy, among those of at least ``least`` rows where it is defined."""
+    study = blend_study(rows.withColumn("period", F.date_trunc(unit, date)), truth, blend, ["period"], keys)
+    return study.where((F.col("n") >= least) & F.col(accuracy).isNotNull() & ~F.isnan(accuracy)).orderBy(accuracy, "period").limit(1)
+
+
 def tradeoff(points: DataFrame, key: str, gain: str, loss: str, baselines: Sequence[str]) -> DataFrame:
     """V2: plot data with the front and baselines marked."""
     front = pareto_front(points, gain, loss).select(key, F.lit(True).alias("is_pareto"))

@@ -418,6 +418,51 @@ def boot_mean_std(spark, sf):
     return rounded(bootstrap.mean_and_spread(bootstrap.weighted_study(rows), ("median_ratio", "cod", "prd")))
 
 
+_WHOLE = ("n", "r2", "r2_log", "rmse", "mae", "mape", "mdape_pred", "mdape_actual", "bias", "corr_r_price", "corr_r_logprice", "fisher_z_r_y", "slope_r_logy", "var_ratio", "mean_ratio", "median_ratio", "wmean_ratio", "cov_iaao", "prd", "sd_ratio", "iqr_ratio", "mae_log", "rmse_log", "bias_log", "sd_log", "mean_price", "y_q05", "y_q50", "y_q95", "r_q05", "r_q50", "r_q95", "cod", "prb", "vei", "gini_av", "gini_sp", "ki", "mki")
+
+
+def whole_study_sql(group: str, rows: str, ties: str) -> str:
+    """Common table expressions that end in ``whole``: all measures of the rows (group, sp, av, ties) in ``rows``, one by one."""
+    return f"""st AS (SELECT *, av / sp AS r FROM {rows} WHERE av > 0 AND sp > 0),
+    one AS (SELECT {group} AS g, count(*) AS n, quantile_cont(r, 0.5) AS m FROM st GROUP BY {group}),
+    j AS (SELECT st.*, n, m, 0.5 * sp + 0.5 * av / m AS proxy FROM st JOIN one ON st.{group} IS NOT DISTINCT FROM one.g),
+    acc AS (SELECT {group} AS g, count(*) AS n, 1 - sum(pow(sp - av, 2)) / nullif(var_pop(sp) * count(*), 0) AS r2, 1 - sum(pow(ln(sp) - ln(av), 2)) / nullif(var_pop(ln(sp)) * count(*), 0) AS r2_log,
+           sqrt(avg(pow(sp - av, 2))) AS rmse, avg(abs(sp - av)) AS mae, avg(abs(sp - av) / sp) AS mape, 100 * quantile_cont(abs(sp / av - 1), 0.5) AS mdape_pred, 100 * quantile_cont(abs(av - sp) / sp, 0.5) AS mdape_actual,
+           avg(av - sp) AS bias, corr(r, sp) AS corr_r_price, corr(r, ln(sp)) AS corr_r_logprice, atanh(greatest(least(corr(r, sp), 0.999999), -0.999999)) AS fisher_z_r_y, regr_slope(r, ln(sp)) AS slope_r_logy,
+           var_pop(r) AS var_ratio, avg(r) AS mean_ratio, any_value(m) AS median_ratio, sum(av) / sum(sp) AS wmean_ratio, stddev_samp(r) / avg(r) AS cov_iaao, avg(r) / (sum(av) / sum(sp)) AS prd,
+           coalesce(stddev_samp(r), 0) AS sd_ratio, quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS iqr_ratio, avg(abs(ln(av / sp))) AS mae_log, sqrt(avg(pow(ln(av / sp), 2))) AS rmse_log, avg(ln(av / sp)) AS bias_log,
+           stddev_samp(ln(av) - ln(sp)) AS sd_log, avg(sp) AS mean_price, {", ".join(f"quantile_cont({c}, {q / 100}) AS {a}_q{q:02d}" for c, a in (("sp", "y"), ("r", "r")) for q in (5, 50, 95))},
+           100 * avg(abs(r - m)) / any_value(m) AS cod, regr_slope((r - m) / m, log2(0.5 * (av / m + sp))) AS prb FROM j GROUP BY {group}),
+    cut AS (SELECT *, CASE WHEN n < 20 THEN NULL WHEN n <= 50 THEN 2 WHEN n <= 500 THEN 4 ELSE 10 END AS k, row_number() OVER (PARTITION BY {group} ORDER BY proxy, {ties}) AS pos FROM j),
+    strata AS (SELECT *, CASE WHEN pos <= (n // k + 1) * (n % k) THEN (pos - 1) // (n // k + 1) ELSE n % k + (pos - 1 - (n // k + 1) * (n % k)) // (n // k) END AS stratum FROM cut WHERE k IS NOT NULL),
+    prof AS (SELECT {group} AS g, stratum, count(*) AS c, quantile_cont(r, 0.5) AS mr, any_value(m) AS m, any_value(k) AS k FROM strata GROUP BY {group}, stratum),
+    v AS (SELECT g, CASE WHEN min(CASE WHEN stratum IN (0, k - 1) THEN c END) >= 10 THEN 100 * (max(CASE WHEN stratum = k - 1 THEN mr END) - max(CASE WHEN stratum = 0 THEN mr END)) / any_value(m) END AS vei FROM prof GROUP BY g),
+    gp AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY sp, av DESC) AS pos FROM st),
+    gi AS (SELECT {group} AS g, (2 * sum(av * pos) / sum(av) - (count(*) + 1)) / count(*) AS gini_av, (2 * sum(sp * pos) / sum(sp) - (count(*) + 1)) / count(*) AS gini_sp FROM gp GROUP BY {group}),
+    whole AS (SELECT acc.g AS {group}, acc.* EXCLUDE (g), vei, gini_av, gini_sp, gini_av - gini_sp AS ki, gini_av / gini_sp AS mki FROM acc LEFT JOIN v ON acc.g IS NOT DISTINCT FROM v.g LEFT JOIN gi ON acc.g IS NOT DISTINCT FROM gi.g)"""
+
+
+def whole_columns(names: Sequence[str] = _WHOLE) -> str:
+    return ", ".join(c if c == "n" else f"round({c}, 4) AS {c}" for c in names)
+
+
+@query(f"{_DRAWS}, e AS (SELECT bootstrap_id, o_orderkey, c, o_totalprice AS sp, 0.8 * o_totalprice + 20000 + pos AS av FROM mult, range(0, 400) t(c) WHERE c < mult), {whole_study_sql('bootstrap_id', 'e', 'o_orderkey, c')} SELECT bootstrap_id, {whole_columns()} FROM whole")
+def boot_whole_study(spark, sf):
+    rows = _resampled(spark, sf).withColumnRenamed("o_totalprice", "sp").withColumn("av", 0.8 * F.col("sp") + 20000 + F.col("pos_in_block"))
+    return rounded(ratio_study.weighted_bundle(rows, ["bootstrap_id"], "mult", keys=["o_orderkey"]).select("bootstrap_id", *_WHOLE), 4)
+
+
+_SOME_NULL = "nullif(brand, (SELECT min(brand) FROM sales))"
+
+
+@query(f"WITH {SALES}, x AS (SELECT {_SOME_NULL} AS grp, * FROM sales), {whole_study_sql('grp', 'x', 'k1, k2, k3, k4')} SELECT grp, {whole_columns()} FROM whole")
+def ratio_null_group(spark, sf):
+    rows = sales(spark, sf)
+    least = rows.agg(F.min("brand").alias("_least"))
+    rows = rows.crossJoin(F.broadcast(least)).withColumn("grp", F.when(F.col("brand") != F.col("_least"), F.col("brand")))
+    return rounded(ratio_study.bundle(rows, ["grp"], keys=KEYS).select("grp", *_WHOLE), 4)
+
+
 # Summaries.
 
 
@@ -497,6 +542,25 @@ def stack_worst_quarter(spark, sf):
     return rounded(summary.worst_period(_blend(spark, sf), "d", "quarter", F.avg("blend")))
 
 
+_STACKED = f"""{_BLEND}, truth AS (SELECT l_orderkey AS row_id, avg(ln(l_extendedprice)) AS y FROM lineitem GROUP BY ALL),
+    x AS (SELECT row_id, 'all' AS part, d, exp(y) AS sp, exp(blend) AS av FROM b JOIN truth USING (row_id)),"""
+
+
+def _stacked(spark, sf):
+    truth = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.avg(F.log("l_extendedprice")).alias("y"))
+    return _blend(spark, sf).join(truth, "row_id").withColumn("part", F.lit("all"))
+
+
+@query(f"{_STACKED} {whole_study_sql('part', 'x', 'row_id')} SELECT part, {whole_columns()} FROM whole")
+def stack_test_study(spark, sf):
+    return rounded(summary.blend_study(_stacked(spark, sf), "y", "blend", ["part"], ["row_id"]).select("part", *_WHOLE), 4)
+
+
+@query(f"{_STACKED} z AS (SELECT row_id, date_trunc('quarter', d) AS period, sp, av FROM x), {whole_study_sql('period', 'z', 'row_id')} SELECT period, {whole_columns()} FROM whole WHERE n >= 2 AND r2 IS NOT NULL ORDER BY whole.r2, period LIMIT 1")
+def stack_worst_study(spark, sf):
+    return rounded(summary.worst_study(_stacked(spark, sf), "y", "blend", "d", "quarter", ["row_id"]).select("period", *_WHOLE), 4)
+
+
 # Joins, sets, ranks, samples.
 
 
