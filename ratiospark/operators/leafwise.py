@@ -32,6 +32,8 @@ from ratiospark.sources.staging import staged, unstaged
 BINS = 256
 #: Bytes of partial sums up to which tasks send theirs to the driver at once, without a merging stage.
 DIRECT = 32 << 20
+#: Rows packed together.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,21 @@ def best_split(sums: np.ndarray, categorical: Sequence[bool], plan: TreePlan, al
     return best
 
 
-def _histograms(rows: DataFrame, features: int, tree: Grown, wanted: Sequence[int], tasks: int) -> dict[int, np.ndarray]:
+def _packed(rows: DataFrame, features: int) -> DataFrame:
+    """Rows with ``bins``, ``g`` and ``h``, a batch of them in one row: passes read it many times, and as whole arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = _matrix(batch.column(0), features)
+            steps = np.stack([batch.column(k).to_numpy() for k in (1, 2)])
+            for at in range(0, len(bins), CHUNK):
+                some = slice(at, at + CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array([bins[some].tobytes()], pa.binary()), pa.array([steps[:, some].tobytes()], pa.binary())], names=["bins", "steps"])
+
+    return rows.select("bins", "g", "h").mapInArrow(run, "bins binary, steps binary")
+
+
+def _histograms(packed: DataFrame, features: int, tree: Grown, wanted: Sequence[int], tasks: int) -> dict[int, np.ndarray]:
     """Sums by (feature, bin, [gradient, hessian, rows]) of the rows in each wanted node."""
     size = features * BINS * 3
 
@@ -141,15 +157,17 @@ def _histograms(rows: DataFrame, features: int, tree: Grown, wanted: Sequence[in
         slot[list(wanted)] = np.arange(len(wanted))
         out = np.zeros((3, len(wanted) * features * BINS))
         for batch in batches:
-            bins = _matrix(batch.column(0), features)
-            at = slot[tree.nodes_of(bins)] if len(tree.feature) > 1 else np.zeros(len(bins), dtype=np.int64)
-            here = at >= 0
-            if not here.any():
-                continue
-            cell = ((at[here, None] * features + np.arange(features)) * BINS + bins[here]).ravel()
-            for k, weight in enumerate((batch.column(1).to_numpy()[here], batch.column(2).to_numpy()[here])):
-                out[k] += np.bincount(cell, np.repeat(weight, features), out.shape[1])
-            out[2] += np.bincount(cell, minlength=out.shape[1])
+            for packed, steps in zip(batch.column(0), batch.column(1), strict=True):
+                bins = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(-1, features)
+                g, h = np.frombuffer(steps.as_buffer()).reshape(2, -1)
+                at = slot[tree.nodes_of(bins)] if len(tree.feature) > 1 else np.zeros(len(bins), dtype=np.int64)
+                here = np.flatnonzero(at >= 0)
+                if not len(here):
+                    continue
+                cell = ((at[here, None] * features + np.arange(features)) * BINS + bins[here]).ravel()
+                for k, weight in enumerate((g, h)):
+                    out[k] += np.bincount(cell, np.repeat(weight[here], features), out.shape[1])
+                out[2] += np.bincount(cell, minlength=out.shape[1])
         parts = np.moveaxis(out.reshape(3, len(wanted), -1), 0, 2)
         yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "sums"])
 
@@ -162,7 +180,7 @@ def _histograms(rows: DataFrame, features: int, tree: Grown, wanted: Sequence[in
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["node", "sums"])
 
     schema = "node long, sums binary"
-    parts = rows.select("bins", "g", "h").mapInArrow(count, schema)
+    parts = packed.mapInArrow(count, schema)
     if tasks * len(wanted) * size * 8 > DIRECT:
         parts = parts.repartition("node").mapInArrow(merge, schema)
     found = {node: np.zeros(size) for node in wanted}
@@ -175,25 +193,20 @@ def grow(rows: DataFrame, categorical: Sequence[bool], plan: TreePlan, tasks: in
     """A tree for rows with ``bins``, ``g`` and ``h``, best leaf first."""
     features = len(categorical)
     tree = Grown([-1], [-1], [-1], [()], [0.0])
+    rows = staged(_packed(rows, features))
     sums = _histograms(rows, features, tree, [0], tasks)
     depth, splits, totals = {0: 0}, {0: best_split(sums[0], categorical, plan, allowed)}, {0: tuple(sums[0][0].sum(axis=0).tolist())}
     children: dict[int, tuple[int, int]] = {}  # of all nodes whose children have been counted
+    reach = {0: splits[0].gain if splits[0] else 0.0}  # the least gain on the way to a node, its own included
 
     def chosen() -> tuple[list[int], list[int]]:
-        """The queue as far as it is known: nodes split in turn, and the leaves it waits at, those of greatest gain first."""
-        leaves, done = [0], []
-        while len(leaves) < plan.leaves:
-            open_ = [n for n in leaves if splits[n] and depth[n] < plan.depth]
-            if not open_:
-                return done, []
-            node = max(open_, key=lambda n: (splits[n].gain, -n))
-            if node not in children:
-                left = plan.leaves - len(leaves)
-                return done, sorted((n for n in open_ if n not in children), key=lambda n: -splits[n].gain)[:left]
-            done.append(node)
-            leaves.remove(node)
-            leaves += children[node]
-        return done, []
+        """The nodes that the queue splits as far as their gains are known, and those it could still split whose children are not counted.
+
+        A node's turn comes with the least gain on its way from the root: all nodes
+        with more come first.  So only the first ``leaves - 1`` in that order count.
+        """
+        turn = sorted((n for n in reach if splits[n] and depth[n] < plan.depth), key=lambda n: (-reach[n], n))[: plan.leaves - 1]
+        return turn, [n for n in turn if n not in children]
 
     while True:
         done, waiting = chosen()
@@ -221,6 +234,8 @@ def grow(rows: DataFrame, categorical: Sequence[bool], plan: TreePlan, tasks: in
             del sums[node]
             for child in (low, high):
                 splits[child] = best_split(sums[child], categorical, plan, allowed) if child in sums and depth[child] < plan.depth else None
+                reach[child] = min(reach[node], splits[child].gain) if splits[child] else 0.0
+    unstaged(rows)
     # Nodes that were counted ahead but not reached are leaves again.
     reached = set(done)
     for node in children:

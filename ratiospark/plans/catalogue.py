@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ratiospark.functions.ids import stable_id_column
 from ratiospark.functions.numeric import r_squared
-from ratiospark.operators import bootstrap, boosting, dependence, features, flags, folds, linear, ratio_study, stacking, summary
+from ratiospark.operators import bootstrap, boosting, dependence, features, flags, folds, leafwise, linear, ratio_study, stacking, summary
 from ratiospark.operators.positions import average_rank, exact_sample, first_per_key, with_position
 from ratiospark.plans.bindings import KEYS, RUNS, SALES, STUDY, global_mean, ordered, runs, sales, table
 from ratiospark.sources.tables import union_ragged
@@ -712,8 +712,8 @@ def feat_cluster_labels(spark, sf):
 # Models.
 
 
-def _train(spark, sf):
-    return sales(spark, sf).select(F.log("sp").alias("y"), F.log("quantity").alias("x1"), (F.col("size") / 50).alias("x2"), "flag", *KEYS)
+def _train(spark, sf, *more):
+    return sales(spark, sf).select(F.log("sp").alias("y"), F.log("quantity").alias("x1"), (F.col("size") / 50).alias("x2"), "flag", *KEYS, *more)
 
 
 _TRAIN = f"WITH {SALES}, t AS (SELECT ln(sp) AS y, ln(quantity) AS x1, size / 50 AS x2, flag FROM sales)"
@@ -859,6 +859,14 @@ def gbm_cov(spark, sf):
     return _boosted(spark, sf, boosting.covariance_penalty(1.0))
 
 
+@query()
+def gbm_leafwise(spark, sf):
+    """Numbers and categories, 31 leaves: size, share of variance explained and splits by feature of an ensemble of 20 trees."""
+    rows = _train(spark, sf, "brand", "kind", "discount")
+    model = leafwise.boost_leafwise(rows, ["x1", "x2", "discount", "brand", "kind"], "y", boosting.squared_error(), leafwise.TreePlan(rounds=20), categorical=["brand", "kind"])
+    return rounded(model.transform(rows).groupBy("flag").agg(F.count("*").alias("n"), r_squared("y", "prediction").alias("r2")), 4)
+
+
 @query()
 def lp_stack(spark, sf):
     return rounded(stacking.optimise(runs(spark, sf), "fold_id", "config_id", "r2", {"prd": (1.0, 1.1)}), 6)
