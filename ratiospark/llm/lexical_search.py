@@ -194,7 +194,7 @@ def _index(forward: DataFrame, documents: int, length: int, shards: int, plan: S
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1], pa.int32()), *none, pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))], names=["shard", "term", "docs", "impacts", "ends", "tops", "ids"])
 
     dealt = forward.where(F.size("terms") > 0).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "row")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "row")
     return dealt.select("shard", "doc_id", "n", "terms", "tfs").mapInArrow(run, INDEX)
 
 
@@ -288,7 +288,7 @@ def _searched(index: DataFrame, shards: int, queries: list[tuple], plan: SearchP
             cols = list(zip(*out, strict=True)) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item_id", "doc_id", "score"])
 
-    return index.repartition(shards, "shard").sortWithinPartitions("shard", "term").mapInArrow(run, "item_id long, doc_id long, score long")
+    return index.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "term").mapInArrow(run, "item_id long, doc_id long, score long")
 
 
 def rank(docs: DataFrame, items: DataFrame, plan: SearchPlan = SearchPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

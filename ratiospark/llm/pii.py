@@ -51,7 +51,12 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 @dataclass(frozen=True)
 class PiiPlan:
-    """``everywhere``: tag a term also in documents that do not mention the entity it discloses; ``secrets``: protect access tokens."""
+    """``everywhere``: tag a term also in documents that do not mention the entity it discloses; ``secrets``: protect access tokens.
+
+    ``families``: support counts votes in place of different texts.  A document
+    whose shingle sketch others share has that part of a vote, so a group of near
+    copies has about one vote together, and what copies repeat is no evidence.
+    """
 
     support: int = 3
     kind_support: int = 10
@@ -59,6 +64,11 @@ class PiiPlan:
     removed_bits: float = 0.15
     everywhere: bool = False
     secrets: bool = False
+    families: bool = False
+
+
+#: Bands of a document's sketch, and how many documents may share a band before its count is broadcast.
+BANDS, HOT_ROWS, HOT_BANDS = 4, 4096, 250_000
 
 
 def _let(value: Column, body) -> Column:
@@ -161,15 +171,45 @@ def _kinds() -> Column:
     return F.array_distinct(F.transform("spans", lambda s: F.concat(F.lit("kind:"), s["kind"])))
 
 
+def _bands(text: Column) -> Column:
+    """A sketch of the shingles of five words: for each band a hash of two minima, which near copies share and others don't; all shingles, where they are few."""
+
+    def of(words: Column) -> Column:
+        shingles = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))).otherwise(F.array(F.xxhash64(words)))
+        least = lambda h, k: F.array_min(F.filter(h, lambda x: F.pmod(x, F.lit(2 * BANDS)) == k))
+        band = lambda h, k: F.when(least(h, 2 * k).isNotNull() & least(h, 2 * k + 1).isNotNull(), F.xxhash64(F.lit(k), least(h, 2 * k), least(h, 2 * k + 1))).otherwise(F.xxhash64(F.lit(k), F.array_sort(h)))
+        return _let(shingles, lambda h: F.array(*(band(h, k) for k in range(BANDS))))
+
+    return _let(F.split(F.lower(text), r"\s+"), of)
+
+
+def votes(work: Workspace, rows: DataFrame) -> DataFrame:
+    """(key, vote) of rows (key, text): 1 over the number of rows with the commonest band of the row.
+
+    Counts of bands that very many rows share are broadcast, so that no task gathers those rows.
+    """
+    bands = work.save(rows.select("key", F.explode(_bands(F.col("text"))).alias("band")))
+    common = work.save(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = max(HOT_ROWS, bands.saved_rows // HOT_BANDS)
+    told = bands.join(F.broadcast(common.where(F.col("n") > hot).withColumnRenamed("n", "hot")), "band", "left")
+    rare = told.where("hot IS NULL").join(common.where(F.col("n") <= hot), "band", "left").select("key", F.coalesce("n", F.lit(1)).alias("n"))
+    every = rare.unionByName(told.where("hot IS NOT NULL").select("key", F.col("hot").alias("n")))
+    return work.save(every.groupBy("key").agg((1 / F.max("n")).alias("vote")))
+
+
 def disclosing_pairs(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int) -> tuple[DataFrame, DataFrame]:
     """(key, entity) of the mentions, and (entity, term, bits) of the terms that disclose one.
 
     ``base`` has all documents, ``rows`` of them, with key, text and spans.
     """
     spanned = base.where(F.size("spans") > 0)
-    mentions = work.save(spanned.select("key", F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity")))
+    # What supports a pair: different texts, or votes.
+    counted = (lambda df: df.join(voted, "key")) if plan.families else (lambda df: df)
+    voted = votes(work, spanned) if plan.families else None
+    support = (F.sum("vote") + 1e-9) if plan.families else F.count_distinct("print")
+    mentions = work.save(counted(spanned.select("key", F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity"))))
     # Fewer texts can't support a pair; an entity in more documents leaves no more than the bound by itself.
-    known = mentions.groupBy("entity").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("mentions")).where(F.col("texts") >= plan.support)
+    known = mentions.groupBy("entity").agg(support.alias("texts"), F.count("*").alias("mentions")).where(F.col("texts") >= plan.support)
     hidden = F.log2(F.lit(float(rows)) / F.col("mentions")) > plan.residual_bits
     shared = work.save(mentions.join(known.where(hidden).select("entity", "mentions"), "entity"))
     # All terms are counted, and written, before any is looked up: one row a term meets the join.
@@ -178,7 +218,7 @@ def disclosing_pairs(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int)
     held = spanned.join(shared.groupBy("key").agg(F.max("mentions").alias("most")), "key").select("key", "most", F.explode(words).alias("term"))
     enough = lambda most: F.col(most) >= F.col("docs") * 2.0 ** -plan.residual_bits * (1 - 1e-9)
     held = work.save(held.join(often, "term").where(enough("most")).select("key", "term", "docs"))
-    pairs = shared.join(held, "key").where(enough("mentions")).groupBy("entity", "term", "docs").agg(F.count_distinct("print").alias("texts"), F.count("*").alias("both")).where(F.col("texts") >= plan.support)
+    pairs = shared.join(held, "key").where(enough("mentions")).groupBy("entity", "term", "docs").agg(support.alias("texts"), F.count("*").alias("both")).where(F.col("texts") >= plan.support)
     # Kinds are few and in many documents: their pairs are counted before any row is kept.
     kinds = work.save(spanned.select("key", F.explode(_kinds()).alias("entity")))
     common = work.save(kinds.groupBy("entity").agg(F.count("*").alias("mentions")).where(hidden & (F.col("mentions") >= plan.kind_support)).select("entity"))
@@ -186,7 +226,7 @@ def disclosing_pairs(work: Workspace, base: DataFrame, plan: PiiPlan, rows: int)
     met = met.select("key", "print", "entity", F.explode("words").alias("term"))
     likely = work.save(met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= plan.kind_support).join(often, "term").where(enough("both")))
     if likely.saved_rows:
-        texts = met.join(likely.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count_distinct("print").alias("texts"))
+        texts = counted(met.join(likely.select("entity", "term"), ["entity", "term"], "left_semi")).groupBy("entity", "term").agg(support.alias("texts"))
         pairs = pairs.unionByName(likely.join(texts, ["entity", "term"]).where(F.col("texts") >= plan.kind_support).select(*pairs.columns))
     left = F.greatest(F.lit(0.0), F.log2(F.col("docs") / F.col("both")))
     telling = work.save(pairs.withColumn("bits", left).where(F.col("bits") <= plan.residual_bits).select("entity", "term", "bits"))

@@ -35,7 +35,7 @@ def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_rules.RiskPlan(wider=quality_rules.WIDER, slack=quality_rules.SLACK))
 
 
 def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.span_report(pii.find_spans(table(spark, sf_dir, "documents"), pii.PiiPlan(everywhere=True, secrets=True)))
+    return pii.span_report(pii.find_spans(table(spark, sf_dir, "documents"), pii.PiiPlan(everywhere=True, secrets=True, families=True)))
 
 
 def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def oracle_sql() -> dict[str, str]:
     more = {"op11_variable_block_wand": lexical_search.RANK_SQL, "op12_twin_filter_lines": line_dedup.LINES_SQL, "op13_level_store_manifest": merkle.audit_sql()}
-    return more | {"op2_revisit_resolution": warc_revisits.REVISITS_SQL, "op6_risk_controlled_rules": quality_rules.rules_sql(), "op10_lookup_sharding": _op10_sql()}
+    return more | {"op2_revisit_resolution": warc_revisits.REVISITS_SQL, "op6_risk_controlled_rules": quality_rules.rules_sql(quality_rules.RiskPlan(wider=quality_rules.WIDER, slack=quality_rules.SLACK)), "op10_lookup_sharding": _op10_sql()}

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 
-from ratiospark.llm import lexical_search, line_dedup, merkle
+from ratiospark.llm import lexical_search, line_dedup, merkle, pii, quality_rules
 from ratiospark.llm.workspace import Workspace
 
 # Lines.
@@ -231,3 +231,47 @@ def test_manifest_of_odd_rows(spark, odd_docs):
     row = merkle.audit(lone).first()
     assert row.leaf == row.subroot == row.root and row.proof_sha256 == sha("")
     assert merkle.audit(docs.limit(0)).count() == 0
+
+
+# Rules with few labels, and what copies repeat.
+
+
+def test_rules_are_certified_with_few_labels(spark):
+    rng = random.Random(9)
+    docs, labels = [], []
+    for k in range(1300):
+        lang, junk = ("fr" if k % 4 == 0 else "en"), k % 5 == 0
+        docs.append((k, " ".join(f"w{rng.randrange(10**6)}" + "#$%" * junk for _ in range(40)), lang))
+        labels.append((k, int(not junk), 0))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = quality_rules.judge(docs, labels, quality_rules.RiskPlan())
+    assert plain.where("NOT kept").count() == 0
+    wider = quality_rules.judge(docs, labels, quality_rules.RiskPlan(wider=quality_rules.WIDER, slack=quality_rules.SLACK))
+    assert {r.doc_id for r in wider.where("NOT kept").collect()} == {k for k in range(0, 1300, 5)}
+
+
+def test_near_copies_are_one_vote(spark):
+    rng = random.Random(10)
+    plain = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) + rng.choice("abcdefgh") for _ in range(40)) for _ in range(150)]
+    report = "The zorblax report number {} for our unusual quimble words reached the office at mail box desk.one@site.org and the clerks of the lower house read all of it twice before they left for the day"
+    true = ["Ask vexmorr about it {} " + plain[k] + " or write to pay.desk@bank.org then {}".format(k) for k in range(5)]
+    texts = plain + [report.format(k) for k in (17, 18, 19)] + [t.format(k) for k, t in enumerate(true)] + ["an unrelated zorblax note", "an unrelated vexmorr note"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    terms = {}
+    for families in (False, True):
+        found = pii.find_spans(docs, pii.PiiPlan(everywhere=True, families=families))
+        rows = found.select(merkle.F.explode("spans").alias("s")).where("s.kind IN ('term', 'removed_term')").select("s.value").distinct().collect()
+        terms[families] = {r.value.lower() for r in rows}
+    assert {"zorblax", "quimble", "vexmorr"} <= terms[False]
+    assert "vexmorr" in terms[True] and not terms[True] & {"zorblax", "quimble", "clerks", "report", "unusual"}
+
+
+def test_votes_of_families(spark):
+    rng = random.Random(11)
+    base = [f"word{rng.randrange(1000)}" for _ in range(120)]
+    copies = [" ".join(w if j != 3 * k else f"changed{k}" for j, w in enumerate(base)) for k in range(30)]
+    apart = [" ".join(f"other{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)] + ["", "two words"]
+    rows = spark.createDataFrame(list(enumerate(copies + apart)), "key long, text string")
+    vote = {r.key: r.vote for r in pii.votes(Workspace(spark), rows).collect()}
+    assert len(vote) == 52 and all(vote[k] == 1 for k in range(30, 52))
+    assert sum(vote[k] for k in range(30)) < 2.5
