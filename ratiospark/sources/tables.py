@@ -121,6 +121,24 @@ def union_ragged(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def replace_run(df: DataFrame, root: str, layout: Sequence[str] = ("run_id",)) -> None:
+    """The rows of a run in place of those it may have left before: a run written twice is there once.
+
+    The folder is named by a text that no reader takes for a number, ``part``.
+    """
+    named = df.withColumn("part", F.concat_ws("_", F.lit("run"), *(F.col(c).cast("string") for c in layout)))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(root)
+
+
+def intact_runs(spark: SparkSession, root: str) -> set[str]:
+    """The runs below ``root`` that are completed and whose predictions are all there: as many rows as their manifest says."""
+    status = read_dataset(spark, f"{root}/status", "run_id string, status string, timestamp_utc string")
+    manifest = read_dataset(spark, f"{root}/manifest", "run_id string, n_rows long")
+    held = read_dataset(spark, f"{root}/predictions", "run_id string").groupBy("run_id").agg(F.count("*").alias("held"))
+    done = latest_status(status).where("status = 'completed'").join(manifest, "run_id").join(held, "run_id").where("held = n_rows")
+    return {str(r.run_id) for r in done.select("run_id").collect()}
+
+
 def latest_status(status: DataFrame) -> DataFrame:
     """The last status row of each run."""
     return status.groupBy("run_id").agg(F.max_by("status", "timestamp_utc").alias("status"))

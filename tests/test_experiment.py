@@ -97,3 +97,73 @@ def test_monitor(spark, sold, tmp_path):
     q.stop()
     rows = spark.sql("SELECT * FROM monitor").collect()
     assert sum(r.n for r in rows) == 400 and all(r.wmean_ratio == pytest.approx(0.9) for r in rows)
+
+
+def rows_of_runs(spark, root):
+    return {r.run_id: r["count"] for r in spark.read.parquet(f"{root}/predictions").groupBy("run_id").count().collect()}
+
+
+def test_runs_are_known_by_content_and_written_once(spark, sold, tmp_path, monkeypatch):
+    p, root = experiment.Protocol("date", "price", ["k"], ["a"], n_bootstrap=0, val_fraction=0.25), str(tmp_path)
+    one = specs()[:1]
+    experiment.temporal_cv(spark, sold, one, p, root)
+    first = rows_of_runs(spark, root)
+    record = spark.read.parquet(f"{root}/folds").collect()
+    assert len(record) == len(first) and all(r.val_size == n for r, n in zip(sorted(record, key=lambda r: r.fold_id), sorted(first.values()), strict=True))
+    # As many rows, one price changed: other runs.
+    changed = sold.withColumn("price", F.when(F.col("k") == 7, F.col("price") + 1).otherwise(F.col("price")))
+    experiment.temporal_cv(spark, changed, one, p, root)
+    second = rows_of_runs(spark, root)
+    assert len(second) == 2 * len(first) and set(first) < set(second)
+    # A run that fails after its predictions are written leaves no row twice.
+    real, calls = tables.replace_run, []
+
+    def failing(df, path, *layout):
+        if path.endswith("manifest"):
+            calls.append(path)
+            raise RuntimeError("lost before its manifest")
+        return real(df, path, *layout)
+
+    third = sold.withColumn("a", F.col("a") + 1)
+    monkeypatch.setattr(tables, "replace_run", failing)
+    experiment.temporal_cv(spark, third, one, p, root)
+    assert len(calls) == len(first)
+    monkeypatch.setattr(tables, "replace_run", real)
+    assert len(tables.intact_runs(spark, root)) == 2 * len(first)
+    experiment.temporal_cv(spark, third, one, p, root)
+    held = rows_of_runs(spark, root)
+    assert len(held) == 3 * len(first) and sorted(held.values()) == sorted(3 * list(first.values()))
+    assert len(tables.intact_runs(spark, root)) == 3 * len(first)
+
+
+def test_a_lost_artifact_is_made_again(spark, sold, tmp_path):
+    import shutil
+
+    p, root = experiment.Protocol("date", "price", ["k"], ["a"], n_bootstrap=0, val_fraction=0.25), str(tmp_path)
+    fits = []
+    counting = experiment.Spec("Linear", {}, lambda df: fits.append(1) or linear.least_squares(df, ["a"], "y"))
+    experiment.temporal_cv(spark, sold, [counting], p, root, parallel=3)
+    first = rows_of_runs(spark, root)
+    experiment.temporal_cv(spark, sold, [counting], p, root)
+    assert len(fits) == len(first)
+    lost = sorted(first)[0]
+    shutil.rmtree(tmp_path / "predictions" / f"part=run_{lost}")
+    experiment.temporal_cv(spark, sold, [counting], p, root)
+    assert len(fits) == len(first) + 1 and rows_of_runs(spark, root) == first
+
+
+def test_folds_by_date_and_resamples_have_all_measures(spark, sold, tmp_path):
+    p, root = experiment.Protocol("date", "price", ["k"], ["a"], n_bootstrap=2, val_fraction=0, initial_months=12, val_months=3, step_months=6), str(tmp_path)
+    experiment.temporal_cv(spark, sold, specs()[:1], p, root)
+    runs, boot = spark.read.parquet(f"{root}/runs"), spark.read.parquet(f"{root}/bootstrap_metrics")
+    assert boot.count() == 2 * runs.count()
+    assert set(runs.columns) - {"data_id", "split_id"} <= set(boot.columns)
+    record = {r.fold_id: r for r in spark.read.parquet(f"{root}/folds").collect()}
+    assert all(record[r.fold_id].val_size == r.n for r in runs.collect())
+
+
+def test_limits_and_grids_of_the_command_line():
+    a = cli.arguments(["cv", "--root", "r", "--rhos", "0.5", "--keeps", "--max-models", "3"])
+    made = experiment.default_specs(["a"], a.rhos, a.keeps)
+    assert (a.rhos, a.keeps, len(made)) == ([0.5], [], 4)
+    assert len(made[: a.max_models]) == 3
