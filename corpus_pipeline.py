@@ -21,14 +21,24 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject: a verdict depends on the language and the text."""
+    """Drops the documents that the quality rules reject: a verdict depends on the language and the text.
+
+    A null text or language counts as an empty one, and a text without 20 words is
+    rejected; repeated rows, and rows that share an id or have none, are judged by
+    what they hold; texts of any length are read whole.
+    """
+    plan = quality_rules.RiskPlan(wider=quality_rules.WIDER, slack=quality_rules.SLACK)
     lang, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "text"))
     named = docs.withColumn(ROW, F.md5(F.concat(F.length(lang).cast("string"), F.lit(":"), lang, text)))
-    return _without(named, quality_rules.judge(named, table(spark, sf_dir, "labels"), passed=(ROW,)).where("NOT kept"))
+    return _without(named, quality_rules.judge(named, table(spark, sf_dir, "labels"), plan, passed=(ROW,)).where("NOT kept"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates, that of the lowest id; a null id comes last."""
+    """Keeps one row of each group of near duplicates, that of the lowest id; a null id comes last.
+
+    Of repeated rows one stays; rows without a word (null or empty texts) are like
+    nothing and stay.
+    """
     work = Workspace(spark)
     named = work.save(docs.withColumn(ROW, F.monotonically_increasing_id()))
     found = near_dedup.near_duplicates(named, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
@@ -41,20 +51,26 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that overlap a benchmark item: a verdict depends on the text, of which 64 bits name it."""
+    """Drops the documents that overlap a benchmark item: a verdict depends on the text, of which 64 bits name it.
+
+    Null and empty texts overlap nothing and stay; repeated rows go or stay together.
+    """
     named = docs.withColumn(ROW, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     found = decontamination.overlaps(named, table(spark, sf_dir, "benchmark"), id_col=ROW)
     return _without(named, found.withColumnRenamed("doc_id", ROW))
 
 
 def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data, and terms that reveal it, by tags."""
-    safe = pii.sanitise(pii.find_spans(docs, pii.PiiPlan(everywhere=True)), docs.columns)
+    """Replaces personal data, access tokens and terms that reveal them by tags; a group of near copies has one vote on a term.
+
+    Every row stays; null texts stay null.
+    """
+    safe = pii.sanitise(pii.find_spans(docs, pii.PiiPlan(everywhere=True, secrets=True, families=True)), docs.columns)
     return safe.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else safe
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into training sequences."""
+    """Packs the documents into training sequences; a null or empty text is its end mark alone, repeated rows are packed each."""
     return packing.pack(docs, packing.PackingPlan(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -65,8 +81,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's table goes once the next is written.  An empty table gives an empty one."""
     work, docs = Workspace(spark), table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir))
+        work.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
