@@ -64,3 +64,10 @@ def test_decisions_reach_rows_without_an_id_of_their_own(spark):
     assert after(corpus_pipeline.deduplicate, rows) == sorted([(2, a), (5, b), (None, c)], key=str)
     rows = [(None, f"{a} {held}"), (3, f"{held} {a}"), (3, a), (None, b), (4, None)]
     assert after(corpus_pipeline.decontaminate, rows) == sorted([(3, a), (None, b), (4, None)], key=str)
+
+
+def test_access_tokens_leave_the_corpus(spark):
+    secret = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6"
+    docs = spark.createDataFrame([(1, f"deploy with {secret} please", "en"), (2, "nothing here", "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    done = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["pii"](spark, docs, SF).collect()}
+    assert done == {1: "deploy with [SECRET] please", 2: "nothing here", 3: None}
