@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ratiospark.operators.linear import gram
 from ratiospark.operators.positions import with_average_rank
@@ -19,24 +23,60 @@ def mutual_information(cells: DataFrame, x: str, y: str, n: str = "n") -> DataFr
     return rows.agg(F.sum(F.col(n) / F.col("t") * F.log(F.col(n) * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
+#: Cells of the grids that a task counts in one reading of its rows.
+CELLS = 4_000_000
+
+
+def _counted(rows: DataFrame, grids: Sequence[tuple[int, int]], bounds: tuple[float, float, float, float]) -> DataFrame:
+    """(a, b, i, j, n): rows by cell of each grid, counted in the tasks as they read their rows once; cells are summed by Spark."""
+    x0, x1, y0, y1 = bounds
+    starts = np.cumsum([0] + [a * b for a, b in grids])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(starts[-1], dtype=np.int64)
+        for batch in batches:
+            x, y = ((batch.column(k).to_numpy() - lo) / (hi - lo) for k, (lo, hi) in enumerate(((x0, x1), (y0, y1))))
+            across = {a: np.minimum(np.floor(x * a), a - 1).astype(np.int64) for a in {a for a, _ in grids}}
+            along = {b: np.minimum(np.floor(y * b), b - 1).astype(np.int64) for b in {b for _, b in grids}}
+            for (a, b), at in zip(grids, starts, strict=False):
+                counts[at : at + a * b] += np.bincount(across[a] * b + along[b], minlength=a * b)
+        for (a, b), at in zip(grids, starts, strict=False):
+            held = np.flatnonzero(counts[at : at + a * b])
+            if len(held):
+                cols = [np.full(len(held), a), np.full(len(held), b), held // b, held % b, counts[at + held]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "i", "j", "n"])
+
+    return rows.mapInArrow(run, "a long, b long, i long, j long, n long").groupBy("a", "b", "i", "j").agg(F.sum("n").alias("n"))
+
+
 def mic(df: DataFrame, x: str, y: str, exponent: float = 0.6) -> float:
-    """Greatest normalised mutual information over equal-width grids of at most n^exponent cells.
+    """Greatest normalised mutual information over equal-width grids of at most n^exponent cells; rows with a NULL are left out.
 
-    Rows are counted once on each grid by one aggregate; grids, not rows, multiply.
+    No row is multiplied by grids: tasks keep the counts of as many grids as have
+    ``CELLS`` cells together, and the rows are read once for each such block.
     """
-    n, x0, x1, y0, y1 = df.agg(F.count("*"), F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    n, x0, x1, y0, y1 = rows.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not n or x0 == x1 or y0 == y1:
         return 0.0
-    most = max(4, int(n**exponent))
-    grids = [(a, b) for a in range(2, most // 2 + 1) for b in range(2, most // a + 1)]
-    cut = lambda c, lo, hi, k: F.least(F.floor((F.col(c) - lo) / (hi - lo) * F.col(k)), F.col(k) - 1)
-    table = df.sparkSession.createDataFrame(grids, "a int, b int")
-    cells = df.select(x, y).crossJoin(F.broadcast(table)).groupBy("a", "b", cut(x, x0, x1, "a").alias("i"), cut(y, y0, y1, "b").alias("j")).agg(F.count("*").alias("n"))
-    px = cells.groupBy("a", "b", "i").agg(F.sum("n").alias("nx"))
-    py = cells.groupBy("a", "b", "j").agg(F.sum("n").alias("ny"))
-    p = F.col("n") / n
-    scores = cells.join(px, ["a", "b", "i"]).join(py, ["a", "b", "j"]).groupBy("a", "b").agg(F.sum(p * F.log(F.col("n") * n / (F.col("nx") * F.col("ny")))).alias("mi"))
-    return float(scores.agg(F.max(F.col("mi") / F.log(F.least("a", "b")))).first()[0] or 0.0)
+    most = max(4, int(n**exponent + 1e-9))
+    blocks: list[list[tuple[int, int]]] = [[]]
+    held = 0
+    for a in range(2, most // 2 + 1):
+        for b in range(2, most // a + 1):
+            if held + a * b > CELLS and blocks[-1]:
+                blocks.append([])
+                held = 0
+            blocks[-1].append((a, b))
+            held += a * b
+    best = 0.0
+    for grids in blocks:
+        cells = _counted(rows, grids, (x0, x1, y0, y1))
+        whole = lambda c: F.sum("n").over(Window.partitionBy("a", "b", c))
+        mi = F.sum(F.col("n") / n * F.log(F.col("n") * n / (F.col("nx") * F.col("ny")))).alias("mi")
+        scores = cells.withColumns({"nx": whole("i"), "ny": whole("j")}).groupBy("a", "b").agg(mi)
+        best = max(best, float(scores.agg(F.max(F.col("mi") / F.log(F.least("a", "b")))).first()[0] or 0.0))
+    return best
 
 
 def rdc(df: DataFrame, x: str, y: str, k: int = 8, scale: float = 1 / 6, repeats: int = 3, ridge: float = 1e-6, seed: int = 0) -> float:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ratiospark.functions.ids import stable_id_column
 from ratiospark.functions.numeric import r_squared
-from ratiospark.operators import bootstrap, boosting, dependence, features, flags, folds, leafwise, linear, ratio_study, stacking, summary
+from ratiospark.operators import bootstrap, boosting, bounded, dependence, features, flags, folds, leafwise, linear, ratio_study, stacking, summary
 from ratiospark.operators.positions import average_rank, exact_sample, first_per_key, with_position
 from ratiospark.plans.bindings import KEYS, RUNS, SALES, STUDY, global_mean, ordered, runs, sales, table
 from ratiospark.sources.tables import union_ragged
@@ -753,6 +753,13 @@ def least_absolute_fit(spark, sf):
     return _coefficients(spark, linear.least_absolute(_train(spark, sf), ["x1"], "y"))
 
 
+@query()
+def least_absolute_certified(spark, sf):
+    """Coefficients with the sum of absolute residuals and a dual value that no fit's sum is under."""
+    fit = linear.least_absolute_exact(_train(spark, sf), ["x1", "x2"], "y")
+    return _coefficients(spark, fit.model).withColumns({"primal": F.lit(round(fit.primal, 4)), "certified": F.lit(fit.primal - fit.dual <= 1e-7 * fit.primal)})
+
+
 @query()
 def poisson_fit(spark, sf):
     return _coefficients(spark, linear.glm(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("y"), F.col("l_discount").alias("x1")), ["x1"], "y", "poisson"))
@@ -805,6 +812,24 @@ def group_constrained_fit(spark, sf):
     return _coefficients(spark, model).withColumn("reached", F.lit(round(reached, 3)))
 
 
+@query()
+def group_bounded_exact(spark, sf):
+    """M19 with its certificate: each group's error against the limit, the multipliers, and the bound under the objective."""
+    rows = []
+    for share in (0.9999, 0.99):
+        fit = bounded.bounded_fit(_train(spark, sf, "brand"), ["x1", "x2"], "y", "brand", share)
+        rows += [(share, str(g), float(e), fit.limit, fit.multipliers[g], fit.feasible, fit.objective, fit.lower) for g, e in fit.errors.items()]
+    return rounded(spark.createDataFrame(rows, "share double, grp string, error double, limit double, multiplier double, feasible boolean, objective double, lower double"), 5)
+
+
+@query()
+def fairness_price_exact(spark, sf):
+    """Bounds on the price of a bound, and the price."""
+    shares = (0.99999, 0.9999, 0.999)
+    rows = [(s, *bounded.price_bounds(_train(spark, sf, "brand"), ["x1", "x2"], "y", "brand", s)) for s in shares]
+    return rounded(spark.createDataFrame(rows, "share double, lower double, price double, upper double"), 6)
+
+
 def _rows_at(spark, sf):
     rows = _train(spark, sf).withColumns({"f": 0.9 * F.col("y") + 1, "key": F.concat_ws("-", *KEYS)})
     return boosting.quantile_bins(rows, "y", 4)

@@ -247,3 +247,37 @@ def test_group_bound_is_met_or_flagged(data):
     assert reached <= 1 + 1e-3
     with pytest.warns(UserWarning, match="bound"):
         linear.group_constrained(df, ["a", "b"], "y", "g", 0.2, rounds=2)
+
+
+def test_mic_reads_rows_in_blocks_of_grids(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(size=300)
+    y = np.sin(7 * x) + rng.normal(0, 0.2, 300)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0)], "x double, y double").repartition(3)
+    best, most = 0.0, int(300**0.6)
+    cut = lambda v, k: np.minimum(np.floor((v - v.min()) / (v.max() - v.min()) * k), k - 1)
+    for a in range(2, most // 2 + 1):
+        for b in range(2, most // a + 1):
+            p = np.histogram2d(cut(x, a), cut(y, b), [np.arange(a + 1) - 0.5, np.arange(b + 1) - 0.5])[0] / 300
+            e = p.sum(1, keepdims=True) @ p.sum(0, keepdims=True)
+            best = max(best, float((p[p > 0] * np.log(p[p > 0] / e[p > 0])).sum() / np.log(min(a, b))))
+    assert dependence.mic(df, "x", "y") == pytest.approx(best)
+    monkeypatch.setattr(dependence, "CELLS", 50)
+    assert dependence.mic(df, "x", "y", 0.5) <= best + 1e-12
+    whole = dependence.mic(df, "x", "y", 0.5)
+    monkeypatch.setattr(dependence, "CELLS", 10**6)
+    assert dependence.mic(df, "x", "y", 0.5) == pytest.approx(whole)
+
+
+def test_least_absolute_is_certified(spark):
+    rng = np.random.default_rng(12)
+    for n, whole in ((25, False), (400, False), (60, True)):
+        x = rng.integers(0, 6, n).astype(float) if whole else rng.normal(size=n)
+        y = 2 + 3 * x + rng.standard_cauchy(n)
+        fit = linear.least_absolute_exact(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double"), ["x"], "y")
+        assert fit.primal - fit.dual <= 1e-8 * fit.primal
+        assert np.isclose(fit.primal, np.abs(y - fit.model.intercept - fit.model.beta[0] * x).sum())
+        if n == 25:  # some best line goes through two points
+            lines = [((y[j] - y[i]) / (x[j] - x[i]), i) for i in range(n) for j in range(i) if x[i] != x[j]]
+            best = min(np.abs(y - y[i] - b * (x - x[i])).sum() for b, i in lines)
+            assert fit.primal == pytest.approx(best, rel=1e-8)
