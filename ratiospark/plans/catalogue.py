@@ -15,6 +15,7 @@ from ratiospark.functions.numeric import r_squared
 from ratiospark.operators import bootstrap, boosting, bounded, dependence, features, flags, folds, leafwise, linear, ratio_study, stacking, summary
 from ratiospark.operators.positions import average_rank, exact_sample, first_per_key, with_position
 from ratiospark.plans.bindings import KEYS, RUNS, SALES, STUDY, global_mean, ordered, runs, sales, table
+from ratiospark.sources.staging import staged
 from ratiospark.sources.tables import union_ragged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -832,7 +833,7 @@ def fairness_price_exact(spark, sf):
 
 def _rows_at(spark, sf):
     rows = _train(spark, sf).withColumns({"f": 0.9 * F.col("y") + 1, "key": F.concat_ws("-", *KEYS)})
-    return boosting.quantile_bins(rows, "y", 4)
+    return boosting.quantile_bins(staged(rows), "y", 4)
 
 
 _AT = f"WITH {SALES}, t AS (SELECT concat_ws('-', k1, k2, k3, k4) AS key, ln(sp) AS y, 0.9 * ln(sp) + 1 AS f FROM sales), e AS (SELECT list_distinct(quantile_cont(y, [0.25, 0.5, 0.75])) AS e FROM t), w AS (SELECT t.*, len(list_filter(e, lambda v: v < y)) AS bin, f / y AS r, 1 / y AS dr FROM t, e)"

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from ratiospark.operators import folds, leafwise
 from ratiospark.plans import experiment
 from ratiospark.sources import tables
+from ratiospark.sources.staging import staging
 
 DEFAULTS = {"initial_months": 12, "val_fraction": 0.1, "val_months": 3, "step_months": 3, "n_bootstrap": 20, "block": "month", "seed": 2025, "rounds": 20, "depth": 3, "leaves": 0, "max_models": 100, "top_k": 5, "parallel": 4, "prd_low": 0.98, "prd_high": 1.03, "accuracy": "r2"}
 #: Grids of the default configurations; an empty one leaves its models out.
@@ -42,6 +43,11 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None) -> None:
     a = arguments(argv)
     spark = SparkSession.builder.appName("ratiospark").getOrCreate()
+    with staging(spark):
+        _run(spark, a)
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command in ("cv", "test"):
         rows = tables.read_table(spark, a.data, [*dict.fromkeys([a.date, a.price, *a.key, *a.features, *a.categorical, *a.flags])])
         rows = folds.valid_sales(rows, a.flags)

@@ -23,17 +23,44 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Staged tables that are still there.
+_HELD: set[str] = set()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut and the work done once."""
     spark, path = df.sparkSession, shared_path(df.sparkSession)
+    _HELD.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, sorted(paths)):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _HELD.difference_update(paths)
+
+
 def unstaged(df: DataFrame) -> None:
     """Deletes a staged table that nothing needs any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, {df.staged_path})
+
+
+class staging:
+    """A scope: tables staged in it are deleted at its end, when its results have been written elsewhere.
+
+    Results are lazy and read staged tables, so operators can't delete those that
+    their result needs; who writes the result can.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> staging:
+        self.before = set(_HELD)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _delete(self.spark, _HELD - self.before)

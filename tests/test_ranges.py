@@ -78,3 +78,19 @@ def test_clusters_keep_rows_with_nulls(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, 5.0, 7.0), (4, 1.1, 2.1)], "k long, a double, b double")
     found = {r.k: r.cluster for r in features.cluster_labels(df, df, ["a", "b"], 2)[0].collect()}
     assert set(found) == {1, 2, 3, 4} and found[2] is None and found[1] == found[4] != found[3]
+
+
+def test_a_scope_leaves_no_staged_table(spark, tmp_path, rows):
+    from pathlib import Path
+
+    from ratiospark.operators import ratio_study
+    from ratiospark.sources.staging import staging
+
+    base = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    sales = rows.select("g", "k", (F.abs("v") + 1).alias("sp"), (F.abs("w") + 1).alias("av"))
+    before = set(base.iterdir())
+    with staging(spark):
+        ratio_study.bundle(sales, ["g"], keys=["k"]).write.parquet(str(tmp_path / "out"))
+        assert set(base.iterdir()) > before
+    assert set(base.iterdir()) == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 1
