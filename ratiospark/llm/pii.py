@@ -172,13 +172,13 @@ def _kinds() -> Column:
 
 
 def _bands(text: Column) -> Column:
-    """A sketch of the shingles of five words: for each band a hash of two minima, which near copies share and others don't; all shingles, where they are few."""
+    """A sketch of the shingles of five words: for each band a hash of two minima, which near copies share and others don't."""
 
     def of(words: Column) -> Column:
         shingles = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))).otherwise(F.array(F.xxhash64(words)))
-        least = lambda h, k: F.array_min(F.filter(h, lambda x: F.pmod(x, F.lit(2 * BANDS)) == k))
-        band = lambda h, k: F.when(least(h, 2 * k).isNotNull() & least(h, 2 * k + 1).isNotNull(), F.xxhash64(F.lit(k), least(h, 2 * k), least(h, 2 * k + 1))).otherwise(F.xxhash64(F.lit(k), F.array_sort(h)))
-        return _let(shingles, lambda h: F.array(*(band(h, k) for k in range(BANDS))))
+        # Each minimum is over the hashes in an order of its own, so short texts have all of them.
+        least = lambda h, k: F.array_min(F.transform(h, lambda x: x.bitwiseXOR(F.xxhash64(F.lit(k)))))
+        return _let(shingles, lambda h: F.array(*(F.xxhash64(F.lit(k), least(h, 2 * k), least(h, 2 * k + 1)) for k in range(BANDS))))
 
     return _let(F.split(F.lower(text), r"\s+"), of)
 
