@@ -19,6 +19,13 @@ def range_flag(value: Column, bounds: tuple[float, float], margin: float) -> Col
     return F.when(value.isNull() | F.isnan(value), "NA").when(value.between(low, high), "PASS").when(value.between(low - margin, high + margin), "WARN").otherwise("FAIL")
 
 
+def guidance_band(measure: str) -> tuple[float, float]:
+    """V2: the stretch of a measure's deviation that plots shade: between the two ends' deviations from 1 (PRD), else from 0 to the farther end."""
+    if measure == "prd":
+        return tuple(sorted(round(abs(end - 1), 12) for end in PRD))
+    return 0.0, max(map(abs, {"prb": PRB, "vei": VEI}[measure]))
+
+
 def worst(*flags: Column) -> Column:
     """FAIL before WARN before PASS; NA if there is nothing else."""
     has = lambda word: reduce(lambda a, b: a | b, (f == word for f in flags))

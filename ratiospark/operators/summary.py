@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ratiospark.operators import ratio_study
+from ratiospark.operators import flags, ratio_study
 from ratiospark.sources.staging import staged
 
 
@@ -120,6 +120,19 @@ def tradeoff(points: DataFrame, key: str, gain: str, loss: str, baselines: Seque
     return points.join(front, key, "left").withColumns({"is_pareto": F.coalesce("is_pareto", F.lit(False)), "is_baseline": F.col(key).isin(*baselines)})
 
 
+def banded_tradeoffs(means: DataFrame, key: str, gain: str, baselines: Sequence[str], measures: Sequence[str] = ("prd", "prb", "vei")) -> DataFrame:
+    """V2: trade-off rows of each measure, long, with the guidance band of its deviation; ``means`` has a row a configuration with its gain and ``<measure>_dev``."""
+    tables = []
+    for measure in measures:
+        points = means.select(key, F.col(gain).alias("gain"), F.col(f"{measure}_dev").alias("loss"))
+        low, high = flags.guidance_band(measure)
+        tables.append(tradeoff(points, key, "gain", "loss", baselines).withColumns({"measure": F.lit(measure), "band_lo": F.lit(low), "band_hi": F.lit(high), "within": F.col("loss") <= high}))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def pending(planned: DataFrame, status: DataFrame, key: str = "run_id") -> DataFrame:
     """Planned runs that no completed status row has."""
     return planned.join(status.where("status = 'completed'").select(key).distinct(), key, "left_anti")

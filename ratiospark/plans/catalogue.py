@@ -505,6 +505,16 @@ def tradeoff_points(spark, sf):
     return summary.tradeoff(points, "config_id", "gain", "loss", ["AF"])
 
 
+@query(f"""WITH {RUNS}, c AS (SELECT config_id, round(avg(r2), 8) AS gain, round(abs(avg(prd) - 1), 8) AS prd, round(abs(avg(prb)), 8) AS prb, round(abs(avg(vei)), 8) AS vei FROM runs GROUP BY ALL),
+    l AS (SELECT config_id, gain, unnest(['prd', 'prb', 'vei']) AS measure, unnest([prd, prb, vei]) AS loss, unnest([0.02, 0, 0])::DOUBLE AS band_lo, unnest([0.03, 0.05, 10])::DOUBLE AS band_hi FROM c)
+    SELECT *, loss <= band_hi AS within, config_id IN ('AF') AS is_baseline,
+           NOT EXISTS (SELECT 1 FROM l b WHERE b.measure = a.measure AND b.gain >= a.gain AND b.loss <= a.loss AND (b.gain > a.gain OR b.loss < a.loss)) AS is_pareto FROM l a""")
+def tradeoff_bands(spark, sf):
+    deviations = {"prd_dev": F.round(F.abs(F.avg("prd") - 1), 8), "prb_dev": F.round(F.abs(F.avg("prb")), 8), "vei_dev": F.round(F.abs(F.avg("vei")), 8)}
+    means = runs(spark, sf).groupBy("config_id").agg(F.round(F.avg("r2"), 8).alias("r2"), *(v.alias(k) for k, v in deviations.items()))
+    return summary.banded_tradeoffs(means, "config_id", "r2", ["AF"])
+
+
 @query(f"WITH {RUNS}, l AS (SELECT fold_id, model_name, unnest(['r2', 'prd', 'vei']) AS metric, unnest([r2, prd, vei]) AS v FROM runs) SELECT fold_id, model_name, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM l GROUP BY ALL")
 def evolution_long(spark, sf):
     return rounded(summary.evolution(runs(spark, sf), ["fold_id", "model_name"], ("r2", "prd", "vei")))
