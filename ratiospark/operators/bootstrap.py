@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ratiospark.functions.numeric import ratio
 from ratiospark.operators.positions import with_position
+from ratiospark.operators.quantiles import quantiles
+from ratiospark.sources.staging import staged
 
 DRAW_SCHEMA = "bootstrap_id long, draw_no long, block_no long, take_n long"
 
@@ -56,22 +58,34 @@ def draws(sizes: Sequence[int], n_bootstrap: int, pick: Callable[[int, int], int
 
 
 def multiplicity(spark: SparkSession, rows: DataFrame, blocks: Sequence[object], drawn: Sequence[tuple[int, int, int, int]]) -> DataFrame:
-    """The rows of each resample once, with ``mult``: how often the block was drawn far enough."""
-    table = spark.createDataFrame(list(drawn), DRAW_SCHEMA)
-    names = spark.createDataFrame([(k, b) for k, b in enumerate(blocks)], "block_no long, block timestamp")
-    # Whole draws of a block share a row here; only the last draw of a resample is cut.
-    grouped = table.join(F.broadcast(names), "block_no").groupBy("bootstrap_id", "block", "take_n").agg(F.count("*").alias("times"))
-    joined = rows.join(F.broadcast(grouped), "block").where("pos_in_block < take_n")
-    keep = [c for c in rows.columns]
-    return joined.groupBy("bootstrap_id", *keep).agg(F.sum("times").alias("mult"))
+    """The rows of each resample once, with ``mult``: how often the block was drawn far enough.
+
+    A place in its block tells a row from others, so its count follows from the
+    block's draws alone, and no row is shuffled.
+    """
+    # Only the last draw of a resample is cut, so a block has few different lengths.
+    takes: dict[tuple[int, int], list[int]] = {}
+    for b, _, block, take in drawn:
+        takes.setdefault((b, block), []).append(take)
+    # Stretches of places that are drawn equally often.
+    table = []
+    for (b, block), lengths in takes.items():
+        start = 0
+        for end in sorted(set(lengths)):
+            table.append((b, blocks[block], start, end, sum(n >= end for n in lengths)))
+            start = end
+    stretches = spark.createDataFrame(table, "bootstrap_id long, block timestamp, _from long, _to long, mult long")
+    joined = rows.join(F.broadcast(stretches), "block").where("pos_in_block >= _from AND pos_in_block < _to")
+    return joined.select("bootstrap_id", *rows.columns, "mult")
 
 
 def weighted_study(resampled: DataFrame, av: str = "av", sp: str = "sp") -> DataFrame:
     """Ratio measures of each resample, each row counted ``mult`` times."""
     w, r = F.col("mult"), F.col(av) / F.col(sp)
     rows = resampled.withColumn("r", r)
-    first = rows.groupBy("bootstrap_id").agg(F.sum("mult").alias("n"), F.percentile("r", 0.5, w).alias("median_ratio"), (F.sum(w * F.col("r")) / F.sum(w)).alias("mean_ratio"), ratio(F.sum(w * F.col(av)), F.sum(w * F.col(sp))).alias("wmean_ratio"))
-    second = rows.join(first.select("bootstrap_id", "median_ratio"), "bootstrap_id").groupBy("bootstrap_id").agg((100 * F.sum(w * F.abs(F.col("r") - F.col("median_ratio"))) / F.sum(w) / F.first("median_ratio")).alias("cod"))
+    sums = {"n": F.sum("mult"), "mean_ratio": F.sum(w * F.col("r")) / F.sum(w), "wmean_ratio": ratio(F.sum(w * F.col(av)), F.sum(w * F.col(sp)))}
+    first = staged(quantiles(rows, ["bootstrap_id"], {"median_ratio": (F.col("r"), 0.5)}, sums, weight=w).select("bootstrap_id", "n", "median_ratio", "mean_ratio", "wmean_ratio"))
+    second = rows.join(F.broadcast(first.select("bootstrap_id", "median_ratio")), "bootstrap_id").groupBy("bootstrap_id").agg((100 * F.sum(w * F.abs(F.col("r") - F.col("median_ratio"))) / F.sum(w) / F.first("median_ratio")).alias("cod"))
     return first.join(second, "bootstrap_id").withColumn("prd", ratio("mean_ratio", "wmean_ratio"))
 
 

@@ -388,7 +388,7 @@ def boot_blocks(spark, sf):
 
 
 def _resampled(spark, sf, n=8):
-    rows = bootstrap.in_blocks(ordered(spark, sf), "o_orderdate", "month", ["o_orderkey"]).select("block", "pos_in_block", "o_orderkey", "o_totalprice")
+    rows = staged(bootstrap.in_blocks(ordered(spark, sf), "o_orderdate", "month", ["o_orderkey"]).select("block", "pos_in_block", "o_orderkey", "o_totalprice"))
     sizes = bootstrap.block_sizes(rows)
     drawn = bootstrap.draws([n for _, n in sizes], n, bootstrap.stepping_picker(len(sizes)))
     return bootstrap.multiplicity(spark, rows, [b for b, _ in sizes], drawn)
