@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ratiospark.operators.quantiles import IN_MEMORY, SMALL, largest_group, same
+from ratiospark.operators.quantiles import IN_MEMORY, LARGE, SMALL, largest_group, same
 from ratiospark.sources.staging import staged
 
 
@@ -35,7 +35,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], groups: Sequence
 
 def _small(df: DataFrame, groups: Sequence[str], in_memory: int | None) -> bool:
     limit = IN_MEMORY if in_memory is None else in_memory
-    return limit >= SMALL or largest_group(df, groups) <= limit
+    return limit >= SMALL or (limit != LARGE and largest_group(df, groups) <= limit)
 
 
 def with_running_sum(df: DataFrame, order: Sequence[Column | str], groups: Sequence[str], value: str, name: str = "before", in_memory: int | None = None) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ratiospark.functions.numeric import EPS, finite, fisher_z, pearson, positive, r_squared, ratio, slope
-from ratiospark.operators.positions import equal_count_group, with_position, with_running_sum
-from ratiospark.operators.quantiles import how_large, quantiles, same
+from ratiospark.operators.positions import equal_count_group, with_running_sum
+from ratiospark.operators.quantiles import IN_MEMORY, SMALL, how_large, quantiles, ranked_values, same
 from ratiospark.sources.staging import staged
 
 ALL = "_all"
@@ -98,9 +99,14 @@ def oos_r2(df: DataFrame, groups: Sequence[str], train_mean: Column, av: str = "
     return out if groups else out.drop(ALL)
 
 
-def _with_median(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Rows with their group's size and median ratio."""
-    return same(rows, quantiles(rows, names, {"m": (F.col("r"), 0.5)}, {"n": F.count("*")}), names, "inner")
+def _with_median(rows: DataFrame, names: list[str], size: int | None = None) -> DataFrame:
+    """Rows with their group's size and median ratio; large groups are read several times, so their rows are staged unless their ``size`` is told."""
+    if size is None:
+        size = how_large(rows, names)
+        rows = rows if size >= SMALL else _staged(rows)
+    told = quantiles(rows, names, {"m": (F.col("r"), 0.5)}, {"n": F.count("*")}, size)
+    # A table of known, small size is broadcast; an aggregate would have the rows gathered by group.
+    return same(rows, told if size >= SMALL else staged(told), names, "inner")
 
 
 def _cod() -> Column:
@@ -134,20 +140,59 @@ def vei_groups(n: Column) -> Column:
 def vei_profile(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp", keys: Sequence[str] = (), k: int | None = None) -> DataFrame:
     """Median ratio and size of each group of rising value (the mean of sp and av / m)."""
     rows, names = usable(df, groups, av, sp, keys)
-    rows = staged(rows)
-    out = _profile(_with_median(rows, names), names, k, how_large(rows, names))
+    rows = _staged(rows)
+    size = how_large(rows, names)
+    out = _profile(_with_median(rows, names, size), names, k, size)
     return out if groups else out.drop(ALL)
 
 
-def _profile(rows: DataFrame, names: Sequence[str], k: int | None, in_memory: int) -> DataFrame:
-    """The groups of rows that know their group's ``m`` and ``n``; a stratum is at most half of its group."""
-    rows = rows.withColumn("proxy", 0.5 * F.col("sp") + 0.5 * F.col("av") / F.col("m"))
-    ties = [c for c in rows.columns if c.startswith("key_")]
-    count = F.lit(k) if k else vei_groups(F.col("n"))
-    rows = with_position(rows, ["proxy", *ties, "sp", "av"], names, in_memory=in_memory).withColumn("k", count).where("k IS NOT NULL")
-    rows = rows.withColumn("stratum", equal_count_group(F.col("pos"), F.col("n"), F.col("k")))
-    rows = rows if in_memory > 1 else staged(rows)
-    return quantiles(rows, [*names, "stratum"], {"median_ratio": (F.col("r"), 0.5)}, {"count": F.count("*"), "m": F.first("m"), "k": F.first("k")}, in_memory if in_memory > 1 else None)
+def _staged(rows: DataFrame) -> DataFrame:
+    """Usable rows staged without their ratio, which is made anew from them."""
+    return staged(rows.drop("r")).withColumn("r", F.col("av") / F.col("sp"))
+
+
+def _profile(rows: DataFrame, names: Sequence[str], k: int | None, size: int, weight: str | None = None) -> DataFrame:
+    """Median ratio and size of the strata of rows that know their group's ``m`` and ``n``; each counts ``weight`` times, and its copies may fall into two strata.
+
+    Rows of large groups are not put in order: the strata end at up to nine places
+    of a group, whose values are found by counting.  Only rows with such a value
+    are placed one by one, the others follow from it.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    rows = rows.withColumn("proxy", 0.5 * F.col("sp") + 0.5 * F.col("av") / F.col("m")).withColumn("_w", w.cast("long"))
+    strata = lambda n: F.lit(k) if k else vei_groups(n)
+    start = lambda s, n: s * F.floor(n / strata(n)) + F.least(s, n % strata(n))
+    order = ["proxy", *(c for c in rows.columns if c.startswith("key_")), "sp", "av"]
+
+    def dealt(placed: DataFrame) -> DataFrame:
+        """A row for each stratum that copies of a row fall into, from their place in the group."""
+        group = lambda pos: equal_count_group(pos, F.col("n"), F.col("k"))
+        placed = placed.withColumn("stratum", F.explode(F.sequence(group(F.col("before") + 1), group(F.col("before") + F.col("_w")))) if weight else group(F.col("before") + 1))
+        return placed.withColumn("copies", F.least(F.col("before") + F.col("_w"), start(F.col("stratum") + 1, F.col("n"))) - F.greatest(F.col("before"), start(F.col("stratum"), F.col("n"))) if weight else F.lit(1))
+
+    rows = rows.withColumn("k", strata(F.col("n"))).where("k IS NOT NULL")
+    if size >= SMALL:
+        cut = dealt(with_running_sum(rows, order, names, "_w", in_memory=size))
+    else:
+        asked = [(0, lambda n, s=s: F.when((strata(n) > s) & (start(F.lit(s), n) > 0), start(F.lit(s), n) - 1)) for s in range(1, k or 10)]
+        found = ranked_values(rows, names, [F.col("proxy")], asked, F.col("_w"))
+        cuts = staged(found.select(*(F.col(f"group.g{i}").alias(g) for i, g in enumerate(names)), "out", "value", F.col("before").alias("_under")))
+        row = cuts.groupBy(*names).agg(*(F.min(F.when(F.col("out") == i, F.col("value"))).alias(f"_cut_{i}") for i in range(len(asked))))
+        marked = same(rows, staged(row), names, "left")
+        on = lambda i: F.coalesce(F.col("proxy") == F.col(f"_cut_{i}"), F.lit(False))
+        above = lambda i: F.coalesce((F.col("proxy") > F.col(f"_cut_{i}")).cast("int"), F.lit(0))
+        tied, stratum = F.lit(False), F.lit(0)
+        for i in range(len(asked)):
+            tied, stratum = tied | on(i), stratum + above(i)
+        free = marked.where(~tied).withColumn("stratum", stratum).withColumn("copies", F.col("_w"))
+        ties = staged(marked.where(tied).drop(*(f"_cut_{i}" for i in range(len(asked)))))
+        under = cuts.groupBy(*names, F.col("value").alias("proxy")).agg(F.first("_under").alias("_under"))
+        placed = with_running_sum(ties, order[1:], [*names, "proxy"], "_w", "_ahead")
+        placed = same(placed, staged(under), [*names, "proxy"], "inner").withColumn("before", F.col("_under") + F.col("_ahead"))
+        slim = [*names, "stratum", "r", "copies", "m", "k"]
+        cut = free.select(slim).unionByName(staged(dealt(placed).select(slim)))
+    often = F.col("copies")
+    return quantiles(cut, [*names, "stratum"], {"median_ratio": (F.col("r"), 0.5)}, {"count": F.sum("copies"), "m": F.first("m"), "k": F.first("k")}, size, often if weight or size < SMALL else None)
 
 
 def vei(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp", keys: Sequence[str] = (), k: int | None = None, rule: str = "ends") -> DataFrame:
@@ -172,15 +217,37 @@ def _ends(profile: DataFrame, names: Sequence[str], rule: str) -> DataFrame:
 def gini(df: DataFrame, groups: Sequence[str] = (), av: str = "av", sp: str = "sp") -> DataFrame:
     """Concentration of av and of sp in the order of sp (ties by falling av), KI and MKI."""
     rows, names = usable(df, groups, av, sp)
-    out = _gini(rows, names, None)
+    size = how_large(rows, names)
+    out = _gini(rows if size >= SMALL else _staged(rows), names, size)
     return out if groups else out.drop(ALL)
 
 
-def _gini(rows: DataFrame, names: Sequence[str], in_memory: int | None) -> DataFrame:
-    rows = with_position(rows, ["sp", F.desc("av")], names, in_memory=in_memory)
-    n = F.count("*")
-    index = lambda x: (2 * ratio(F.sum(F.col(x) * F.col("pos")), F.sum(x)) - (n + 1)) / n
-    return _concentration(rows.groupBy(*names).agg(index("av").alias("gini_av"), index("sp").alias("gini_sp")))
+def _gini(rows: DataFrame, names: Sequence[str], size: int, weight: str | None = None) -> DataFrame:
+    """Ginis, each row counting ``weight`` times.
+
+    Large groups are cut into intervals of sp, whose sums need places in the
+    interval only: one shuffle of prices.  An interval that is itself large (one
+    price for very many rows) is placed by ranges.
+    """
+    rows = rows.select(*names, "av", "sp", (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    if size >= SMALL:
+        rows, by, cells, limit = rows.withColumn("_cell", F.lit(0)), list(names), None, size
+    else:
+        rows, by = rows.withColumn("_cell", F.floor(F.log1p(F.col("sp") * 1e6) * 2048)), [*names, "_cell"]
+        cells = staged(rows.groupBy(*by).agg(F.sum("_w").alias("_n"), F.count("*").alias("_rows")))
+        limit = SMALL if (cells.agg(F.max("_rows")).first()[0] or 0) <= IN_MEMORY else size
+    placed = with_running_sum(rows, ["sp", F.desc("av")], by, "_w", "_ahead", in_memory=limit)
+    places = F.col("_w") * F.col("_ahead") + F.col("_w") * (F.col("_w") + 1) / 2
+    sums = placed.groupBy(*names, "_cell").agg(F.sum("_w").alias("_n"), *(a for x in ("av", "sp") for a in (F.sum(F.col(x) * places).alias(f"_p_{x}"), F.sum(F.col("_w") * F.col(x)).alias(f"_s_{x}"))))
+    if cells is not None:
+        earlier = Window.partitionBy(*names).orderBy("_cell")
+        before = cells.select(*by, (F.sum("_n").over(earlier) - F.col("_n")).alias("_under"))
+        sums = same(sums, before, by, "inner")
+    else:
+        sums = sums.withColumn("_under", F.lit(0))
+    n = F.sum("_n")
+    index = lambda x: (2 * ratio(F.sum(F.col(f"_p_{x}") + F.col("_under") * F.col(f"_s_{x}")), F.sum(f"_s_{x}")) - (n + 1)) / n
+    return _concentration(sums.groupBy(*names).agg(index("av").alias("gini_av"), index("sp").alias("gini_sp")))
 
 
 def _concentration(ginis: DataFrame) -> DataFrame:
@@ -194,9 +261,9 @@ def bundle(df: DataFrame, groups: Sequence[str], av: str = "av", sp: str = "sp",
     parts need, comes from the first aggregate.
     """
     rows, names = usable(df, groups, av, sp, keys)
-    rows = staged(rows)
+    rows = _staged(rows)
     size = how_large(rows, names)
-    first = staged(quantiles(rows, names, quantile_columns(), accuracy_columns(), size if size > 1 else None))
+    first = staged(quantiles(rows, names, quantile_columns(), accuracy_columns(), size))
     rows = same(rows, first.select(*names, F.col("median_ratio").alias("m"), "n"), names, "inner")
     parts = [rows.groupBy(*names).agg(_cod().alias("cod"), _prb().alias("prb")), _ends(_profile(rows, names, None, size), names, "ends").select(*names, "vei"), _gini(rows, names, size)]
     out = first.withColumn("iqr_ratio", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
@@ -212,7 +279,7 @@ def weighted_bundle(df: DataFrame, groups: Sequence[str], weight: str, av: str =
     weights; a row whose copies fall into two groups of the VEI counts in both.
     """
     rows, names = usable(df, groups, av, sp, [weight, *keys])
-    rows = staged(rows.withColumnRenamed("key_0", "w").where("w > 0"))
+    rows = _staged(rows.withColumnRenamed("key_0", "w").where("w > 0"))
     size, w, n = how_large(rows, names), F.col("w"), F.sum("w")
     t, p, r = F.col("sp"), F.col("av"), F.col("r")
     mean = lambda x: F.sum(w * x) / F.sum("w")
@@ -234,7 +301,7 @@ def weighted_bundle(df: DataFrame, groups: Sequence[str], weight: str, av: str =
         "_flat_t": F.min(t) == F.max(t),
         "_flat_r": F.min(r) == F.max(r),
     }
-    first = staged(quantiles(rows, names, quantile_columns(), sums, size if size > 1 else None, w))
+    first = staged(quantiles(rows, names, quantile_columns(), sums, size, w))
     told = first.select(*names, F.col("median_ratio").alias("m"), "n", F.col("mean_price").alias("_t"), F.col("mean_ratio").alias("_r"), "_mean_log", "bias_log")
     rows = same(rows, told, names, "inner")
     dt, dr, dl, de = t - F.col("_t"), r - F.col("_r"), F.log(t) - F.col("_mean_log"), log_error - F.col("bias_log")
@@ -264,19 +331,7 @@ def weighted_bundle(df: DataFrame, groups: Sequence[str], weight: str, av: str =
         "iqr_ratio": F.col("_q3") - F.col("_q1"),
     }).withColumn("fisher_z_r_y", fisher_z(F.col("corr_r_price")))
     out = out.drop(*(k for k in out.columns if k.startswith("_") and k not in names))
-    # Groups of the VEI: the parts of a row's copies that fall into each.
-    ties = [k for k in rows.columns if k.startswith("key_")]
-    ranked = with_running_sum(rows.withColumn("proxy", 0.5 * t + 0.5 * p / F.col("m")), ["proxy", *ties, "sp", "av"], names, "w", in_memory=size)
-    ranked = ranked.withColumn("k", vei_groups(F.col("n"))).where("k IS NOT NULL")
-    group = lambda pos: equal_count_group(pos, F.col("n"), F.col("k"))
-    start = lambda s: s * F.floor(F.col("n") / F.col("k")) + F.least(s, F.col("n") % F.col("k"))
-    ranked = ranked.withColumn("stratum", F.explode(F.sequence(group(F.col("before") + 1), group(F.col("before") + w))))
-    ranked = ranked.withColumn("copies", F.least(F.col("before") + w, start(F.col("stratum") + 1)) - F.greatest(F.col("before"), start(F.col("stratum"))))
-    profile = quantiles(ranked if size > 1 else staged(ranked), [*names, "stratum"], {"median_ratio": (r, 0.5)}, {"count": F.sum("copies"), "m": F.first("m"), "k": F.first("k")}, size if size > 1 else None, F.col("copies"))
-    placed = with_running_sum(rows, ["sp", F.desc("av")], names, "w", in_memory=size)
-    places = w * F.col("before") + w * (w + 1) / 2
-    index = lambda v: (2 * ratio(F.sum(F.col(v) * places), F.sum(w * F.col(v))) - (n + 1)) / n
-    ginis = _concentration(placed.groupBy(*names).agg(index("av").alias("gini_av"), index("sp").alias("gini_sp")))
+    profile, ginis = _profile(rows, names, None, size, "w"), _gini(rows, names, size, "w")
     for part in (_ends(profile, names, "ends").select(*names, "vei"), ginis):
         out = same(out, part, names)
     return out if groups else out.drop(ALL)
