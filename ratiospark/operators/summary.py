@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,11 +89,11 @@ def positive_weights(weights: DataFrame) -> DataFrame:
     return w.crossJoin(F.broadcast(total)).withColumn("weight", F.col("weight") / F.col("_total")).drop("_total")
 
 
-def blended(predictions: DataFrame, weights: DataFrame, row: str, key: str, value: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Weighted predictions by row; rows without all configurations are dropped."""
+def blended(predictions: DataFrame, weights: DataFrame, row: str, key: str, value: str, carry: Sequence[str] = (), others: Mapping[str, Column] | None = None) -> DataFrame:
+    """Weighted predictions by row, with ``others``, aggregates of its configurations; rows without all configurations are dropped."""
     w = positive_weights(weights)
     needed = w.agg(F.count("*").alias("_needed"))
-    out = predictions.join(w, key).groupBy(row).agg(F.sum(F.col("weight") * F.col(value)).alias("blend"), F.count("*").alias("_have"), *(F.first(c).alias(c) for c in carry))
+    out = predictions.join(F.broadcast(w), key).groupBy(row).agg(F.sum(F.col("weight") * F.col(value)).alias("blend"), F.count("*").alias("_have"), *(F.first(c).alias(c) for c in carry), *(v.alias(k) for k, v in (others or {}).items()))
     return out.crossJoin(F.broadcast(needed)).where("_have = _needed").drop("_have", "_needed")
 
 
