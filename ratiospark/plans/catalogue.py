@@ -716,7 +716,8 @@ def feat_pruner(spark, sf):
 
 @query()
 def feat_linear_recipe(spark, sf):
-    rows = sales(spark, sf).select(F.log("sp").alias("y"), "quantity", "discount", "size", "brand", "kind")
+    # The steps read the rows many times; parts and brands are sent out for the first.
+    rows = staged(sales(spark, sf).select(F.log("sp").alias("y"), "quantity", "discount", "size", "brand", "kind"))
     recipe = features.linear_recipe("y", ["quantity", "discount", "size", "brand", "kind"], ["brand", "kind"], ["quantity", "discount", "size"], one_hot=["kind"], winsorized=["quantity"], shifted=["discount"], box_cox=["size"], squared=["quantity"])
     return recipe.fit_transform(rows)
 
