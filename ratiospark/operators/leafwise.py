@@ -82,19 +82,33 @@ class Grown:
     left: list[tuple[int, ...]]
     value: list[float]
 
-    def nodes_of(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row, from its bins by feature."""
+    def router(self, wanted: Sequence[int] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+        """What gives the leaf of each row, from its bins by feature; with ``wanted`` leaves, rows go on only while they can reach one."""
         feature, low, high = (np.array(x) for x in (self.feature, self.low, self.high))
         table = np.zeros((len(feature), BINS), dtype=bool)
         for k, some in enumerate(self.left):
             table[k, list(some)] = True
-        at = np.zeros(len(bins), dtype=np.int64)
-        live = np.flatnonzero(feature[at] >= 0)
-        while len(live):
-            node = at[live]
-            at[live] = np.where(table[node, bins[live, feature[node]]], low[node], high[node])
-            live = live[feature[at[live]] >= 0]
-        return at
+        goes = feature >= 0
+        if wanted is not None:
+            leads = np.isin(np.arange(len(feature)), wanted)
+            for k in reversed(np.flatnonzero(goes)):  # children come after their parents
+                leads[k] |= leads[low[k]] | leads[high[k]]
+            goes &= leads
+
+        def nodes(bins: np.ndarray) -> np.ndarray:
+            at = np.zeros(len(bins), dtype=np.int64)
+            live = np.flatnonzero(goes[at])
+            while len(live):
+                node = at[live]
+                at[live] = now = np.where(table[node, bins[live, feature[node]]], low[node], high[node])
+                live = live[goes[now]]
+            return at
+
+        return nodes
+
+    def nodes_of(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row, from its bins by feature."""
+        return self.router()(bins)
 
 
 def _leaf(g: np.ndarray, h: np.ndarray, l1: float, l2: float) -> np.ndarray:
@@ -135,15 +149,20 @@ def best_split(sums: np.ndarray, categorical: Sequence[bool], plan: TreePlan, al
 
 
 def _packed(rows: DataFrame, features: int) -> DataFrame:
-    """Rows with ``bins``, ``g`` and ``h``, a batch of them in one row: passes read it many times, and as whole arrays."""
+    """Rows with ``bins``, ``g`` and ``h``, a batch of them in one row: passes read it many times, and as whole arrays.
+
+    Equal hessians of a batch are one number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = _matrix(batch.column(0), features)
-            steps = np.stack([batch.column(k).to_numpy() for k in (1, 2)])
+            steps = [batch.column(k).to_numpy() for k in (1, 2)]
             for at in range(0, len(bins), CHUNK):
                 some = slice(at, at + CHUNK)
-                yield pa.RecordBatch.from_arrays([pa.array([bins[some].tobytes()], pa.binary()), pa.array([steps[:, some].tobytes()], pa.binary())], names=["bins", "steps"])
+                g, h = (x[some] for x in steps)
+                h = h[:1] if (h == h[0]).all() else h
+                yield pa.RecordBatch.from_arrays([pa.array([bins[some].tobytes()], pa.binary()), pa.array([g.tobytes() + h.tobytes()], pa.binary())], names=["bins", "steps"])
 
     return rows.select("bins", "g", "h").mapInArrow(run, "bins binary, steps binary")
 
@@ -156,11 +175,13 @@ def _histograms(packed: DataFrame, features: int, tree: Grown, wanted: Sequence[
         slot = np.full(len(tree.feature), -1)
         slot[list(wanted)] = np.arange(len(wanted))
         out = np.zeros((3, len(wanted) * features * BINS))
+        nodes = tree.router(wanted)
         for batch in batches:
             for packed, steps in zip(batch.column(0), batch.column(1), strict=True):
                 bins = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(-1, features)
-                g, h = np.frombuffer(steps.as_buffer()).reshape(2, -1)
-                at = slot[tree.nodes_of(bins)] if len(tree.feature) > 1 else np.zeros(len(bins), dtype=np.int64)
+                both = np.frombuffer(steps.as_buffer())
+                g, h = both[: len(bins)], np.broadcast_to(both[len(bins) :], len(bins))
+                at = slot[nodes(bins)]
                 here = np.flatnonzero(at >= 0)
                 if not len(here):
                     continue
@@ -191,10 +212,18 @@ def _histograms(packed: DataFrame, features: int, tree: Grown, wanted: Sequence[
 
 def grow(rows: DataFrame, categorical: Sequence[bool], plan: TreePlan, tasks: int, allowed: Sequence[int] | None = None) -> Grown:
     """A tree for rows with ``bins``, ``g`` and ``h``, best leaf first."""
+    # All passes of the tree read what the first one makes: kept by the executors while it grows, and made anew where one is lost.
+    packed = _packed(rows, len(categorical)).persist()
+    try:
+        return _grown(packed, categorical, plan, tasks, allowed)
+    finally:
+        packed.unpersist()
+
+
+def _grown(packed: DataFrame, categorical: Sequence[bool], plan: TreePlan, tasks: int, allowed: Sequence[int] | None) -> Grown:
     features = len(categorical)
     tree = Grown([-1], [-1], [-1], [()], [0.0])
-    rows = staged(_packed(rows, features))
-    sums = _histograms(rows, features, tree, [0], tasks)
+    sums = _histograms(packed, features, tree, [0], tasks)
     depth, splits, totals = {0: 0}, {0: best_split(sums[0], categorical, plan, allowed)}, {0: tuple(sums[0][0].sum(axis=0).tolist())}
     children: dict[int, tuple[int, int]] = {}  # of all nodes whose children have been counted
     reach = {0: splits[0].gain if splits[0] else 0.0}  # the least gain on the way to a node, its own included
@@ -225,7 +254,7 @@ def grow(rows: DataFrame, categorical: Sequence[bool], plan: TreePlan, tasks: in
             smaller[node] = low if totals[low][2] <= totals[high][2] else high
         # Children that can't be split any more need no sums of their own.
         live = [n for n in waiting if depth[n] + 1 < plan.depth and max(totals[c][2] for c in children[n]) >= 2 * plan.least]
-        counted = _histograms(rows, features, tree, [smaller[n] for n in live], tasks) if live else {}
+        counted = _histograms(packed, features, tree, [smaller[n] for n in live], tasks) if live else {}
         for node in waiting:
             low, high = children[node]
             if node in live:
@@ -235,7 +264,6 @@ def grow(rows: DataFrame, categorical: Sequence[bool], plan: TreePlan, tasks: in
             for child in (low, high):
                 splits[child] = best_split(sums[child], categorical, plan, allowed) if child in sums and depth[child] < plan.depth else None
                 reach[child] = min(reach[node], splits[child].gain) if splits[child] else 0.0
-    unstaged(rows)
     # Nodes that were counted ahead but not reached are leaves again.
     reached = set(done)
     for node in children:
@@ -350,15 +378,18 @@ def prepared(df: DataFrame, features: Sequence[str], categorical: Sequence[str],
     return LeafwiseBooster(tuple(features), {c: list(row[c] or []) for c in numbers}, named, float(row["_y"] or 0.0), plan.rate)
 
 
-def boost_leafwise(df: DataFrame, features: Sequence[str], y: str, objective: Objective, plan: TreePlan = TreePlan(), categorical: Sequence[str] = (), target_bins: int = 0, hook: Callable[[int, DataFrame], None] | None = None) -> LeafwiseBooster:
+def boost_leafwise(df: DataFrame, features: Sequence[str], y: str, objective: Objective, plan: TreePlan = TreePlan(), categorical: Sequence[str] = (), target_bins: int = 0, stage_every: int = 5, hook: Callable[[int, DataFrame], None] | None = None) -> LeafwiseBooster:
     """Fits a booster; scores start at the mean of y.
 
     ``target_bins`` adds groups of y for objectives by bin; ``hook`` sees the rows
-    after each round (D3).  Every round reads the binned rows once for each level
-    of its tree, at most, and writes them once with their new scores.
+    after each round (D3).  Rows are picked and binned once.  A round makes its
+    scores from those last written and the trees since, and writes them only every
+    ``stage_every`` rounds, or always for objectives that carry columns of their own.
     """
-    model = prepared(df, features, categorical, y, plan)
-    flags, names = model.categorical, list(features)
+    names = list(features)
+    picked = staged(df.select(F.col(y).cast("double").alias("_y"), *(F.col(c).cast("string" if c in categorical else "double").alias(c) for c in names)))
+    model = prepared(picked, features, categorical, "_y", plan)
+    flags = model.categorical
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,32 +397,45 @@ def boost_leafwise(df: DataFrame, features: Sequence[str], y: str, objective: Ob
             packed = pa.Array.from_buffers(pa.binary(len(names)), len(bins), [None, pa.py_buffer(bins)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([packed, batch.column(0), pa.array(np.full(len(bins), model.base))], names=["bins", "y", "f"])
 
-    picked = df.select(F.col(y).cast("double").alias("y"), *(F.col(c).cast("string" if c in categorical else "double").alias(c) for c in names))
-    rows = picked.mapInArrow(cut, "bins binary, y double, f double")
-    rows = staged(quantile_bins(staged(rows), "y", target_bins) if target_bins else rows)
+    rows = staged(picked.mapInArrow(cut, "bins binary, y double, f double"))
+    unstaged(picked)
+    if target_bins:
+        binned, rows = rows, staged(quantile_bins(rows, "y", target_bins))
+        unstaged(binned)
+    plain, last, since = set(rows.columns), rows, []
     rng, tasks = np.random.default_rng(plan.seed), rows.rdd.getNumPartitions()
     for k in range(plan.rounds):
         allowed = sorted(rng.choice(len(names), max(1, round(plan.share * len(names))), replace=False).tolist()) if plan.share < 1 else None
         scored = objective(rows)
         tree = grow(scored, flags, plan, tasks, allowed)
         model.trees.append(tree)
-        old, rows = rows, staged(_moved(scored.drop("g", "h"), tree, plan.rate, len(names)))
-        unstaged(old)
+        since.append(tree)
+        stepped = scored.drop("g", "h")
+        own = set(stepped.columns) != plain
+        rows = _moved(stepped, [tree], plan.rate, len(names)) if own else _moved(last, since, plan.rate, len(names))
+        if own or len(since) == stage_every:
+            old, rows, since = last, staged(rows), []
+            last = rows
+            unstaged(old)
         if hook:
             hook(k, rows)
-    unstaged(rows)
+    unstaged(last)
     return model
 
 
-def _moved(rows: DataFrame, tree: Grown, rate: float, features: int) -> DataFrame:
-    """Rows with the tree's step added to ``f``."""
-    at, step = rows.columns.index("f"), rate * np.array(tree.value)
+def _moved(rows: DataFrame, trees: Sequence[Grown], rate: float, features: int) -> DataFrame:
+    """Rows with the trees' steps added to ``f``."""
+    at, trees = rows.columns.index("f"), list(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = [(tree.router(), rate * np.array(tree.value)) for tree in trees]
         for batch in batches:
             cols = batch.columns
             bins = _matrix(batch.column("bins"), features)
-            cols[at] = pa.array(cols[at].to_numpy() + step[tree.nodes_of(bins)])
+            f = cols[at].to_numpy()
+            for nodes, step in steps:
+                f = f + step[nodes(bins)]
+            cols[at] = pa.array(f)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)

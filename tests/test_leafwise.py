@@ -146,3 +146,27 @@ def test_objectives_by_bin_and_with_weights(houses):
     for objective in (boosting.bin_mean_penalty(1.0), boosting.primal_dual(1.0, 0.5)):
         model = leafwise.boost_leafwise(houses, ["x"], "y", objective, plan, target_bins=4)
         assert len(model.trees) == 3 and error(model.transform(houses)) < houses.agg(F.var_pop("y")).first()[0]
+
+
+def test_rows_are_not_written_in_every_round(spark, houses, monkeypatch):
+    written, before = [], spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(leafwise, "staged", lambda df, stage=leafwise.staged: written.append(df.columns) or stage(df))
+    plan = TreePlan(rounds=7, leaves=4, rate=0.3, least=10, cat_least=10)
+    fit = lambda objective, **more: leafwise.boost_leafwise(houses, ["kind", "x"], "y", objective, plan, categorical=["kind"], **more)
+    model = fit(boosting.squared_error())
+    # The picked rows, the binned rows, and scores once after five rounds; gradients never.
+    assert len(written) == 3 and not any("g" in c or "steps" in c for c in written)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert model == fit(boosting.squared_error(), stage_every=1)
+    # An objective that carries weights has its rows written in every round.
+    written.clear()
+    fit(boosting.primal_dual(1.0, 0.5))
+    assert sum("weight" in c for c in written) >= 7
+
+
+def test_rows_go_only_where_a_wanted_leaf_is():
+    tree = leafwise.Grown([0, 1, -1, -1, -1], [1, 3, -1, -1, -1], [2, 4, -1, -1, -1], [(1, 2), (1,), (), (), ()], [0.0] * 5)
+    bins = np.array([[1, 1], [2, 3], [5, 1], [9, 9]], dtype=np.uint8)
+    assert tree.nodes_of(bins).tolist() == [3, 4, 2, 2]
+    for leaf in (2, 3, 4):
+        assert (tree.router([leaf])(bins) == leaf).tolist() == (tree.nodes_of(bins) == leaf).tolist()
