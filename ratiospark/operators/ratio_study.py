@@ -254,21 +254,35 @@ def _concentration(ginis: DataFrame) -> DataFrame:
     return ginis.withColumns({"ki": F.col("gini_av") - F.col("gini_sp"), "mki": ratio("gini_av", "gini_sp")})
 
 
-def bundle(df: DataFrame, groups: Sequence[str], av: str = "av", sp: str = "sp", keys: Sequence[str] = ()) -> DataFrame:
-    """Every measure by group, one row each.
+def bundle(df: DataFrame, groups: Sequence[str], av: str = "av", sp: str = "sp", keys: Sequence[str] = (), only: Sequence[str] | None = None, held: bool = False) -> DataFrame:
+    """Every measure by group, or those named and n, one row each.
 
     The rows are made and their groups counted once; the median, which the other
-    parts need, comes from the first aggregate.
+    parts need, comes from the first aggregate.  Parts of which no measure is named
+    are not made.  Rows that are ``held``, which means staged and cheap to read
+    again, are not staged a second time.
     """
-    rows, names = usable(df, groups, av, sp, keys)
-    rows = _staged(rows)
+    asked = lambda *measures: only is None or any(x in only for x in measures)
+    vertical = asked("vei")
+    rows, names = usable(df, groups, av, sp, keys if vertical else ())
+    rows = rows if held else _staged(rows)
     size = how_large(rows, names)
-    first = staged(quantiles(rows, names, quantile_columns(), accuracy_columns(), size))
+    spread = asked("iqr_ratio")
+    wanted = {k: v for k, v in quantile_columns().items() if asked(k) or k == "median_ratio" or (spread and k in ("_q1", "_q3"))}
+    first = staged(quantiles(rows, names, wanted, {k: v for k, v in accuracy_columns().items() if asked(k) or k == "n"}, size))
     rows = same(rows, first.select(*names, F.col("median_ratio").alias("m"), "n"), names, "inner")
-    parts = [rows.groupBy(*names).agg(_cod().alias("cod"), _prb().alias("prb")), _ends(_profile(rows, names, None, size), names, "ends").select(*names, "vei"), _gini(rows, names, size)]
-    out = first.withColumn("iqr_ratio", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
+    parts = []
+    if asked("cod", "prb"):
+        parts.append(rows.groupBy(*names).agg(_cod().alias("cod"), _prb().alias("prb")))
+    if vertical:
+        parts.append(_ends(_profile(rows, names, None, size), names, "ends").select(*names, "vei"))
+    if asked("gini_av", "gini_sp", "ki", "mki"):
+        parts.append(_gini(rows, names, size))
+    out = first.withColumn("iqr_ratio", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3") if spread else first
     for part in parts:
         out = same(out, part, names)
+    if only is not None:
+        out = out.select(*names, "n", *(c for c in only if c != "n"))
     return out if groups else out.drop(ALL)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, keep: Sequence[str] | None = None) -> DataFrame:
     """Line items as sales: price sp, assessed value av = half the price and half its brand's mean price.
 
     The brand's mean is an aggregate, made once and broadcast, one row a brand, so
-    that rows are not gathered by brand and all passes see the same mean.
+    that rows are not gathered by brand and all passes see the same mean.  With
+    ``keep``, line items and parts are joined once: the rows are staged with these
+    columns, and the means and all that follows read them from there.
     """
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     rows = lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_partkey").alias("k3"), F.col("l_suppkey").alias("k4"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("l_shipdate").alias("d"), F.col("l_discount").alias("discount"), F.col("l_quantity").alias("quantity"), F.col("p_size").alias("size"), F.col("l_extendedprice").alias("sp"))
+    if keep is not None:
+        rows = staged(rows.select("brand", "sp", *(c for c in keep if c not in ("brand", "sp", "av"))))
     means = staged(rows.groupBy("brand").agg(F.avg("sp").alias("_mean")))
     return rows.join(F.broadcast(means), "brand").withColumn("av", 0.5 * F.col("sp") + 0.5 * F.col("_mean")).drop("_mean")
 

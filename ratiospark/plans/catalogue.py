@@ -133,8 +133,10 @@ _BUNDLE = f"""WITH {STUDY}{_VEI}{_GINI}, v AS (
 _MEASURES = ("median_ratio", "wmean_ratio", "cod", "prd", "prb", "cov_iaao", "vei", "mki")
 
 
-def _bundle(spark, sf):
-    return ratio_study.bundle(sales(spark, sf), ["flag"], keys=KEYS).select("flag", "n", *_MEASURES)
+def _bundle(spark, sf, only=_MEASURES):
+    """Measures of the sales by flag; the keys, which settle ties of the strata, are kept only for these."""
+    keys = KEYS if "vei" in only else ()
+    return ratio_study.bundle(sales(spark, sf, ["flag", *keys]), ["flag"], keys=keys, only=only, held=True)
 
 
 @query(f"{_BUNDLE} SELECT flag, n, {', '.join(f'round({c}, 6) AS {c}' for c in _MEASURES)} FROM bundle")
@@ -274,7 +276,7 @@ def flags_scorecard(spark, sf):
 
 @query(f"{_BUNDLE}, base AS (SELECT cod AS c0, prd AS p0, prb AS b0 FROM bundle WHERE flag = 'N') SELECT flag, round(cod - c0, 6) AS d_cod, round(prd - p0, 6) AS d_prd, round(prb - b0, 6) AS d_prb FROM bundle, base")
 def flags_delta_baseline(spark, sf):
-    return rounded(flags.delta_vs_baseline(_bundle(spark, sf).select("flag", "cod", "prd", "prb"), "flag", "N", ("cod", "prd", "prb")).select("flag", "d_cod", "d_prd", "d_prb"))
+    return rounded(flags.delta_vs_baseline(_bundle(spark, sf, ("cod", "prd", "prb")), "flag", "N", ("cod", "prd", "prb")).select("flag", "d_cod", "d_prd", "d_prb"))
 
 
 @query(f"WITH {STUDY}, p AS (SELECT brand, avg(r) / (sum(av) / sum(sp)) AS prd FROM st GROUP BY brand) SELECT brand, {_flag_sql('prd', *flags.PRD, 0.02)} AS prd_flag, CASE WHEN prd > 1.03 THEN 'regressive' WHEN prd < 0.98 THEN 'progressive' ELSE 'neutral' END AS reading FROM p")
@@ -286,7 +288,7 @@ def flags_verdict(spark, sf):
 
 @query(f"{_BUNDLE}, l AS (SELECT flag, unnest(['cod', 'prd', 'prb']) AS metric, unnest([cod, prd, prb]) AS v FROM bundle) SELECT metric, round(max(CASE WHEN flag = 'A' THEN v END), 6) AS \"A\", round(max(CASE WHEN flag = 'N' THEN v END), 6) AS \"N\", round(max(CASE WHEN flag = 'R' THEN v END), 6) AS \"R\" FROM l GROUP BY metric")
 def flags_transposed(spark, sf):
-    return rounded(flags.transposed(_bundle(spark, sf), "flag", ("cod", "prd", "prb")))
+    return rounded(flags.transposed(_bundle(spark, sf, ("cod", "prd", "prb")), "flag", ("cod", "prd", "prb")))
 
 
 # Splits and folds.
