@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratiospark.functions.numeric import EPS, finite, fisher_z, pearson, positive, r_squared, ratio, slope
-from ratiospark.operators.positions import equal_count_group, with_running_sum
+from ratiospark.operators.positions import equal_count_group, with_position, with_running_sum
 from ratiospark.operators.quantiles import IN_MEMORY, SMALL, how_large, quantiles, ranked_values, same
 from ratiospark.sources.staging import staged
 
@@ -151,9 +151,12 @@ def _staged(rows: DataFrame) -> DataFrame:
     return staged(rows.drop("r")).withColumn("r", F.col("av") / F.col("sp"))
 
 
-def _profile(rows: DataFrame, names: Sequence[str], k: int | None, size: int, weight: str | None = None) -> DataFrame:
+def _profile(rows: DataFrame, names: Sequence[str], k: int | None, size: int, weight: str | None = None, ends: bool = False) -> DataFrame:
     """Median ratio and size of the strata of rows that know their group's ``m`` and ``n``; each counts ``weight`` times, and its copies may fall into two strata.
 
+    With ``ends`` only the first and the last stratum are made: the rows between
+    them are dropped as soon as the two values that end them are known.
+
     Rows of large groups are not put in order: the strata end at up to nine places
     of a group, whose values are found by counting.  Only rows with such a value
     are placed one by one, the others follow from it.
@@ -171,10 +174,12 @@ def _profile(rows: DataFrame, names: Sequence[str], k: int | None, size: int, we
         return placed.withColumn("copies", F.least(F.col("before") + F.col("_w"), start(F.col("stratum") + 1, F.col("n"))) - F.greatest(F.col("before"), start(F.col("stratum"), F.col("n"))) if weight else F.lit(1))
 
     rows = rows.withColumn("k", strata(F.col("n"))).where("k IS NOT NULL")
+    is_asked = (F.col("stratum") == 0) | (F.col("stratum") == F.col("k") - 1) if ends else F.lit(True)
     if size >= SMALL:
-        cut = dealt(with_running_sum(rows, order, names, "_w", in_memory=size))
+        cut = dealt(with_running_sum(rows, order, names, "_w", in_memory=size)).where(is_asked)
     else:
-        asked = [(0, lambda n, s=s: F.when((strata(n) > s) & (start(F.lit(s), n) > 0), start(F.lit(s), n) - 1)) for s in range(1, k or 10)]
+        later = [lambda n: F.lit(1), lambda n: strata(n) - 1] if ends else [lambda n, s=s: F.lit(s) for s in range(1, k or 10)]
+        asked = [(0, lambda n, s=s: F.when((strata(n) > s(n)) & (start(s(n), n) > 0), start(s(n), n) - 1)) for s in later]
         found = ranked_values(rows, names, [F.col("proxy")], asked, F.col("_w"))
         cuts = staged(found.select(*(F.col(f"group.g{i}").alias(g) for i, g in enumerate(names)), "out", "value", F.col("before").alias("_under")))
         row = cuts.groupBy(*names).agg(*(F.min(F.when(F.col("out") == i, F.col("value"))).alias(f"_cut_{i}") for i in range(len(asked))))
@@ -184,13 +189,15 @@ def _profile(rows: DataFrame, names: Sequence[str], k: int | None, size: int, we
         tied, stratum = F.lit(False), F.lit(0)
         for i in range(len(asked)):
             tied, stratum = tied | on(i), stratum + above(i)
-        free = marked.where(~tied).withColumn("stratum", stratum).withColumn("copies", F.col("_w"))
+        if ends:
+            stratum = F.when(F.col("proxy") < F.col("_cut_0"), 0).when(above(1) == 1, F.col("k") - 1)
+        free = marked.where(~tied).withColumn("stratum", stratum).where("stratum IS NOT NULL").withColumn("copies", F.col("_w"))
         ties = staged(marked.where(tied).drop(*(f"_cut_{i}" for i in range(len(asked)))))
         under = cuts.groupBy(*names, F.col("value").alias("proxy")).agg(F.first("_under").alias("_under"))
         placed = with_running_sum(ties, order[1:], [*names, "proxy"], "_w", "_ahead")
         placed = same(placed, staged(under), [*names, "proxy"], "inner").withColumn("before", F.col("_under") + F.col("_ahead"))
         slim = [*names, "stratum", "r", "copies", "m", "k"]
-        cut = free.select(slim).unionByName(staged(dealt(placed).select(slim)))
+        cut = free.select(slim).unionByName(staged(dealt(placed).where(is_asked).select(slim)))
     often = F.col("copies")
     return quantiles(cut, [*names, "stratum"], {"median_ratio": (F.col("r"), 0.5)}, {"count": F.sum("copies"), "m": F.first("m"), "k": F.first("k")}, size, often if weight or size < SMALL else None)
 
@@ -229,16 +236,22 @@ def _gini(rows: DataFrame, names: Sequence[str], size: int, weight: str | None =
     interval only: one shuffle of prices.  An interval that is itself large (one
     price for very many rows) is placed by ranges.
     """
-    rows = rows.select(*names, "av", "sp", (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    # Without weights the rows that are shuffled have none, and a row's place is its number.
+    rows = rows.select(*names, "av", "sp", *([F.col(weight).cast("long").alias("_w")] if weight else []))
+    held = F.sum("_w") if weight else F.count("*")
     if size >= SMALL:
         rows, by, cells, limit = rows.withColumn("_cell", F.lit(0)), list(names), None, size
     else:
         rows, by = rows.withColumn("_cell", F.floor(F.log1p(F.col("sp") * 1e6) * 2048)), [*names, "_cell"]
-        cells = staged(rows.groupBy(*by).agg(F.sum("_w").alias("_n"), F.count("*").alias("_rows")))
+        cells = staged(rows.groupBy(*by).agg(held.alias("_n"), F.count("*").alias("_rows")))
         limit = SMALL if (cells.agg(F.max("_rows")).first()[0] or 0) <= IN_MEMORY else size
-    placed = with_running_sum(rows, ["sp", F.desc("av")], by, "_w", "_ahead", in_memory=limit)
-    places = F.col("_w") * F.col("_ahead") + F.col("_w") * (F.col("_w") + 1) / 2
-    sums = placed.groupBy(*names, "_cell").agg(F.sum("_w").alias("_n"), *(a for x in ("av", "sp") for a in (F.sum(F.col(x) * places).alias(f"_p_{x}"), F.sum(F.col("_w") * F.col(x)).alias(f"_s_{x}"))))
+    order = ["sp", F.desc("av")]
+    if weight:
+        placed, value = with_running_sum(rows, order, by, "_w", "_ahead", in_memory=limit), lambda x: F.col("_w") * F.col(x)
+        places = F.col("_w") * F.col("_ahead") + F.col("_w") * (F.col("_w") + 1) / 2
+    else:
+        placed, value, places = with_position(rows, order, by, "_place", in_memory=limit), F.col, F.col("_place")
+    sums = placed.groupBy(*names, "_cell").agg(held.alias("_n"), *(a for x in ("av", "sp") for a in (F.sum(F.col(x) * places).alias(f"_p_{x}"), F.sum(value(x)).alias(f"_s_{x}"))))
     if cells is not None:
         earlier = Window.partitionBy(*names).orderBy("_cell")
         before = cells.select(*by, (F.sum("_n").over(earlier) - F.col("_n")).alias("_under"))
@@ -275,7 +288,7 @@ def bundle(df: DataFrame, groups: Sequence[str], av: str = "av", sp: str = "sp",
     if asked("cod", "prb"):
         parts.append(rows.groupBy(*names).agg(_cod().alias("cod"), _prb().alias("prb")))
     if vertical:
-        parts.append(_ends(_profile(rows, names, None, size), names, "ends").select(*names, "vei"))
+        parts.append(_ends(_profile(rows, names, None, size, None, True), names, "ends").select(*names, "vei"))
     if asked("gini_av", "gini_sp", "ki", "mki"):
         parts.append(_gini(rows, names, size))
     out = first.withColumn("iqr_ratio", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3") if spread else first
@@ -345,7 +358,7 @@ def weighted_bundle(df: DataFrame, groups: Sequence[str], weight: str, av: str =
         "iqr_ratio": F.col("_q3") - F.col("_q1"),
     }).withColumn("fisher_z_r_y", fisher_z(F.col("corr_r_price")))
     out = out.drop(*(k for k in out.columns if k.startswith("_") and k not in names))
-    profile, ginis = _profile(rows, names, None, size, "w"), _gini(rows, names, size, "w")
+    profile, ginis = _profile(rows, names, None, size, "w", True), _gini(rows, names, size, "w")
     for part in (_ends(profile, names, "ends").select(*names, "vei"), ginis):
         out = same(out, part, names)
     return out if groups else out.drop(ALL)
