@@ -43,9 +43,20 @@ def _with(df: DataFrame, g: Column, h: Column) -> DataFrame:
     return df.withColumns({"g": g, "h": h})
 
 
+def by_row(step: Callable) -> Objective:
+    """An objective of a row's y and f alone: ``step`` gives g and h from columns and from arrays."""
+
+    def objective(df: DataFrame) -> DataFrame:
+        g, h = step(F.col("y"), F.col("f"))
+        return df.withColumns({"g": g, "h": F.lit(h)})
+
+    objective.step = step
+    return objective
+
+
 def squared_error() -> Objective:
     """M2."""
-    return lambda df: df.withColumns({"g": 2 * (F.col("f") - F.col("y")), "h": F.lit(2.0)})
+    return by_row(lambda y, f: (2 * (f - y), 2.0))
 
 
 def covariance_penalty(rho: float, mode: str = "div") -> Objective:

@@ -906,9 +906,9 @@ def gbm_cov(spark, sf):
 
 @query()
 def gbm_leafwise(spark, sf):
-    """Numbers and categories, 31 leaves: size, share of variance explained and splits by feature of an ensemble of 20 trees."""
+    """Numbers and categories, 31 leaves: rows and share of variance explained of an ensemble of 200 trees."""
     rows = _train(spark, sf, "brand", "kind", "discount")
-    model = leafwise.boost_leafwise(rows, ["x1", "x2", "discount", "brand", "kind"], "y", boosting.squared_error(), leafwise.TreePlan(rounds=20), categorical=["brand", "kind"])
+    model = leafwise.boost_leafwise(rows, ["x1", "x2", "discount", "brand", "kind"], "y", boosting.squared_error(), leafwise.TreePlan(), categorical=["brand", "kind"])
     return rounded(model.transform(rows).groupBy("flag").agg(F.count("*").alias("n"), r_squared("y", "prediction").alias("r2")), 4)
 
 
