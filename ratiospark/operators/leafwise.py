@@ -37,10 +37,13 @@ BINS = 256
 #: Bytes of partial sums up to which tasks send theirs to the driver at once, without a merging stage.
 DIRECT = 32 << 20
 #: Rows packed together, or a few more.
-CHUNK = 1 << 16
+CHUNK = 30_000
 #: Rounds whose scores are made from the round before; then from those last written, so that a lost executor costs few steps.
 CHAIN = 10
 
+#: Where the executors keep chunks: in memory as they are, or on their local disks.
+KEPT = StorageLevel.MEMORY_AND_DISK_DESER
+
 #: Packed rows: bins by feature, then numbers by row, equal ones as one.
 Chunk = tuple
 
@@ -106,10 +109,10 @@ class Grown:
             if self.feature[node] < 0:
                 yield node, at
                 continue
-            left = table[node].take(bins[self.feature[node]][at])
+            left = table[node].take(bins[self.feature[node]][at], mode="clip")
             for child, side in ((self.low[node], left), (self.high[node], ~left)):
                 if leads[child]:
-                    some = np.flatnonzero(side) if isinstance(at, slice) else at[side]
+                    some = np.flatnonzero(side) if isinstance(at, slice) else at.compress(side)
                     if len(some):
                         under.append((child, some))
 
@@ -234,17 +237,24 @@ def _histograms(packed: RDD[Chunk], features: int, tree: Grown, wanted: Sequence
 def grow(rows: DataFrame, categorical: Sequence[bool], plan: TreePlan, tasks: int, allowed: Sequence[int] | None = None) -> Grown:
     """A tree for rows with ``bins``, ``g`` and ``h``, best leaf first."""
     # All passes of the tree read what the first one makes: kept by the executors while it grows, and made anew where one is lost.
-    packed = _packed(rows.select("bins", "g", "h"), len(categorical)).persist(StorageLevel.MEMORY_AND_DISK)
+    return _grown(_packed(rows.select("bins", "g", "h"), len(categorical)), categorical, plan, tasks, allowed)
+
+
+def _grown(packed: RDD[Chunk], categorical: Sequence[bool], plan: TreePlan, tasks: int, allowed: Sequence[int] | None, replaced: RDD[Chunk] | None = None) -> Grown:
+    """``grow`` on chunks; those ``replaced`` are let go as soon as all of ``packed`` are made."""
+    packed.persist(KEPT)
     try:
-        return _grown(packed, categorical, plan, tasks, allowed)
+        root = Grown([-1], [-1], [-1], [()], [0.0])
+        sums = _histograms(packed, len(categorical), root, [0], tasks)
+        if replaced:
+            replaced.unpersist()
+        return _best_first(packed, root, sums, categorical, plan, tasks, allowed)
     finally:
         packed.unpersist()
 
 
-def _grown(packed: RDD[Chunk], categorical: Sequence[bool], plan: TreePlan, tasks: int, allowed: Sequence[int] | None) -> Grown:
+def _best_first(packed: RDD[Chunk], tree: Grown, sums: dict[int, np.ndarray], categorical: Sequence[bool], plan: TreePlan, tasks: int, allowed: Sequence[int] | None) -> Grown:
     features = len(categorical)
-    tree = Grown([-1], [-1], [-1], [()], [0.0])
-    sums = _histograms(packed, features, tree, [0], tasks)
     depth, splits, totals = {0: 0}, {0: best_split(sums[0], categorical, plan, allowed)}, {0: tuple(sums[0][0].sum(axis=0).tolist())}
     children: dict[int, tuple[int, int]] = {}  # of all nodes whose children have been counted
     reach = {0: splits[0].gain if splits[0] else 0.0}  # the least gain on the way to a node, its own included
@@ -432,9 +442,7 @@ def boost_leafwise(df: DataFrame, features: Sequence[str], y: str, objective: Ob
             if step:
                 links = (links + 1) % CHAIN if since else 0
                 before, kept = kept, _scored(kept, since[-1:], plan.rate, len(names)) if links else _scored(_packed(last.select("bins", "y", "f"), len(names)), since, plan.rate, len(names))
-                tree = _grown(_stepped(kept.persist(StorageLevel.MEMORY_AND_DISK), step), flags, plan, tasks, allowed)
-                if before:
-                    before.unpersist()
+                tree = _grown(_stepped(kept.persist(KEPT), step), flags, plan, tasks, allowed, replaced=before)
                 stepped = rows
             else:
                 scored = objective(rows)
@@ -473,7 +481,7 @@ def _stepped(packed: RDD[Chunk], step: Callable) -> RDD[Chunk]:
 
     def run(chunk: Chunk) -> Chunk:
         g, h = step(np.frombuffer(chunk[1]), np.frombuffer(chunk[2]))
-        return chunk[0], np.atleast_1d(g), np.atleast_1d(h)
+        return chunk[0], np.atleast_1d(g).tobytes(), np.atleast_1d(h).tobytes()
 
     return packed.map(run)
 
